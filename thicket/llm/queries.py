@@ -49,8 +49,8 @@ WITH d AS (
     SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS n FROM s
 ), v AS (
     SELECT *, (least(1.5::DOUBLE * sum(source_size) OVER (), sum(cap) OVER ()) - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM l
-), a AS (SELECT *, (SELECT arg_min(level, n) FROM v WHERE w * level < cap) AS at FROM v
-), t AS (SELECT source, source_size, CASE WHEN at IS NULL OR w * at >= cap THEN cap ELSE w * at END AS target FROM a
+), a AS (SELECT *, (SELECT arg_min(level, n) FROM v WHERE w * level < cap) AS lv FROM v
+), t AS (SELECT source, source_size, CASE WHEN lv IS NULL OR w * lv >= cap THEN cap ELSE w * lv END AS target FROM a
 ), k AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM t
 ), c AS (
     SELECT d.doc_id, d.size, d.h, k.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS words, target - whole * source_size AS rest
