@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, token_counts, token_files, url_cascade
+from thicket.llm import mixing, ogg, secret_scan, token_counts, token_files, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +22,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.features(ogg.media(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -36,7 +44,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_secret_scan": op2_secret_scan,
     "op7_url_cascade": op7_url_cascade,
+    "op8_ogg": op8_ogg,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
