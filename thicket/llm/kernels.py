@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -123,53 +122,107 @@ def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
     return values[np.repeat(starts - before, lengths) + np.arange(total)]
 
 
-class Numbered(dict):
-    """Numbers its keys in the order in which they come."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+class Table:
+    """Open-addressing hash table from 64-bit hashes to numbers from 0 on, in two arrays of a power of two."""
+
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        self.n = 0
+        self._empty(max(4, (2 * len(hashes)).bit_length()))
+        self.add(hashes, numbers)
+
+    def _empty(self, bits: int) -> None:
+        self.bits, self.keys, self.values = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Adds distinct hashes that it does not have."""
+        self.n += len(hashes)
+        if 2 * self.n > len(self.keys):
+            held = self.values >= 0
+            keys, values = self.keys[held], self.values[held]
+            self._empty((2 * self.n).bit_length() + 1)
+            self._put(keys, values)
+        self._put(hashes, numbers)
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        left, at = np.arange(len(hashes)), self._slot(hashes)
+        while len(left):  # all that still look for a slot try theirs at once; one of those that meet in it stays
+            free = left[self.values[at[left]] < 0]
+            self.keys[at[free]] = hashes[free]
+            self.values[at[free]] = numbers[free]
+            left = left[(self.keys[at[left]] != hashes[left]) | (self.values[at[left]] != numbers[left])]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers, -1 where there is none."""
+        at = self._slot(hashes)
+        value = self.values[at]
+        out = np.where(self.keys[at] == hashes, value, -1).astype(np.int64)
+        left = np.flatnonzero((out < 0) & (value >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+            value, hit = self.values[at[left]], self.keys[at[left]] == hashes[left]
+            out[left[hit]] = value[hit]
+            left = left[~hit & (value >= 0)]
+        return out
 
 
 class UnitCache:
-    """Token ids of text units, kept per worker.
+    """What encode() gives for units of text, kept per worker by the units' hashes.
 
-    encode(units) gives the ids of all given units, one after another, and the
-    number of ids of each. At most ``most`` units are kept; then it starts anew,
-    so that memory is bounded and a lost worker costs only its cache.
+    encode(units) gives the ids of all given byte strings, one after another, and
+    the number of ids of each. Past ``most`` units it starts anew, so that memory
+    is bounded; a lost worker costs only its cache.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 800_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.index, self.n, self.used = Numbered(), 0, 0
+        self.table, self.n, self.used = Table(np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, 0
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def find(self, units: list[str]) -> np.ndarray:
-        """Positions of the units in starts and lengths, after encoding those that are new."""
+    def find(self, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """Positions of the units joined[start:end] in self.starts and self.lengths, after encoding those that are new."""
         if self.n > self.most:
             self.clear()
-        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        if len(self.index) > self.n:
-            new = list(itertools.islice(reversed(self.index), len(self.index) - self.n))[::-1]
-            ids, lengths = self.encode(new)
+        hashes = span_hashes(joined, starts, ends) if hashes is None else hashes
+        at = self.table.get(hashes)
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            data, first = joined.tobytes(), missed[first]
+            ids, lengths = self.encode([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            end = self.n + len(new)
             self.ids = _room(self.ids, self.used + len(ids))
             self.ids[self.used : self.used + len(ids)] = ids
-            end = len(self.index)
             self.starts, self.lengths = _room(self.starts, end), _room(self.lengths, end)
             self.lengths[self.n : end] = lengths
             self.starts[self.n : end] = self.used + np.cumsum(lengths) - lengths
+            self.table.add(new, np.arange(self.n, end))
+            at[missed] = self.n + back
             self.n, self.used = end, self.used + len(ids)
         return at
 
-    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        at = self.find(units)
+    def tokens(self, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.find(joined, starts, ends)
         lengths = self.lengths[at]
         return gathered(self.ids, self.starts[at], lengths), lengths
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What make() gave for key in this worker process, over tasks. One of each kind (first of the key) is kept."""
+    if key[0] not in _kept or _kept[key[0]][0] != key:
+        _kept[key[0]] = (key, make())
+    return _kept[key[0]][1]
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if len(a) >= n:
         return a

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, ogg, secret_scan, token_counts, token_files, url_cascade
+from thicket.llm import mixing, ogg, secret_scan, token_counts, token_files, toxicity, unigram, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).drop("ids")
+
+
 def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"))
 
@@ -45,6 +54,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
+    "op4_toxicity": op4_toxicity,
+    "op6_unigram": op6_unigram,
     "op7_url_cascade": op7_url_cascade,
     "op8_ogg": op8_ogg,
     "op9_token_counts": op9_token_counts,

@@ -4,7 +4,7 @@ A text's pre-tokens are its words with the white-space marker before them, cut
 where no piece of the vocabulary reaches across (checked when the model is
 read), so the count of a text is the sum over its pre-tokens. First tier: a
 compact hash table of the lengths of the ``frequent`` most common pre-tokens of
-the whole corpus, broadcast; its size is fixed (12 bytes a slot). Second tier:
+the whole corpus, broadcast; its size is fixed (12 bytes a slot, at most four slots each). Second tier:
 a worker's own cache, filled by encoding what misses the first. Pre-tokens
 themselves are never shuffled; only each task's local top counts are, to find
 the common ones.
@@ -22,25 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.kernels import Numbered, UnitCache, map_rows, per_row, span_hashes, texts_of
+from thicket.llm.kernels import Table, UnitCache, kept, map_rows, per_row, span_hashes, texts_of
 
 #: What separates pre-tokens, as bytes: the space, and the line feed, which is no part of any piece.
 SPACE, LINE = 0x20, 0x0A
-_models: dict[str, object] = {}
 
 
-def model(path: str):
+def read(path: str):
     """The SentencePiece model, with the check that its pieces allow cutting before a marker and around a line feed."""
-    if path not in _models:
-        import sentencepiece
+    import sentencepiece
 
-        found = sentencepiece.SentencePieceProcessor(model_file=path)
-        for i in range(found.get_piece_size()):
-            piece = found.id_to_piece(i)
-            if "\n" in piece or "▁" in piece.lstrip("▁"):
-                raise ValueError(f"pieces reach across pre-tokens: {piece!r}")
-        _models[path] = found
-    return _models[path]
+    found = sentencepiece.SentencePieceProcessor(model_file=path)
+    for i in range(found.get_piece_size()):
+        piece = found.id_to_piece(i)
+        if "\n" in piece or "▁" in piece.lstrip("▁"):
+            raise ValueError(f"pieces reach across pre-tokens: {piece!r}")
+    return found
 
 
 def cut(joined: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +59,7 @@ def lengths_of(path: str, units: list[str]) -> np.ndarray:
     The library puts a marker before every text; a line feed in front takes it
     (as marker and byte piece) and leaves the pre-token as it is in its text.
     """
-    return np.fromiter((len(x) - 2 for x in model(path).encode(["\n" + u for u in units], num_threads=1)), np.int64, len(units))
+    return np.fromiter((len(x) - 2 for x in kept(("piece model", path), lambda: read(path)).encode(["\n" + u for u in units], num_threads=1)), np.int64, len(units))
 
 
 def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,36 +88,6 @@ def frequent(docs: DataFrame, text_col: str, rows: int, local: int = 4096) -> Da
     return counts.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(rows)
 
 
-class Table:
-    """Open-addressing hash table from 64-bit hashes to small lengths, in two arrays of a power of two."""
-
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray) -> None:
-        self.bits = max(4, int(2 * len(hashes)).bit_length())
-        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(hashes))
-        at = self.slot(hashes)
-        while len(left):  # all that still look for a slot try theirs at once; one of those that meet in it stays
-            free = self.values[at[left]] < 0
-            self.keys[at[left[free]]] = hashes[left[free]]
-            self.values[at[left[free]]] = lengths[left[free]]
-            left = left[self.keys[at[left]] != hashes[left]]
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-
-    def slot(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, hashes: np.ndarray) -> np.ndarray:
-        """The lengths, -1 where there is none."""
-        at, out = self.slot(hashes), np.full(len(hashes), -1, np.int64)
-        left = np.arange(len(hashes))
-        while len(left):
-            value, hit = self.values[at[left]], self.keys[at[left]] == hashes[left]
-            out[left[hit]] = value[hit]
-            left = left[~hit & (value >= 0)]
-            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-        return out
-
-
 def table(docs: DataFrame, model_path: str, text_col: str, rows: int) -> Table:
     units = [r.unit for r in frequent(docs, text_col, rows).collect()]  # at most ``rows`` strings
     lengths = lengths_of(model_path, units)
@@ -128,7 +95,7 @@ def table(docs: DataFrame, model_path: str, text_col: str, rows: int) -> Table:
     joined = np.frombuffer(b"".join(data), dtype=np.uint8)
     ends = np.cumsum([len(u) for u in data], dtype=np.int64)
     starts = ends - np.fromiter((len(u) for u in data), np.int64, len(data))
-    return Table(span_hashes(joined, starts, ends) if len(data) else np.zeros(0, np.uint64), lengths)
+    return Table(span_hashes(joined, starts, ends), lengths)
 
 
 def count(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, frequent_rows: int = 65_536) -> DataFrame:
@@ -136,21 +103,18 @@ def count(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(table(docs, model_path, text_col, frequent_rows))
     id_type = docs.schema[id_col].dataType.simpleString()
-    caches: list[UnitCache] = []
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), lengths_of(model_path, [u.decode() for u in units])
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not caches:
-            caches.append(UnitCache(encode))
-        cache, texts = caches[0], texts_of(batch, text_col)
+        cache, texts = kept(("token counts", model_path), lambda: UnitCache(encode)), texts_of(batch, text_col)
         joined, starts, ends, per_text = pretokens(texts)
-        lengths = held.value.get(span_hashes(joined, starts, ends)) if len(starts) else np.zeros(0, np.int64)
+        hashes = span_hashes(joined, starts, ends)
+        lengths = held.value.get(hashes)
         missed = np.flatnonzero(lengths < 0)
         if len(missed):
-            data = joined.tobytes()
-            at = cache.find([data[a:b] for a, b in zip(starts[missed].tolist(), ends[missed].tolist())])
+            at = cache.find(joined, starts[missed], ends[missed], hashes[missed])
             lengths[missed] = cache.lengths[at]
         tokens = per_row(per_text, lengths)
         misses = np.zeros(len(starts), np.int64)
