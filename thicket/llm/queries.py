@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, ogg, secret_scan, token_counts, token_files, toxicity, unigram, url_cascade
+from thicket.llm import mixing, ngram_join, ogg, secret_scan, token_counts, token_files, toxicity, unigram, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), words=4, threshold=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model")).drop("ids")
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_join": op5_ngram_join,
     "op6_unigram": op6_unigram,
     "op7_url_cascade": op7_url_cascade,
     "op8_ogg": op8_ogg,
