@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import mixing, ngram_join, ogg, secret_scan, token_counts, token_files, toxicity, unigram, url_cascade
+from thicket.llm import kmeans_tree, mixing, ngram_join, ogg, secret_scan, token_counts, token_files, toxicity, unigram, url_cascade
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
+    "op3_kmeans_tree": op3_kmeans_tree,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
     "op6_unigram": op6_unigram,
