@@ -2,5 +2,382 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from thicket.functions import codes, text
+from thicket.operators import evaluate, facets, profile, tfidf, tree
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- canonical rows, profiles, roles
+
+PART_ROLES = profile.Roles(leaf=["p_partkey"], group=["p_type", "p_brand"], text=["p_name"], meta=["p_size"])
+PART_CANONICAL = """
+SELECT (p_partkey - 1)::BIGINT AS row, p_partkey::VARCHAR AS label, p_type || ' > ' || p_brand || '.' || p_partkey AS leaf_id, p_type || ' > ' || p_brand AS group_path,
+    'p_type: ' || p_type || ' | p_brand: ' || p_brand || ' | p_partkey: ' || p_partkey || ' | p_name: ' || p_name || ' | p_size: ' || p_size AS text, trim(p_name) AS semantic_text, p_type AS top
+FROM part
+"""
+
+
+def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.canonical(table(spark, sf_dir, "part").withColumn("row", F.col("p_partkey") - 1), PART_ROLES, "row")
+
+
+@query(PART_CANONICAL)
+def canonical_part(spark, sf_dir):
+    return part_rows(spark, sf_dir).select("row", "label", "leaf_id", "group_path", "text", "semantic_text", profile.top_group(F.col("group_path")).alias("top"))
+
+
+@query(f"""
+WITH c AS (SELECT 'p_name' AS "column", count(p_name) AS f, count(DISTINCT p_name) AS u, avg(length(p_name)) AS l, count(*) AS n FROM part
+    UNION ALL SELECT 'p_brand', count(p_brand), count(DISTINCT p_brand), avg(length(p_brand)), count(*) FROM part
+    UNION ALL SELECT 'p_type', count(p_type), count(DISTINCT p_type), avg(length(p_type)), count(*) FROM part
+    UNION ALL SELECT 'p_size', count(p_size), count(DISTINCT p_size), avg(length(p_size::VARCHAR)), count(*) FROM part
+    UNION ALL SELECT 'p_partkey', count(p_partkey), count(DISTINCT p_partkey), avg(length(p_partkey::VARCHAR)), count(*) FROM part)
+SELECT "column", round(f / n, 3) AS non_null, u AS unique_values, round(u / n, 3) AS unique_ratio, round(l, 1) AS avg_length,
+    (CASE "column" WHEN 'p_name' THEN 4 ELSE 0 END + CASE WHEN u / n BETWEEN 0.5 AND 1 THEN 3 ELSE 0 END + CASE WHEN l < 80 THEN 1 ELSE 0 END)::INT AS leaf_score,
+    (CASE WHEN u > 1 AND u < least(0.5 * n, 80) THEN 3 ELSE 0 END + CASE WHEN l < 60 THEN 1 ELSE 0 END)::INT AS group_score,
+    (CASE WHEN l > 50 THEN 4 ELSE 0 END + CASE WHEN f / n > 0.5 THEN 1 ELSE 0 END)::INT AS text_score,
+    (CASE "column" WHEN 'p_type' THEN 4 ELSE 0 END + CASE WHEN u > 1 AND u < least(0.8 * n, 100) THEN 2 ELSE 0 END)::INT AS metadata_score
+FROM c
+""")
+def profile_columns_part(spark, sf_dir):
+    columns = ["p_name", "p_brand", "p_type", "p_size", "p_partkey"]
+    return profile.profile(table(spark, sf_dir, "part").select(*columns)).drop("ord")
+
+
+@query("SELECT * FROM (VALUES ('leaf', 'p_name', 0), ('text', 'p_name', 0), ('meta', 'p_type', 0)) t(role, \"column\", ord)")
+def role_pick_part(spark, sf_dir):
+    found = profile.roles(table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", "p_size", "p_partkey"))
+    rows = [(role, c, i) for role, own in (("leaf", found.leaf), ("group", found.group), ("text", found.text), ("meta", found.meta)) for i, c in enumerate(own)]
+    return spark.createDataFrame(rows, "role string, column string, ord int")
+
+
+@query("""
+SELECT p_partkey AS row, CASE WHEN k = 1 THEN p_name ELSE p_name || '__' || k END AS leaf_id
+FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)
+""")
+def dup_leaf_suffix(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.col("p_name").alias("leaf_id"))
+    return profile.deduplicated(rows, "leaf_id", "row").select("row", "leaf_id")
+
+
+_DOMAIN_VALUES = ", ".join(f"('{d}', '{s}')" for d, own in profile.DOMAIN_SIGNALS.items() for s in own)
+
+
+@query(f"""
+SELECT domain, count(*) FILTER (WHERE hit)::INT AS score FROM (
+    SELECT v.domain, v.sig, bool_or(contains(lower(d.text), v.sig)) AS hit FROM (VALUES {_DOMAIN_VALUES}) v(domain, sig), documents d GROUP BY ALL) GROUP BY domain
+""")
+def domain_signals(spark, sf_dir):
+    return profile.domain_scores(table(spark, sf_dir, "documents"), "text").select("domain", F.col("score").cast("int").alias("score"))
+
+
+# --- trees
+
+PART_NODES = """
+WITH t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS id FROM (SELECT DISTINCT p_type FROM part)), m AS (SELECT count(*) AS k FROM t),
+n AS (SELECT 0::BIGINT AS id, 'type' AS name, 'root' AS type UNION ALL SELECT id, p_type, 'aggregation' FROM t
+    UNION ALL SELECT k + row_number() OVER (ORDER BY p_partkey), p_partkey::VARCHAR, 'attribute' FROM part, m),
+e AS (SELECT 0::BIGINT AS parent, id AS child FROM t UNION ALL SELECT t.id, k + row_number() OVER (ORDER BY p_partkey) FROM part JOIN t USING (p_type), m)
+"""
+
+
+def part_tree(spark, sf_dir) -> tree.Tree:
+    return facets.facet_tree(part_rows(spark, sf_dir), profile.top_group(F.col("group_path")), "type")
+
+
+@query(PART_NODES + "SELECT n.id, n.name, n.type, e.parent FROM n LEFT JOIN e ON n.id = e.child")
+def facet_tree_part(spark, sf_dir):
+    t = part_tree(spark, sf_dir)
+    return t.nodes.join(t.edges.select(F.col("child").alias("id"), "parent"), "id", "left").select("id", "name", "type", "parent")
+
+
+@query(PART_NODES + "SELECT n.id, count(l.child)::BIGINT AS leaves FROM n JOIN (SELECT e.parent AS id, e.child FROM e WHERE e.parent <> 0 UNION ALL SELECT 0, e.child FROM e WHERE e.parent <> 0) l USING (id) GROUP BY n.id")
+def tree_leaf_counts_part(spark, sf_dir):
+    return tree.leaf_counts(part_tree(spark, sf_dir))
+
+
+@query("""
+WITH f AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1)
+SELECT count(*)::BIGINT AS aggregations, round(avg(n), 4) AS avg_branching, round(100.0 * avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS singleton_pct, 2 AS max_depth, 2.0::DOUBLE AS avg_leaf_depth, sum(n)::BIGINT AS leaves FROM f
+""")
+def structural_stats_part(spark, sf_dir):
+    return tree.structural_stats(part_tree(spark, sf_dir))
+
+
+def geo_tree(spark, sf_dir) -> tree.Tree:
+    """Regions, nations and customers; ids are keys, moved apart by fixed steps."""
+    region, nation, customer = (table(spark, sf_dir, n) for n in ("region", "nation", "customer"))
+    node = lambda df, key, step, name, kind: df.select((F.col(key) + step).cast("long").alias("id"), F.col(name).alias("name"), F.lit(kind).alias("type"))
+    nodes = spark.range(1).select("id", F.lit("World").alias("name"), F.lit("root").alias("type")).union(node(region, "r_regionkey", 1, "r_name", "aggregation")).union(node(nation, "n_nationkey", 100, "n_name", "aggregation")).union(node(customer, "c_custkey", 1000, "c_name", "attribute"))
+    link = lambda df, up, a, down, b: df.select((F.col(up) + a).cast("long").alias("parent"), (F.col(down) + b).cast("long").alias("child"))
+    edges = region.select(F.lit(0).cast("long").alias("parent"), (F.col("r_regionkey") + 1).cast("long").alias("child")).union(link(nation, "n_regionkey", 1, "n_nationkey", 100)).union(link(customer, "c_nationkey", 100, "c_custkey", 1000))
+    return tree.Tree(nodes, tree.ordered(edges))
+
+
+GEO = """
+WITH RECURSIVE n AS (SELECT 0::BIGINT AS id, 'World' AS name, 'root' AS type UNION ALL SELECT r_regionkey + 1, r_name, 'aggregation' FROM region
+    UNION ALL SELECT n_nationkey + 100, n_name, 'aggregation' FROM nation UNION ALL SELECT c_custkey + 1000, c_name, 'attribute' FROM customer),
+e AS (SELECT 0::BIGINT AS parent, (r_regionkey + 1)::BIGINT AS child FROM region UNION ALL SELECT n_regionkey + 1, n_nationkey + 100 FROM nation UNION ALL SELECT c_nationkey + 100, c_custkey + 1000 FROM customer),
+c AS (SELECT parent AS anc, child AS "desc", 1 AS dist FROM e UNION ALL SELECT c.anc, e.child, c.dist + 1 FROM c JOIN e ON c."desc" = e.parent)
+"""
+
+
+@query(GEO + 'SELECT anc, "desc", dist FROM c')
+def geo_tree_closure(spark, sf_dir):
+    return tree.closure(geo_tree(spark, sf_dir).edges)
+
+
+@query(GEO + """SELECT n.id, concat_ws(' > ', (SELECT string_agg(m.name, ' > ' ORDER BY c.dist DESC) FROM c JOIN n m ON c.anc = m.id WHERE c."desc" = n.id AND c.anc <> 0), n.name) AS path,
+    (SELECT count(*) FROM c WHERE c."desc" = n.id)::INT AS depth FROM n WHERE n.id <> 0""")
+def path_rows_geo(spark, sf_dir):
+    return tree.path_rows(geo_tree(spark, sf_dir))
+
+
+@query(GEO + """, d AS (SELECT "desc" AS id, dist AS depth FROM c WHERE anc = 0), f AS (SELECT n.id, count(e.child) AS k FROM n LEFT JOIN e ON e.parent = n.id WHERE n.type = 'aggregation' GROUP BY 1)
+SELECT count(*) AS aggregations, round(avg(k), 4) AS avg_branching, round(100.0 * avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS singleton_pct,
+    (SELECT max(depth) FROM d JOIN n USING (id) WHERE type = 'attribute') AS max_depth, (SELECT round(avg(depth), 4) FROM d JOIN n USING (id) WHERE type = 'attribute') AS avg_leaf_depth, (SELECT count(*) FROM n WHERE type = 'attribute') AS leaves FROM f""")
+def structural_stats(spark, sf_dir):
+    return tree.structural_stats(geo_tree(spark, sf_dir))
+
+
+@query(GEO + """SELECT "desc" AS id, parent, depth FROM (SELECT "desc", dist AS depth FROM c WHERE anc = 0) JOIN e ON e.child = "desc" """)
+def single_parent(spark, sf_dir):
+    """Customers hang below both region and nation; the deeper parent stays."""
+    t = geo_tree(spark, sf_dir)
+    region_of = t.edges.where("parent BETWEEN 1 AND 99").select(F.col("child").alias("nation"), F.col("parent").alias("up"))
+    twice = t.edges.join(region_of, F.col("parent") == F.col("nation")).select(F.col("up").alias("parent"), "child")
+    fixed = tree.single_parent(tree.Tree(t.nodes, tree.ordered(t.edges.select("parent", "child").union(twice))))
+    return fixed.edges.select(F.col("child").alias("id"), "parent").join(tree.depths(fixed), "id")
+
+
+@query(GEO + "SELECT id, name FROM n WHERE id NOT IN (SELECT n_nationkey + 100 FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)) AND (type <> 'attribute' OR id IN (SELECT c_custkey + 1000 FROM customer WHERE c_acctbal < 0)) AND (id NOT BETWEEN 1 AND 99 OR id IN (SELECT n_regionkey + 1 FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)))")
+def prune_empty(spark, sf_dir):
+    """Only customers in debt stay; aggregations without any go."""
+    t = geo_tree(spark, sf_dir)
+    debt = table(spark, sf_dir, "customer").where("c_acctbal < 0").select((F.col("c_custkey") + 1000).cast("long").alias("id"))
+    nodes = t.nodes.where("type <> 'attribute'").union(t.nodes.where("type = 'attribute'").join(debt, "id", "left_semi"))
+    return tree.pruned(tree.Tree(nodes, t.edges)).nodes.select("id", "name")
+
+
+@query("SELECT n_nationkey + 100::BIGINT AS id, r_name || ' / ' || n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE false UNION ALL SELECT 1 + r_regionkey, r_name || ' / all' FROM region")
+def compress_chains(spark, sf_dir):
+    """A region with one node `all` below it is one node."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    ids = region.select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.col("r_name").alias("name"))
+    nodes = spark.range(1).select("id", F.lit("World").alias("name"), F.lit("root").alias("type")).union(ids.select("id", "name", F.lit("aggregation"))).union(ids.select(F.col("id") + 10, F.lit("all"), F.lit("aggregation"))).union(nation.select((F.col("n_nationkey") + 100).cast("long"), "n_name", F.lit("attribute")))
+    edges = ids.select(F.lit(0).cast("long").alias("parent"), F.col("id").alias("child")).union(ids.select("id", F.col("id") + 10)).union(nation.select((F.col("n_regionkey") + 11).cast("long"), (F.col("n_nationkey") + 100).cast("long")))
+    return tree.compressed(tree.Tree(nodes, tree.ordered(edges))).nodes.where("type = 'aggregation'").select("id", "name")
+
+
+@query(GEO + "SELECT id, name, type FROM n WHERE contains(lower(name || ' ' || type), 'customer#00000001') OR contains(lower(name), 'ia')")
+def search_nodes(spark, sf_dir):
+    t = geo_tree(spark, sf_dir)
+    return tree.search(t, "customer#00000001").union(tree.search(t, "IA", columns=("name",))).distinct()
+
+
+# --- terms
+
+DOC_TERMS = "WITH t AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), u AS (SELECT doc, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents)\n"
+
+
+def doc_terms(spark, sf_dir) -> DataFrame:
+    return tfidf.terms(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), pattern="[a-z]+").where("length(term) >= 3")
+
+
+@query(DOC_TERMS + "SELECT term, count(*) AS df FROM u GROUP BY 1")
+def doc_freq(spark, sf_dir):
+    return tfidf.doc_freq(doc_terms(spark, sf_dir))
+
+
+@query(DOC_TERMS + "SELECT term, count(*) AS df, round(ln((max(n.n) + 1) / (count(*) + 1)) + 1, 6) AS idf FROM u, n GROUP BY 1")
+def corpus_idf(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return tfidf.corpus_idf(doc_terms(spark, sf_dir), n).withColumn("idf", F.round("idf", 6))
+
+
+TFIDF = DOC_TERMS + """, i AS (SELECT term, ln((max(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM u, n GROUP BY 1), w AS (SELECT doc, term, tf * idf AS w FROM u JOIN i USING (term)),
+x AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS tfidf FROM w)
+"""
+
+
+@query(TFIDF + ", m AS (SELECT term, sum(tfidf) / max(n.n) AS mean_tfidf, count(*) AS df FROM x, n GROUP BY 1) SELECT term, round(mean_tfidf, 6) AS mean_tfidf, df FROM m ORDER BY round(m.mean_tfidf, 9) DESC, term LIMIT 50")
+def tfidf_top_terms(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").count()
+    return tfidf.top_terms(tfidf.tfidf(doc_terms(spark, sf_dir), n), n, 50).withColumn("mean_tfidf", F.round("mean_tfidf", 6))
+
+
+@query(TFIDF + """, g AS (SELECT source AS grp, count(*) AS n FROM documents GROUP BY 1), s AS (SELECT source AS grp, term, round(sum(tfidf) / max(g.n), 6) AS score FROM x JOIN documents ON doc = doc_id JOIN g ON g.grp = source GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term)::INT AS rank FROM s) WHERE rank <= 5""")
+def top_terms_by_source(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scores = tfidf.tfidf(doc_terms(spark, sf_dir), docs.count())
+    return tfidf.top_terms_per_group(scores, docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("grp")), 5)
+
+
+@query(DOC_TERMS + """, g AS (SELECT source AS grp, count(*) AS n FROM documents GROUP BY 1), a AS (SELECT source AS grp, term, count(*) AS f FROM u JOIN documents ON doc = doc_id GROUP BY 1, 2),
+t AS (SELECT term, sum(f) AS f_all FROM a GROUP BY 1),
+s AS (SELECT a.grp, a.term, round(f / g.n - (f_all - f) / greatest((SELECT n FROM n) - g.n, 1), 9) AS score FROM a JOIN g USING (grp) JOIN t USING (term) WHERE f >= 2 OR f / g.n >= 0.5),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS k FROM s WHERE score > 0)
+SELECT g.grp, coalesce(string_agg(upper(term[1]) || term[2:], ' / ' ORDER BY k), 'Group') AS label FROM g LEFT JOIN r ON r.grp = g.grp AND k <= 2 GROUP BY 1""")
+def contrastive_labels(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("grp"))
+    return tfidf.contrastive_labels(doc_terms(spark, sf_dir).select("doc", "term"), docs)
+
+
+@query("""
+WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), g AS (
+    SELECT p_partkey, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, range(1, 5) a(n), range(1, 12) b(i) WHERE i + n - 1 <= len(w))
+SELECT phrase, count(DISTINCT p_partkey) AS n_rows FROM g GROUP BY 1 HAVING count(DISTINCT p_partkey) >= 2
+""")
+def ngram_phrases(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(text.ngrams(F.split("p_name", " "), 1, 4))).alias("phrase"))
+    return rows.groupBy("phrase").agg(F.count("*").alias("n_rows")).where("n_rows >= 2")
+
+
+@query("SELECT p_partkey, p_name AS label, CASE WHEN ends_with(p_name, 's') AND NOT ends_with(p_name, 'ss') AND length(p_name) > 3 THEN p_name[:-2] ELSE p_name END AS single, len(string_split(p_name, ' '))::INT AS n_words FROM part")
+def name_functions(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("label"), text.singular(F.col("p_name")).alias("single"), F.size(text.spaced(F.col("p_name"))).alias("n_words"))
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in text.EVAL_STOP)
+
+
+@query(f"SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z][a-z]+'), w -> w NOT IN ({_STOP_SQL})))) AS tokens FROM benchmark")
+def eval_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(text.eval_tokens(F.col("text"))).alias("tokens"))
+
+
+# --- codes
+
+CODES_SQL = "WITH s AS (SELECT s_suppkey AS id, upper(replace(s_name, '#', '')) AS code FROM supplier), a AS (SELECT id, regexp_extract(code, '^([A-Z]+)', 1) AS alpha FROM s), p AS (SELECT id, alpha[1:n] AS prefix, n FROM a, range(3, 60) r(n) WHERE n <= length(alpha)), c AS (SELECT prefix FROM p GROUP BY 1 HAVING count(*) >= 2)\n"
+
+
+@query(CODES_SQL + "SELECT s.id, coalesce(arg_max(p.prefix, p.n), '') AS family FROM s LEFT JOIN (p JOIN c USING (prefix)) p ON s.id = p.id GROUP BY 1")
+def code_families(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.upper(F.regexp_replace("s_name", "#", "")).alias("code"))
+    return codes.families(rows, "id", "code")
+
+
+@query(r"SELECT p_partkey, list_filter(regexp_extract_all(p_brand, '\d+'), d -> regexp_matches(p_name || ' ' || p_size, '\b' || d || '\b'))[1] AS digit, regexp_extract(p_brand, '(\d+)', 1) AS raw_digit FROM part")
+def condition_digits(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", codes.condition_digit(F.col("p_brand"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("digit"), facets.condition(F.col("p_brand")).alias("raw_digit"))
+
+
+# --- vectors
+
+UNIT = "WITH v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS u FROM v), p AS (SELECT vec_id, label, unnest(u) AS c, generate_subscripts(u, 1) - 1 AS pos FROM u), m AS (SELECT label AS grp, pos, avg(c) AS c FROM p GROUP BY 1, 2), n AS (SELECT grp, pos, c / sqrt(sum(c * c) OVER (PARTITION BY grp)) AS c FROM m)\n"
+
+
+@query(UNIT + "SELECT grp, pos::INT AS pos, round(c, 6) AS c FROM n")
+def centroids(spark, sf_dir):
+    return evaluate.centroids(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("c", F.round("c", 6))
+
+
+@query(UNIT + ", s AS (SELECT vec_id, p.label, n.grp, round(sum(p.c * n.c), 9) AS sim FROM p JOIN n USING (pos) GROUP BY ALL), b AS (SELECT vec_id AS id, any_value(label) AS current, arg_max(grp, {'s': sim, 'g': -grp}) AS best, max(sim) AS top, max(sim) FILTER (grp = label) AS own FROM s GROUP BY 1) SELECT id, current, best, best <> current AND top > own + 0.02 AS moves FROM b")
+def nearest_centroid_moves(spark, sf_dir):
+    return evaluate.nearest_centroids(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+
+
+@query(UNIT + ", q AS (SELECT label AS grp, pos, sum(c) AS s, count(*) AS n FROM p GROUP BY 1, 2) SELECT grp, max(n) AS n, round(CASE WHEN max(n) > 1 THEN (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) ELSE 1 END, 6) AS coherence FROM q GROUP BY 1")
+def sibling_coherence(spark, sf_dir):
+    return evaluate.coherence(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+# --- partitions
+
+CELLS_SQL = "WITH t AS (SELECT lang AS a, quality || '/' || toxic AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2), a AS (SELECT a, sum(n) AS n FROM t GROUP BY 1), b AS (SELECT b, sum(n) AS n FROM t GROUP BY 1), s AS (SELECT sum(n) AS n FROM t)\n"
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.contingency(rows.withColumn("kind", F.concat_ws("/", "quality", "toxic")), "lang", "kind")
+
+
+@query(CELLS_SQL + "SELECT round(sum(m) / sum(n), 4) AS purity FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY a)")
+def purity(spark, sf_dir):
+    return evaluate.purity(cells(spark, sf_dir))
+
+
+@query(CELLS_SQL + ", x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(n * (n - 1) / 2) FROM a) AS i, (SELECT sum(n * (n - 1) / 2) FROM b) AS j, (SELECT n * (n - 1) / 2 FROM s) AS p) SELECT round(CASE WHEN (i + j) / 2 = i * j / p THEN 1 ELSE (ij - i * j / p) / ((i + j) / 2 - i * j / p) END, 4) AS ari FROM x")
+def ari(spark, sf_dir):
+    return evaluate.ari(cells(spark, sf_dir))
+
+
+MI_SQL = CELLS_SQL + ", h AS (SELECT (SELECT sum(t.n / s.n * ln(t.n * s.n / (a.n * b.n))) FROM t JOIN a USING (a) JOIN b USING (b), s) AS mi, (SELECT -sum(a.n / s.n * ln(a.n / s.n)) FROM a, s) AS ha, (SELECT -sum(b.n / s.n * ln(b.n / s.n)) FROM b, s) AS hb)\n"
+
+
+@query(MI_SQL + "SELECT round(CASE WHEN ha + hb = 0 THEN 1 ELSE mi / ((ha + hb) / 2) END, 4) AS nmi FROM h")
+def nmi(spark, sf_dir):
+    return evaluate.nmi(cells(spark, sf_dir))
+
+
+@query(MI_SQL + """, k AS (SELECT a.n::BIGINT AS x, b.n::BIGINT AS y, s.n::BIGINT AS t, unnest(range(greatest(1, (a.n + b.n - s.n)::BIGINT), least(a.n, b.n)::BIGINT + 1)) AS k FROM a, b, s),
+em AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS emi FROM k)
+SELECT round(CASE WHEN abs((ha + hb) / 2 - emi) < 1e-15 THEN 1 ELSE (mi - emi) / ((ha + hb) / 2 - emi) END, 4) AS ami FROM h, em""")
+def ami(spark, sf_dir):
+    return evaluate.ami(cells(spark, sf_dir))
+
+
+# --- tree metrics
+
+def customer_paths(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return c.select(F.col("c_name").alias("leaf"), F.array("r_name", "n_name").alias("path")), c.select(F.col("c_name").alias("leaf"), F.array("c_mktsegment", "n_name").alias("path"))
+
+
+PATHS_SQL = "WITH c AS (SELECT c_name AS leaf, r_name AS s1, r_name || ' > ' || n_name AS s2, c_mktsegment AS g1, c_mktsegment || ' > ' || n_name AS g2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _pairs_sql(name: str, s: str, g: str) -> str:
+    f = "sum(n * (n - 1) / 2)"
+    return f"""{PATHS_SQL}, x AS (SELECT (SELECT {f} FROM (SELECT count(*) AS n FROM c GROUP BY {s})) AS s, (SELECT {f} FROM (SELECT count(*) AS n FROM c GROUP BY {g})) AS g, (SELECT {f} FROM (SELECT count(*) AS n FROM c GROUP BY {s}, {g})) AS t)
+SELECT round(t / s, 4) AS {name}_p, round(t / g, 4) AS {name}_r, round(2 * t / s * t / g / (t / s + t / g), 4) AS {name}_f1 FROM x"""
+
+
+@query(_pairs_sql("edge", "s2", "g2"))
+def edge_f1(spark, sf_dir):
+    return evaluate.edge_f1(*customer_paths(spark, sf_dir))
+
+
+@query(_pairs_sql("ancestor", "s1", "g1"))
+def ancestor_f1(spark, sf_dir):
+    return evaluate.ancestor_f1(*customer_paths(spark, sf_dir))
+
+
+@query(PATHS_SQL + """, x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY s1))::BIGINT AS n_system, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY g1))::BIGINT AS n_gold, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY s1, g1))::BIGINT AS correct)
+SELECT *, n_system - correct AS wrong_merge, n_gold - correct AS missed FROM x""")
+def refinement(spark, sf_dir):
+    return evaluate.refinement(*customer_paths(spark, sf_dir))
+
+
+@query(PATHS_SQL + """, a AS (SELECT leaf, unnest([s1, s2]) AS i FROM c), b AS (SELECT leaf, unnest([g1, g2]) AS j FROM c), na AS (SELECT i, count(*) AS ni FROM a GROUP BY 1 HAVING count(*) >= 2), nb AS (SELECT j, count(*) AS nj FROM b GROUP BY 1 HAVING count(*) >= 2),
+x AS (SELECT i, j, count(*) AS k, any_value(ni) AS ni, any_value(nj) AS nj FROM a JOIN na USING (i) JOIN b USING (leaf) JOIN nb USING (j) GROUP BY 1, 2), y AS (SELECT i, j, k / (ni + nj - k) AS jac FROM x),
+z AS (SELECT (SELECT avg(m) FROM (SELECT max(jac) AS m FROM y GROUP BY i)) AS p, (SELECT avg(m) FROM (SELECT max(jac) AS m FROM y GROUP BY j)) AS r)
+SELECT round(p, 4) AS overlap_p, round(r, 4) AS overlap_r, round(2 * p * r / (p + r), 4) AS overlap_f1 FROM z""")
+def set_overlap(spark, sf_dir):
+    return evaluate.set_overlap(*customer_paths(spark, sf_dir))
+
+
+@query(GEO + """, l AS (SELECT id, name, len(string_split(name, ' ')) AS w FROM n WHERE type = 'aggregation'), k AS (SELECT parent, count(*) AS n, count(DISTINCT lower(name)) AS d FROM e JOIN l ON child = l.id GROUP BY 1)
+SELECT round(100 * avg((w <= 3)::INT), 2) AS short_pct, round(100 * avg((NOT contains(name, '/'))::INT), 2) AS no_slash_pct, round(avg(w), 2) AS avg_words, (SELECT round(100 * sum(n - d) / sum(n), 2) FROM k) AS redundancy_pct FROM l""")
+def label_quality(spark, sf_dir):
+    return evaluate.label_quality(geo_tree(spark, sf_dir))
