@@ -40,7 +40,7 @@ def condition_digit(label: Column, text: Column) -> Column:
     """The first run of digits in the code that is a word of the text; null if none is."""
     low = F.lower(text)
     runs = F.regexp_extract_all(first_code(label), F.lit(r"(\d+)"), F.lit(1))
-    return F.get(F.filter(runs, lambda d: low.rlike(F.concat(F.lit(r"\b"), d, F.lit(r"\b")))), F.lit(0))
+    return F.get(F.filter(runs, lambda d: F.rlike(low, F.concat(F.lit(r"\b"), d, F.lit(r"\b")))), F.lit(0))
 
 
 def expansions(rows: DataFrame, row_col: str, label_col: str, text_col: str, group_col: str) -> DataFrame:
@@ -67,5 +67,5 @@ def expansions(rows: DataFrame, row_col: str, label_col: str, text_col: str, gro
 def covered(text: Column, expansion: Column) -> Column:
     """Whether at least 60 % of the expansion's content words are words of the text."""
     own = F.filter(F.regexp_extract_all(F.lower(expansion), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(EXPANSION_STOP))
-    inside = F.filter(own, lambda w: F.lower(text).rlike(F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
+    inside = F.filter(own, lambda w: F.rlike(F.lower(text), F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
     return (F.size(own) == 0) | (F.size(inside) >= 0.6 * F.size(own))

@@ -74,14 +74,21 @@ def concept_title(x: Column) -> Column:
     return F.when(F.regexp_count(title, F.lit("[A-Za-z]+")) > 9, F.lit("")).otherwise(title)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value worked out once: an expression named in a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams of low to high tokens, joined by spaces, by n and then position."""
+    if low == high == 1:
+        return tokens
 
-    def of(n: int) -> Column:
-        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-        return F.when(F.size(tokens) >= n, own).otherwise(F.array().cast("array<string>"))
+    def of(t: Column, n: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(t, i, n)))
+        return F.when(F.size(t) >= n, own).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.array(*[of(n) for n in range(low, high + 1)]))
+    return bound(tokens, lambda t: F.flatten(F.array(*[of(t, n) for n in range(low, high + 1)])))
 
 
 def title_phrases(title: Column, blocked: list[str] | None = None) -> Column:

@@ -63,7 +63,7 @@ def profile_columns_part(spark, sf_dir):
     return profile.profile(table(spark, sf_dir, "part").select(*columns)).drop("ord")
 
 
-@query("SELECT * FROM (VALUES ('leaf', 'p_name', 0), ('text', 'p_name', 0), ('meta', 'p_type', 0)) t(role, \"column\", ord)")
+@query("SELECT * FROM (VALUES ('leaf', 'p_name', 0), ('group', 'p_brand', 0), ('group', 'p_size', 1), ('text', 'p_name', 0), ('meta', 'p_type', 0)) t(role, \"column\", ord)")
 def role_pick_part(spark, sf_dir):
     found = profile.roles(table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", "p_size", "p_partkey"))
     rows = [(role, c, i) for role, own in (("leaf", found.leaf), ("group", found.group), ("text", found.text), ("meta", found.meta)) for i, c in enumerate(own)]
@@ -234,8 +234,8 @@ def top_terms_by_source(spark, sf_dir):
 
 
 @query(DOC_TERMS + """, g AS (SELECT source AS grp, count(*) AS n FROM documents GROUP BY 1), a AS (SELECT source AS grp, term, count(*) AS f FROM u JOIN documents ON doc = doc_id GROUP BY 1, 2),
-t AS (SELECT term, sum(f) AS f_all FROM a GROUP BY 1),
-s AS (SELECT a.grp, a.term, round(f / g.n - (f_all - f) / greatest((SELECT n FROM n) - g.n, 1), 9) AS score FROM a JOIN g USING (grp) JOIN t USING (term) WHERE f >= 2 OR f / g.n >= 0.5),
+tt AS (SELECT term, sum(f) AS f_all FROM a GROUP BY 1),
+s AS (SELECT a.grp, a.term, round(f / g.n - (f_all - f) / greatest((SELECT n FROM n) - g.n, 1), 9) AS score FROM a JOIN g USING (grp) JOIN tt USING (term) WHERE f >= 2 OR f / g.n >= 0.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS k FROM s WHERE score > 0)
 SELECT g.grp, coalesce(string_agg(upper(term[1]) || term[2:], ' / ' ORDER BY k), 'Group') AS label FROM g LEFT JOIN r ON r.grp = g.grp AND k <= 2 GROUP BY 1""")
 def contrastive_labels(spark, sf_dir):
@@ -261,7 +261,7 @@ def name_functions(spark, sf_dir):
 _STOP_SQL = ", ".join(f"'{w}'" for w in text.EVAL_STOP)
 
 
-@query(f"SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z][a-z]+'), w -> w NOT IN ({_STOP_SQL})))) AS tokens FROM benchmark")
+@query(f"SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z][a-z]+'), lambda w: w NOT IN ({_STOP_SQL})))) AS tokens FROM benchmark")
 def eval_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(text.eval_tokens(F.col("text"))).alias("tokens"))
 
@@ -277,14 +277,14 @@ def code_families(spark, sf_dir):
     return codes.families(rows, "id", "code")
 
 
-@query(r"SELECT p_partkey, list_filter(regexp_extract_all(p_brand, '\d+'), d -> regexp_matches(p_name || ' ' || p_size, '\b' || d || '\b'))[1] AS digit, regexp_extract(p_brand, '(\d+)', 1) AS raw_digit FROM part")
+@query(r"SELECT p_partkey, list_filter(regexp_extract_all(p_brand, '\d+'), lambda d: regexp_matches(p_name || ' ' || p_size, '\b' || d || '\b'))[1] AS digit, regexp_extract(p_brand, '(\d+)', 1) AS raw_digit FROM part")
 def condition_digits(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", codes.condition_digit(F.col("p_brand"), F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))).alias("digit"), facets.condition(F.col("p_brand")).alias("raw_digit"))
 
 
 # --- vectors
 
-UNIT = "WITH v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, x -> x / sqrt(list_dot_product(e, e))) AS u FROM v), p AS (SELECT vec_id, label, unnest(u) AS c, generate_subscripts(u, 1) - 1 AS pos FROM u), m AS (SELECT label AS grp, pos, avg(c) AS c FROM p GROUP BY 1, 2), n AS (SELECT grp, pos, c / sqrt(sum(c * c) OVER (PARTITION BY grp)) AS c FROM m)\n"
+UNIT = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v), p AS (SELECT vec_id, label, unnest(u) AS c, generate_subscripts(u, 1) - 1 AS pos FROM u), m AS (SELECT label AS grp, pos, avg(c) AS c FROM p GROUP BY 1, 2), n AS (SELECT grp, pos, c / sqrt(sum(c * c) OVER (PARTITION BY grp)) AS c FROM m)\n"
 
 
 @query(UNIT + "SELECT grp, pos::INT AS pos, round(c, 6) AS c FROM n")
