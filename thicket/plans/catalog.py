@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import codes, text
-from thicket.operators import evaluate, facets, profile, tfidf, tree
+from thicket.operators import evaluate, facets, profile, slots, tfidf, tree, viz
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -381,3 +381,80 @@ def set_overlap(spark, sf_dir):
 SELECT round(100 * avg((w <= 3)::INT), 2) AS short_pct, round(100 * avg((NOT contains(name, '/'))::INT), 2) AS no_slash_pct, round(avg(w), 2) AS avg_words, (SELECT round(100 * sum(n - d) / sum(n), 2) FROM k) AS redundancy_pct FROM l""")
 def label_quality(spark, sf_dir):
     return evaluate.label_quality(geo_tree(spark, sf_dir))
+
+
+# --- slots, builds, views
+
+PHRASES_SQL = """
+WITH w AS (SELECT p_partkey AS row, p_type AS grp, string_split(p_name, ' ') AS w FROM part),
+g AS (SELECT DISTINCT grp, row, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, range(1, 5) a(n), range(1, 12) b(i) WHERE i + n - 1 <= len(w)),
+f AS (SELECT grp, phrase FROM g WHERE length(phrase) >= 3 GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT g.* FROM g JOIN f USING (grp, phrase)),
+m AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k q WHERE q.grp = k.grp AND q.row = k.row AND q.phrase <> k.phrase AND contains(q.phrase, k.phrase))),
+c AS (SELECT grp, phrase, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 2), p AS (SELECT m.grp, m.row, m.phrase, c.n FROM m JOIN c USING (grp, phrase))
+"""
+
+
+def part_phrases(spark, sf_dir) -> DataFrame:
+    return slots.phrases(table(spark, sf_dir, "part"), "p_type", "p_partkey", F.col("p_name"))
+
+
+@query(PHRASES_SQL + "SELECT * FROM p")
+def maximal_phrases(spark, sf_dir):
+    return part_phrases(spark, sf_dir)
+
+
+@query(PHRASES_SQL + "SELECT a.grp, a.phrase AS a, b.phrase AS b, round(1 - count(*) / least(any_value(a.n), any_value(b.n)), 6) AS m FROM p a JOIN p b ON a.grp = b.grp AND a.row = b.row AND a.phrase < b.phrase GROUP BY 1, 2, 3")
+def mutual_exclusion(spark, sf_dir):
+    return slots.exclusion(part_phrases(spark, sf_dir))
+
+
+@query()
+def slot_assignment(spark, sf_dir):
+    """Greedy slots depend on the order of phrases; held against properties in tests."""
+    own = part_phrases(spark, sf_dir)
+    return slots.assigned(own, slots.slots(own))
+
+
+@query(GEO + ", k AS (SELECT anc AS id, count(*) AS v FROM c JOIN n ON c.\"desc\" = n.id WHERE n.type = 'attribute' GROUP BY 1) SELECT n.id, n.name[1:40] AS label, e.parent, coalesce(k.v, 1) AS value FROM n LEFT JOIN e ON n.id = e.child LEFT JOIN k ON n.id = k.id")
+def viz_table(spark, sf_dir):
+    return viz.viz_table(geo_tree(spark, sf_dir))
+
+
+@query(GEO + ", k AS (SELECT anc, count(*) AS v FROM c WHERE anc BETWEEN 100 AND 999 GROUP BY 1) SELECT id, name, type FROM n WHERE type <> 'attribute' UNION ALL SELECT anc + 1000000000, '+' || v || ' nodes', 'collapsed' FROM k")
+def collapsed_graph(spark, sf_dir):
+    return viz.collapsed_graph(geo_tree(spark, sf_dir), 2).nodes
+
+
+@query("SELECT event_type, k AS key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS k FROM events) GROUP BY ALL")
+def events_dictionary(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_type", F.explode(F.json_object_keys("props")).alias("key")).groupBy("event_type", "key").agg(F.count("*").alias("n"))
+
+
+@query()
+def ward_tree_embeddings(spark, sf_dir):
+    """H1: paths of clusters within each label. Labels over 1,000 vectors are dealt into parts by hash, each a subtree, as distances grow with the square."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / 1000).alias("parts"))
+    dealt = vectors.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+
+        from thicket.operators import cluster
+
+        pdf = pdf.sort_values("vec_id")
+        x = np.stack(pdf.v.to_numpy())
+        paths = cluster.ward_paths(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return pd.DataFrame({"vec_id": pdf.vec_id, "label": pdf.label, "path": [" > ".join([str(pdf.part.iloc[0]), *map(str, p)]) for p in paths]})
+
+    return dealt.groupBy("label", "part").applyInPandas(one, "vec_id long, label int, path string")
+
+
+@query()
+def npmi_sources(spark, sf_dir):
+    """V2 of the contrastive labels of sources over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    labels = contrastive_labels(spark, sf_dir)
+    nodes = labels.select(F.xxhash64("grp").alias("id"), F.col("label").alias("name"), F.lit("aggregation").alias("type"))
+    return evaluate.npmi(nodes, docs, "doc_id", "text")
