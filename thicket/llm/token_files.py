@@ -39,18 +39,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.kernels import UnitCache, groups, map_rows, per_row, sliced, texts_of
+from thicket.llm.kernels import UnitCache, groups, kept, map_rows, per_row, sliced, texts_of
 from thicket.storage import shared_dir, small, written
 
 SCALE = 18
 LOW = 1 << 31
-BLOCK = 1 << 18
-LANES = 512
-EVERY = 1 << 17
+BLOCK = 1 << 20
+LANES = 2048
+EVERY = 1 << 18
 HEAD = struct.Struct("<4sHHIIIIII")
 VERSION = 1
 
@@ -169,78 +170,81 @@ class Coder:
         return ids
 
 
-_GAPS = re.compile(r"(?<=\S) (?=\S)")
+# White space as bytes: ASCII (with the separators that some libraries count), and the longer characters by their bytes.
+_ASCII_WHITE = np.zeros(256, dtype=bool)
+_ASCII_WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_LETTER, _POINT = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_POINT[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+_WIDE_WHITE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SPECIAL = "<|"
+#: The pre-tokens of byte-level BPE, as the tokenizers library has them.
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Tokenizer:
     """ids of whole texts by the tokenizers library, from a cache of text units.
 
-    A byte-level tokenizer's pre-tokens never reach over a single space between
-    two other characters, so a text's ids are those of its units there. New
-    units are encoded joined in one string, and told apart by the byte lengths of
-    their tokens. Texts with what may be a special token are encoded whole.
+    A pre-token never reaches over a single space or line feed between two
+    characters that are no white space, nor from an ASCII letter to punctuation
+    other than an apostrophe. So a text's ids are those of its units between
+    such places, found by hash; the library's model merges the pre-tokens of
+    units that are new. Texts with what may be a special token, and all texts of
+    a tokenizer that isn't plain byte-level BPE, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer as Library
 
-        self.library = Library.from_file(path)
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.size[list(vocab.values())] = [len(token) for token in vocab]
-        self.cache = UnitCache(self.new)
+        self.library, self.pattern, self.letters = Library.from_file(path), regex.compile(PRETOKEN), letters()
+        with open(path) as f:
+            plan = json.load(f)
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.plain = plan.get("normalizer") is None and byte_level.items() <= {"use_regex": True, **(plan.get("pre_tokenizer") or {})}.items()
+        self.cache = UnitCache(self.new, most=600_000)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def new(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A unit that begins with a space is the first of its text, and has none there; all others have one."""
-        plain = np.fromiter((u[0] != " " and not u[-1].isspace() for u in units), bool, len(units))
-        lengths, parts = np.zeros(len(units), np.int64), {}
-        for i, ids in zip(np.flatnonzero(~plain), self.whole([u[1:] if u[0] == " " else " " + u for u, p in zip(units, plain) if not p])):
-            parts[int(i)] = ids
-            lengths[i] = len(ids)
-        inner = [u for u, p in zip(units, plain) if p]
-        found = []
-        for a, b in groups(map(len, inner), 1 << 18):
-            group = inner[a:b]
-            ids = np.array(self.library.encode(" " + " ".join(group), add_special_tokens=False).ids, np.int32)
-            ends = np.cumsum(self.size[ids])
-            want = np.cumsum([1 + len(u.encode()) for u in group])
-            at = np.searchsorted(ends, want)
-            if len(ends) == 0 or at[-1] >= len(ends) or (ends[at] != want).any():
-                raise ValueError("a token reaches across two units")
-            found.append((ids, np.diff(at + 1, prepend=0)))
-        inner_ids = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int32)
-        if found:
-            lengths[plain] = np.concatenate([x for _, x in found])
-        if not parts:
-            return inner_ids, lengths
-        out = np.zeros(int(lengths.sum()), np.int32)
-        starts = np.cumsum(lengths) - lengths
-        is_inner = np.repeat(plain, lengths)
-        out[is_inner] = inner_ids
-        for i, ids in parts.items():
-            out[starts[i] : starts[i] + len(ids)] = ids
-        return out, lengths
+    def ids_of(self, pretoken: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(pretoken.encode().decode("latin-1").translate(self.letters))]
+
+    def new(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for unit in map(bytes.decode, units):
+            before, word = len(ids), unit.removeprefix(" ")
+            # One pre-token, as most are; past the common alphabets the pattern decides.
+            if word.isalpha() and max(word) < "\u0530":
+                ids += self.ids_of(unit)
+            else:
+                for pretoken in self.pattern.findall(unit):
+                    ids += self.ids_of(pretoken)
+            lengths.append(len(ids) - before)
+        return np.array(ids, np.int32), np.array(lengths, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and their number for each."""
-        units, counts, whole = [], np.zeros(len(texts), np.int64), {}
-        for i, text in enumerate(texts):
-            if _SPECIAL in text:
-                whole[i] = text
-                continue
-            own = _GAPS.split(text) if "  " in text or " \n" in text or "\n " in text or not text.isascii() or "\t" in text or "\r" in text or text[:1].isspace() or text[-1:].isspace() else text.split(" ")
-            own[0] = " " + own[0]
-            units += own
-            counts[i] = len(own)
-        ids, lengths = self.cache.tokens(units)
-        n = per_row(counts, lengths)
+        whole = {i: t for i, t in enumerate(texts) if _SPECIAL in t or not self.plain}
+        coded = [b"" if i in whole else t.encode() for i, t in enumerate(texts)]
+        ids, n = [], []
+        for a, b in groups(map(len, coded)):
+            found, counts = self._units(coded[a:b], any(_WIDE_WHITE.search(t) for t in texts[a:b]))
+            ids.append(found)
+            n.append(counts)
+        ids, n = np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(n) if n else np.zeros(0, np.int64)
         if not whole:
             return ids, n
         pieces = np.split(ids, np.cumsum(n)[:-1])
@@ -248,16 +252,53 @@ class Tokenizer:
             pieces[i], n[i] = found, len(found)
         return np.concatenate(pieces), n
 
+    def _units(self, coded: list[bytes], wide: bool) -> tuple[np.ndarray, np.ndarray]:
+        joined = np.frombuffer(b"".join(coded), np.uint8)
+        ends = np.cumsum([len(c) for c in coded])
+        white = _ASCII_WHITE[joined]
+        if wide:
+            white |= wide_white(joined)
+        new = np.zeros(len(joined) + 1, bool)
+        single = ~white[:-2] & ~white[2:]
+        new[1 : len(joined) - 1] = (joined[1:-1] == 0x20) & single
+        line = (joined[1:-1] == 0x0A) & single
+        new[1 : len(joined) - 1] |= line
+        new[2 : len(joined)] |= line
+        new[1 : len(joined)] |= _LETTER[joined[:-1]] & _POINT[joined[1:]]
+        # What a neighbour in another text would allow is no such place; a text begins a unit of its own.
+        first = ends - [len(c) for c in coded]
+        own = first[ends > first]
+        around = np.unique(np.concatenate([own, own + 1, own - 1]))
+        around = around[(around >= 0) & (around < len(joined))]
+        new[around] = False
+        new[own] = True
+        starts = np.flatnonzero(new[:-1])
+        unit_ends = np.append(starts[1:], len(joined)) if len(starts) else starts
+        ids, lengths = self.cache.tokens(joined, starts, unit_ends)
+        upto = np.searchsorted(starts, ends)
+        return ids, per_row(np.diff(upto, prepend=0), lengths)
+
+
+def wide_white(joined: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 white space outside ASCII."""
+    a, b, c = joined, np.append(joined[1:], 0), np.append(joined[2:], [0, 0])[: len(joined)]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    out = two | three
+    out[1:] |= two[:-1] | three[:-1]
+    out[2:] |= three[:-2]
+    return out
+
 
 def packed(ids: np.ndarray) -> bytes:
-    """ids as their bytes by significance, deflated: what is kept between the steps."""
+    """ids as their bytes by significance, compressed: what is kept between the steps."""
     wide = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
     planes = [p for p in range(4) if p < 2 or wide[:, p].any()]
-    return bytes([len(planes)]) + zlib.compress(np.ascontiguousarray(wide[:, planes].T).tobytes(), 1)
+    return bytes([len(planes)]) + zstandard.compress(np.ascontiguousarray(wide[:, planes].T).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
+    planes = np.frombuffer(zstandard.decompress(memoryview(data)[1:]), np.uint8).reshape(data[0], -1)
     out = np.zeros(planes.shape[1], np.uint32)
     for p, plane in enumerate(planes):
         out |= plane.astype(np.uint32) << np.uint32(8 * p)
@@ -270,13 +311,12 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, te
     arrow_type: list[pa.DataType] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
         counts = np.zeros(0, np.int64)
         names = ["doc_id", "n", "ids"]
         for batch in batches:
             arrow_type[:] = [batch.schema.field(id_col).type]
             for part in sliced(batch):
-                tokenizer = tokenizer or Tokenizer(tokenizer_path)
+                tokenizer = kept(("tokenizer", tokenizer_path), lambda: Tokenizer(tokenizer_path))
                 ids, n = tokenizer.encode(texts_of(part, text_col))
                 seen = np.bincount(ids, minlength=max(len(counts), end_id + 1))
                 seen[end_id] += len(n)
