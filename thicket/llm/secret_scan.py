@@ -129,9 +129,12 @@ def identifiers(words: list[str], seed: int = 12) -> list[str]:
 
 def samples(docs: DataFrame, text_col: str = "text", most_docs: int = 2000, most_words: int = 20_000) -> tuple[list[str], list[int]]:
     """Labelled tokens, from a generator and from the words of at most most_docs documents without a base span's fixed words."""
-    rows = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where("t IS NOT NULL").orderBy("h", "t").limit(most_docs)
+    hashed = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).where("t IS NOT NULL")
+    # The hashes alone are ordered; a second, pushed-down look takes the texts up to the last of them.
+    last = hashed.select("h").distinct().orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]) if last is not None else hashed.limit(0)
     words: dict[str, None] = {}
-    for row in rows.collect():
+    for row in rows.orderBy("h").collect():
         words |= dict.fromkeys(re.findall(r"[A-Za-z]{2,}", without(row.t, sorted(base_spans(row.t)), " ")))
     ordinary = identifiers([*ORDINARY, *list(words)[:most_words]])
     # Lower case, capitals and first capitals alike.
