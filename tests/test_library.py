@@ -87,8 +87,10 @@ def test_trees(spark, tmp_path):
     s = tree.structural_stats(t).first()
     assert (s.aggregations, s.max_depth, s.avg_branching, s.singleton_pct, s.leaves) == (2, 2, 1.5, 50.0, 3)
     sinks.write_tree(t, f"file://{tmp_path}/tree")
-    back = spark.read.json(f"file://{tmp_path}/tree")
-    assert back.count() == 6
+    back = loaders.read_tree(spark, f"file://{tmp_path}/tree")
+    assert sorted(map(tuple, back.nodes.collect())) == sorted(map(tuple, t.nodes.collect())) and sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, t.edges.collect()))
+    (tmp_path / "list.json").write_text('[\n {"id": 0, "name": "All", "type": "root", "related": [1]},\n {"id": 1, "name": "A", "type": "attribute", "related": []}\n]')
+    assert loaders.read_tree(spark, f"file://{tmp_path}/list.json", lines=False).edges.count() == 1
     empty = make(spark, [(0, "All", "r"), (1, "A", "g"), (2, "B", "g"), (3, "a", "l")], [(0, 1), (0, 2), (1, 3)])
     assert names(tree.pruned(empty)) == ["A"]
     dag = make(spark, [(0, "All", "r"), (1, "A", "g"), (2, "A1", "g"), (3, "x", "l")], [(0, 1), (1, 2), (1, 3), (2, 3)])
@@ -174,3 +176,22 @@ def test_queries_match_their_sql(spark, sf):
         rel = con.execute(catalog.ORACLES[name])
         cols = [d[0] for d in rel.description]
         assert plain([dict(zip(cols, r)) for r in rel.fetchall()], cols) == plain([r.asDict() for r in df.collect()], df.columns), name
+
+
+def test_code_expansions(spark):
+    rows = spark.createDataFrame([(0, "RTXA", "Reaction Time (RT) of a trial", "Speed > x"), (1, "RTXB", "the RT again", "Speed > y"), (2, "ZZZ", "plain", "Other")], "row long, label string, text string, grp string")
+    found = {r.segment: (r.expansion, r.step) for r in codes.expansions(rows, "row", "label", "text", "grp").collect()}
+    assert found["RT"] == ("Reaction Time", 1) and found["RTX"] == ("Speed", 3)
+    assert one(spark, lambda x: codes.covered(x, F.lit("Reaction Time")), "the reaction time here") and not one(spark, lambda x: codes.covered(x, F.lit("Reaction Time")), "nothing")
+    assert one(spark, codes.is_acronym, "DMS") and not one(spark, codes.is_acronym, "Dms")
+
+
+def test_traco_is_the_mean_of_cosines(spark):
+    rng = np.random.default_rng(2)
+    t = make(spark, [(0, "All", "r"), (1, "A", "g"), (2, "a", "l"), (3, "b", "l"), (4, "c", "l")], [(0, 1), (1, 2), (1, 3), (1, 4)])
+    x = np.abs(rng.normal(size=(5, 4)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, f"t{j}", float(x[i, j])) for i in range(1, 5) for j in range(4)], "doc long, term string, tfidf double")
+    got = evaluate.traco(t, table).first()
+    pairs = [1 - x[i] @ x[j] for i in (2, 3, 4) for j in (2, 3, 4) if i < j]
+    assert abs(got.pc_coherence - np.mean([x[1] @ x[i] for i in (2, 3, 4)])) < 1e-4 and abs(got.sibling_diversity - np.mean(pairs)) < 1e-4

@@ -136,9 +136,9 @@ def capped(df: DataFrame, most: int) -> DataFrame:
     return df.orderBy("_source", "_row").limit(most)
 
 
-def read_tree(spark: SparkSession, path: str):
-    """A tree written by sinks.write_tree."""
+def read_tree(spark: SparkSession, path: str, lines: bool = True):
+    """A tree from JSON, an object a line as sinks.write_tree has it, or (lines=False) one list of objects."""
     from thicket.operators.tree import Tree, ordered
 
-    rows = spark.read.schema("id long, name string, type string, related array<long>").option("multiLine", True).json(path)
+    rows = spark.read.schema("id long, name string, type string, related array<long>").option("multiLine", not lines).json(path)
     return Tree(rows.select("id", "name", "type"), ordered(rows.select(F.col("id").alias("parent"), F.explode("related").alias("child"))))
