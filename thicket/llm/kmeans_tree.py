@@ -13,8 +13,9 @@ the true neighbours are found by brute force over all vectors, and visits widen
 ``recall``. Each query's visits also go on until enough vectors are in them.
 
 Only tree, leaf sizes and probes are on the driver and in broadcasts; all are
-bounded by parameters. Vectors meet queries grouped by leaf, a large leaf in
-parts of about ``leaf_part`` vectors. Equal vectors are one entry with their
+bounded by parameters. Vectors meet queries in shards of
+neighbouring leaves of about ``leaf_part`` vectors, a larger leaf in parts; a shard
+tells only its best for each query. Equal vectors are one entry with their
 smallest ids (more than the neighbours asked for can't be in an answer), and
 equal queries are asked once, so a hot vector costs no more than another.
 
@@ -148,17 +149,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == length.n) if length else rows
 
 
-def nearest_in(queries: np.ndarray, entries: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, entry and cosine of the k best entries of each query; entries are in order of low, their smallest id."""
+def nearest_in(queries: np.ndarray, entries: np.ndarray, low: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, entry and cosine of the k best entries of each query, of those that allowed (queries x entries) lets it see; entries are in order of low, their smallest id."""
     q, e = unit(queries), unit(entries)
     out = []
     for a in range(0, len(q), 256):
         near = q[a : a + 256] @ e.T
+        if allowed is not None:
+            near[~allowed[a : a + 256]] = -np.inf
         most = min(len(e), k + 8)
         best = np.argpartition(-near, most - 1, axis=1)[:, :most]
         # All that tie with the last of these come along, so that equal scores are told apart by id.
         bar = np.take_along_axis(near, best, axis=1).min(axis=1) - 1e-12
-        rows, cols = np.nonzero(near >= bar[:, None])
+        rows, cols = np.nonzero((near >= bar[:, None]) & (near > -np.inf))
         out.append((rows + a, cols))
     rows, cols = (np.concatenate(x) for x in zip(*out))
     score = np.einsum("ij,ij->i", q[rows], e[cols])
@@ -199,7 +202,7 @@ def calibrated(tree: Tree, probes: np.ndarray, found: list[list[tuple[float, int
     return visits, float((ranks < visits).mean()) if len(ranks) else 1.0
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.95, leaf_rows: int = 256, most_leaves: int = 2048, most_sample: int = 20_000, most_probes: int = 128, leaf_part: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.95, leaf_rows: int = 256, most_leaves: int = 2048, most_sample: int = 20_000, most_probes: int = 128, leaf_part: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score, visits: the k nearest of each vector whose id is divisible by ``every``, among all others."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).distinct()
@@ -226,29 +229,46 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     visits, _ = calibrated(tree, probes, truth(indexed, probes, k + 1) if len(probes) else [], recall)
     plan = spark.sparkContext.broadcast((tree, visits, sizes))
 
+    # Neighbouring leaves share a shard of about leaf_part entries; a leaf above that is a shard dealt into parts.
+    shard_of = np.cumsum(sizes) // leaf_part
+    plan = spark.sparkContext.broadcast((tree, visits, sizes, shard_of))
+
     def walk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        own, most, held_in = plan.value
-        found = own.visits(unit(matrix(batch.column(1))), most, held_in, k + 1)
-        at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array([leaf for f in found for leaf in f], pa.int64())], ["q", "v", "leaf"])
+        own, most, held_in, shards = plan.value
+        at, to, seen = [], [], []
+        for i, found in enumerate(own.visits(unit(matrix(batch.column(1))), most, held_in, k + 1)):
+            by = shards[found]
+            for shard in np.unique(by):
+                at.append(i)
+                to.append(int(shard))
+                seen.append([leaf for leaf, s in zip(found, by) if s == shard])
+        take = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(to, pa.int64()), pa.array(seen, pa.list_(pa.int64()))], ["q", "v", "shard", "leaves"])
 
     asked = rows.where(F.pmod("id", F.lit(every)) == 0)
     # Equal queries are asked once, by the smallest of their ids.
     queries = asked.groupBy("v").agg(F.min("id").alias("q"))
-    visited = map_rows(queries.select("q", "v"), walk, "q long, v array<double>, leaf long")
-    parts = np.maximum(1, -(-sizes // leaf_part))
-    per_leaf = F.element_at(F.lit(parts), F.col("leaf").cast("int") + 1)
-    members = indexed.withColumn("part", F.pmod(F.xxhash64("low"), per_leaf))
-    visited = visited.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), per_leaf - 1)))
+    visited = map_rows(queries.select("q", "v"), walk, "q long, v array<double>, shard long, leaves array<long>")
+    shard_sizes = np.bincount(shard_of, weights=sizes)
+    parts = F.element_at(F.lit(np.maximum(1, np.ceil(shard_sizes / (2 * leaf_part))).astype(np.int64)), F.col("shard").cast("int") + 1)
+    members = indexed.withColumn("shard", F.element_at(F.lit(shard_of.astype(np.int64)), F.col("leaf").cast("int") + 1)).withColumn("part", F.pmod(F.xxhash64("low"), parts))
+    visited = visited.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "ids": [], "low": [], "score": []})
+            return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "low": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         right = right.sort_values("low", kind="stable")
-        q, e, score = nearest_in(np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), right["low"].to_numpy(), k + 1)
+        leaves, at = np.unique(right["leaf"].to_numpy(), return_inverse=True)
+        sees = np.array([np.isin(leaves, own) for own in left["leaves"]])
+        found = []
+        for a in range(0, len(left), 256):  # the mask of a few queries at a time
+            v = np.stack(left["v"].to_numpy()[a : a + 256])
+            q, e, score = nearest_in(v, np.stack(right["v"].to_numpy()), right["low"].to_numpy(), k + 1, sees[a : a + 256][:, at])
+            found.append((q + a, e, score))
+        q, e, score = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"q": left["q"].to_numpy()[q], "ids": right["ids"].to_numpy()[e], "low": right["low"].to_numpy()[e], "score": score})
 
-    met = visited.groupBy("leaf", "part").cogroup(members.groupBy("leaf", "part")).applyInPandas(meet, "q long, ids array<long>, low long, score double")
+    met = visited.groupBy("shard", "part").cogroup(members.groupBy("shard", "part")).applyInPandas(meet, "q long, ids array<long>, low long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "low")
     met = met.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     answers = met.groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found"))  # at most k + 1 entries
