@@ -10,7 +10,7 @@ when ``100 * intersection >= threshold * union``. The join is exact:
    prefixes.
 2. One pass writes for each document its size, a 128-bit digest of its set, its
    prefix (the first ``n - ceil(threshold * n) + 1`` shingles, of which two linked
-   sets share one) and a sketch: sizes of the set's parts in 64 ranges of hashes.
+   sets share one) and a sketch: sizes of the set's parts in 256 ranges of hashes.
    Equal sets become one node.
 3. Prefix rows meet by shingle; those alone there go.
 4. Pairs of a bucket pass the length filter, the positional filter, and the
@@ -18,12 +18,14 @@ when ``100 * intersection >= threshold * union``. The join is exact:
    Pairs left are made distinct and verified once each on whole sets.
 
 A large group of near copies would have pairs by the square of its size, while
-its component needs only a tree. So step 4 goes in rounds: ``rounds`` times each
-row of a bucket is paired with its neighbours in an order of its own, and what
-links is merged; the last round takes *all* pairs of a bucket that are not yet in
-one component, in blocks of rows where a bucket is large. No pair is lost, as a
-pair within a component needs no link. Nothing gathers on the driver but the
-frequent shingles (at most ``most_frequent`` numbers).
+its component needs only a tree. So before step 4 each node meets others: it goes,
+with its set, to the groups of ``TURNS`` of its met shingles (those of least hash by
+as many hashes, which near copies are likely to have in common), groups are cut into blocks
+of bounded size with some members in all of them, and a block's intersections come from one matrix product; a
+spanning tree of its links is kept. Step 4 then takes *all* pairs of a bucket
+that are not yet in one component, in blocks of rows where a bucket is large. No
+pair is lost, as a pair within a component needs no link. Nothing gathers on the
+driver but the frequent shingles (at most ``most_frequent`` numbers).
 
 Defined cases: null texts and texts without words have the empty set and link
 with nothing; fewer words than ``words`` are one shingle; rows with the same id
@@ -47,9 +49,14 @@ from thicket.llm.components import components
 from thicket.llm.kernels import Table, map_rows, mixed_bits, sliced, texts_of, word_hashes
 from thicket.storage import small, written
 
-CELLS = 64
+CELLS = 256
 CHUNK = 1 << 22
 BLOCK = 1024
+#: Blocks of sets have at most about so many members, and shingles together.
+MEMBERS, WEIGHT = 512, 400_000
+PIVOTS = 48
+#: Groups that each node goes to.
+TURNS = 3
 #: Tables of ids of up to so many rows are broadcast.
 MOST_IDS = 1_000_000
 _FACTORS = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,7 +135,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int
                     most = n - (threshold * n + 99) // 100 + 1 if n else 0
                     by = often[end - n : end]
                     prefixes.append(own[np.argsort(by, kind="stable")[:most]] if by.any() else own[:most])
-                    sketches.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                    sketches.append(np.minimum(np.bincount((own >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
                 offsets = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
                 columns = [
                     pa.array(np.arange(row, row + len(found))),
@@ -157,8 +164,8 @@ class Rows:
         data = batch.column(batch.schema.get_field_index("sketch"))
         self.sketch = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
 
-    def passing(self, i: np.ndarray, j: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the pairs (i, j) those in two components that pass all filters, and how far apart their sketches are."""
+    def passing(self, i: np.ndarray, j: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs (i, j) those in two components that pass all filters."""
         keep = (self.comp[i] != self.comp[j]) & ((self.side[i] != self.side[j]) | (self.side[i] < 0))
         i, j = i[keep], j[keep]
         n, m = self.n[i], self.n[j]
@@ -167,15 +174,31 @@ class Rows:
         keep = (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= least)
         i, j, most = i[keep], j[keep], (n + m - 2 * least)[keep]
         apart = np.zeros(len(i), np.int64)
-        for a in range(0, len(i), 1 << 15):
-            at = slice(a, a + (1 << 15))
+        for a in range(0, len(i), 1 << 13):
+            at = slice(a, a + (1 << 13))
             apart[at] = np.abs(self.sketch[i[at]] - self.sketch[j[at]]).sum(axis=1)
         keep = apart <= most
-        return i[keep], j[keep], apart[keep]
+        return i[keep], j[keep]
 
 
-def paired(buckets: DataFrame, threshold: int, reach: int | None) -> DataFrame:
-    """a, b, apart of the pairs of rows in a bucket (sorted by bucket in each partition) that may link; with reach, of rows at most so far apart in it."""
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that no value of the first column, by which rows are sorted, is in two of them."""
+    waiting = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+        keys = whole.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield whole.slice(0, last)
+        waiting = whole.slice(last)
+    if waiting is not None:
+        yield waiting
+
+
+def paired(buckets: DataFrame, threshold: int) -> DataFrame:
+    """a, b of the pairs of rows in a bucket (sorted by bucket in each partition) that may link."""
 
     def pairs(rows: Rows) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, np.diff(rows.bucket) != 0))
@@ -183,49 +206,103 @@ def paired(buckets: DataFrame, threshold: int, reach: int | None) -> DataFrame:
         left = np.repeat(starts + size, size) - np.arange(len(rows.bucket)) - 1
         found, at, step = [], np.flatnonzero(left > 0), 1
         while len(at):
-            i, j, apart = rows.passing(at, at + step, threshold)
+            i, j = rows.passing(at, at + step, threshold)
             a, b = rows.row[i], rows.row[j]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b), apart]))
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             step += 1
-            if reach and step > reach:
-                break
             at = at[left[at] >= step]
-        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((3, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "apart"])
+        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
-        for batch in batches:
-            whole = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-            bucket = whole.column(0).to_numpy(zero_copy_only=False)
-            last = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
-            if reach and len(bucket) - last > reach:  # of an unfinished bucket, only the last rows can meet what comes
-                yield pairs(Rows(whole))
-                waiting = whole.slice(len(bucket) - reach)
-                continue
-            if last:
-                yield pairs(Rows(whole.slice(0, last)))
-            waiting = whole.slice(last)
-        if waiting is not None and waiting.num_rows:
-            yield pairs(Rows(waiting))
-
-    return buckets.select(*Rows.names).mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.min("apart").alias("apart"))
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. Texts are read of the documents in pairs alone."""
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(small(wanted, MOST_IDS), "row", "left_semi").select("row", "doc_id", "s1", "s2"), "wanted")
+        for group in groups_of(batches):
+            yield pairs(Rows(group))
+
+    return buckets.select(*Rows.names).mapInArrow(run, "a long, b long").distinct()
+
+
+def block_links(own: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among some sets; intersections are sums of matrix products over shingles that two of them have."""
+    n = np.array([len(s) for s in own])
+    shingles, column, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(own)), n)
+    shared = count[column] > 1
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(own), len(own)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        has = np.zeros((len(own), 4096), np.float32)
+        has[row[lo:hi], column[lo:hi] - a] = 1
+        both += has @ has.T
+    i, j = np.nonzero(np.triu(100 * both >= threshold * (n[:, None] + n[None, :] - both), 1))
+    root, keep = list(range(len(own))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return i[keep], j[keep]
+
+
+def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """The rows of wanted (doc_id, s1, s2, ...) with own, their sets; only texts of wanted documents are cut."""
     ids = small(wanted.select(F.col("doc_id").alias("\u0000id")).distinct(), MOST_IDS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("\u0000id")), "left_semi").select("text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id").eqNullSafe(F.col("\u0000id")), "left_semi").select("id", "text")
+    id_type = texts.schema["id"].dataType.simpleString()
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         found = [s.tobytes() for s in shingle_sets(texts_of(batch, "text"), words)]
         digests = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in found), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(found, pa.binary())], ["s1", "s2", "own"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(found, pa.binary())], ["id", "s1", "s2", "own"])
+
+    own = map_rows(texts, work, f"id {id_type}, s1 long, s2 long, own binary").alias("o")
+    w = small(wanted, MOST_IDS).alias("w")
+    same = (F.col("o.s1") == F.col("w.s1")) & (F.col("o.s2") == F.col("w.s2")) & F.col("o.id").eqNullSafe(F.col("w.doc_id"))
+    return own.join(w, same).select(*[F.col(f"w.{c}") for c in wanted.columns], "own")
+
+
+def met_once(docs: DataFrame, nodes: DataFrame, met: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
+    """a, b: links found in the groups of the nodes' least met shingles; a spanning forest of each block of a group."""
+    least = [F.min_by("shingle", F.xxhash64("shingle", F.lit(turn))) for turn in range(TURNS)]
+    keys = met.groupBy("row", "n").agg(F.array(*least).alias("keys")).select("row", "n", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("weight") / WEIGHT))
+    sizes = sizes.select("key", blocks.alias("blocks"))
+    own = keys.join(sizes, "key").select("row", "key", F.pmod(F.xxhash64("row"), "blocks").alias("part"))
+    # Some members of a cut group go to all of its blocks, so that the blocks' components meet.
+    chosen = keys.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"), "row"))).where(F.col("r") <= PIVOTS)
+    pivots = chosen.join(sizes.where("blocks > 1"), "key").select("row", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
+    dealt = own.union(pivots).select("row", F.xxhash64("key", "part").alias("block")).distinct()
+    wanted = written(nodes.join(dealt, "row").select("block", "row", "doc_id", "s1", "s2"), "met-blocks")
+    own = read_sets(docs, wanted, id_col, text_col, words).select("block", "row", "own")
 
-    own = map_rows(texts, work, "s1 long, s2 long, own binary").join(small(wanted.select("row", "s1", "s2"), MOST_IDS), ["s1", "s2"])
-    own = written(own.select("row", "own").dropDuplicates(["row"]), "wanted-sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches):
+            block, row = (group.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            starts = np.append(np.flatnonzero(np.append(True, np.diff(block) != 0)), len(block))
+            for a, b in zip(starts[:-1], starts[1:]):
+                rows, first = np.unique(row[a:b], return_index=True)  # a repeated document is one row
+                if len(rows) > 1:
+                    x, y = block_links([np.frombuffer(group.column(2)[int(a + i)].as_py(), np.uint64) for i in first], threshold)
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[x]), pa.array(rows[y])], ["a", "b"])
+
+    return written(own.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long"), "links-met")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link. Texts are read of the documents in pairs alone."""
+    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    wanted = written(nodes.join(small(rows, MOST_IDS), "row", "left_semi").select("row", "doc_id", "s1", "s2"), "wanted")
+    own = written(read_sets(docs, wanted, id_col, text_col, words).select("row", "own").dropDuplicates(["row"]), "wanted-sets")
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
@@ -240,54 +317,37 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, t
     return map_rows(both, verify, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 85, rounds: int = 2, tries: int = 4, most_frequent: int = 1 << 19) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 85, most_frequent: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id, s1, s2 of each document; (s1, s2) is the digest of its set. threshold is in hundredths."""
     table = sets(docs, id_col, text_col, words, threshold, most_frequent)
     # One node for each set: WindowGroupLimit leaves one row of a set in each task before the shuffle.
     first = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("row"))
-    nodes = table.where("n > 0").withColumn("first", first).where("first = 1").drop("first")
-    spread = nodes.select("row", "doc_id", "s1", "s2", "n", "sketch", F.posexplode("prefix").alias("pos", "shingle"))
+    nodes = table.where("n > 0").select("row", "n", "s1", "s2", "prefix").withColumn("first", first).where("first = 1")
+    spread = nodes.select("row", "n", F.posexplode("prefix").alias("pos", "shingle"))
     order = Window.partitionBy("shingle").orderBy("n", "row")
     met = spread.withColumn("more", F.lag("row").over(order).isNotNull() | F.lead("row").over(order).isNotNull()).where("more").drop("more")
     met = written(met, "met")
-    nodes = written(met.select("row", "doc_id", "s1", "s2").dropDuplicates(["row"]), "met-nodes")
-    links, comps, tried = None, None, None
-    for turn in range(rounds + 1):
-        rows = met.withColumn("comp", F.col("row")) if comps is None else met.join(comps.select(F.col("node").alias("row"), F.col("component")), "row", "left").withColumn("comp", F.coalesce("component", "row"))
-        apart = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high")
-        rows = rows.join(apart, "shingle")
-        if turn < rounds:
-            # A large bucket is dealt out by parts, another way each time; parts need not meet here.
-            part = F.when(F.col("size") > 8 * BLOCK, F.pmod(F.xxhash64("row", F.lit(turn)), F.ceil(F.col("size") / (4 * BLOCK)))).otherwise(0)
-            key = [F.col("n"), F.col("row")] if turn == 0 else [F.xxhash64("row", F.lit(turn))]
-            rows = rows.withColumn("side", F.lit(-1)).withColumn("bucket", F.xxhash64("shingle", part))
-            buckets = rows.repartition("bucket").sortWithinPartitions("bucket", *key)
-            pairs = paired(buckets, threshold, reach=2)
-            best = [Window.partitionBy(k).orderBy("apart", F.xxhash64("a", "b")) for k in ("a", "b")]
-            pairs = pairs.withColumn("ra", F.row_number().over(best[0])).where(F.col("ra") <= tries).withColumn("rb", F.row_number().over(best[1])).where(F.col("rb") <= tries)
-        else:
-            blocks = F.ceil(F.col("size") / BLOCK)
-            mine = F.pmod(F.xxhash64("row", F.lit(turn)), blocks)
-            rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            key = F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other"))
-            side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise((F.col("mine") > F.col("other")).cast("int"))
-            rows = rows.withColumn("bucket", key).withColumn("side", side)
-            pairs = paired(rows.repartition("bucket").sortWithinPartitions("bucket", "row"), threshold, reach=None)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs.select("a", "b"), f"pairs{turn}")
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        found = written(verified(docs, nodes, pairs, id_col, text_col, words, threshold), f"links{turn}")
-        links = found if links is None else links.union(found)
+    nodes = written(table.select("row", "doc_id", "s1", "s2", "sketch").join(met.select("row").distinct(), "row", "left_semi"), "met-nodes")
+    links = met_once(docs, nodes, met, id_col, text_col, words, threshold)
+    comps = components(links)
+    labelled = met.join(comps, F.col("row") == F.col("node"), "left").select("row", "n", "pos", "shingle", F.coalesce("component", "row").alias("comp"))
+    apart = labelled.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("shingle", "size")
+    rows = labelled.join(apart, "shingle")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    mine = F.pmod(F.xxhash64("row", F.lit(2)), blocks)
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    key = F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other"))
+    side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    rows = rows.select("row", "comp", "n", "pos", key.alias("bucket"), side.alias("side")).join(nodes.select("row", "sketch"), "row")
+    pairs = written(paired(rows.repartition("bucket").sortWithinPartitions("bucket"), threshold), "pairs")
+    if not pairs.isEmpty():
+        links = links.union(written(verified(docs, nodes, pairs, id_col, text_col, words, threshold), "links"))
         comps = components(links)
     classes = table.groupBy("s1", "s2").agg(F.min("doc_id").alias("own"))
-    if comps is not None:
-        labels = nodes.join(comps, F.col("row") == F.col("node")).select("s1", "s2", "component")
-        classes = written(classes.join(labels, ["s1", "s2"], "left"), "classes")
-        lowest = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("lowest"))
-        classes = classes.join(lowest, "component", "left").select("s1", "s2", F.coalesce("lowest", "own").alias("own"))
+    labels = nodes.select("row", "s1", "s2").join(comps, F.col("row") == F.col("node")).select("s1", "s2", "component")
+    classes = written(classes.join(labels, ["s1", "s2"], "left"), "classes")
+    lowest = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("lowest"))
+    classes = classes.join(lowest, "component", "left").select("s1", "s2", F.coalesce("lowest", "own").alias("own"))
     rows = table.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"])
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("own"))
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "s1", "s2")
