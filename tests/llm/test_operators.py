@@ -178,6 +178,15 @@ def test_url_cascade(spark):
     assert url_cascade.judge(table.limit(0)).count() == 0
 
 
+def test_url_cascade_lists_by_words(spark):
+    hosts = ["m.ads-track.example.com", "free-bets.example.com", "m.casino-win.example.com", "www.cheap-pills.example.com", "Spam-farm.example.org", "adult-x.example.com", "loads.example.com", "example.com", "pads-x.example.org"]
+    table = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    found = {r.page_id: r for r in url_cascade.judge(table, blocked=url_cascade.worded).collect()}
+    assert [found[i].listed for i in range(9)] == [True] * 6 + [False] * 3 and [found[i].verdict for i in range(9)] == ["block"] * 6 + ["allow"] * 3
+    joined = {r.page_id: r.listed for r in url_cascade.judge(table, blocked=url_cascade.worded, most_bytes=0).collect()}
+    assert joined == {i: r.listed for i, r in found.items()}
+
+
 def test_cascade_is_exact_on_its_universe(spark):
     universe = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = universe.where("xxhash64(key) % 7 = 0")

@@ -24,7 +24,7 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +39,14 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Hosts known for spam or adult content in the crawls that this engine is tested with.
 BLOCKED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "adult-x.example.com", "adult-x.example.net", "adult-x.example.org", "casino-777.example.com", "casino-777.example.net", "casino-777.example.org")
 
+#: Words of domain labels, between dots and hyphens, for worded().
+BLOCKED_WORDS = ("adult", "ads", "bets", "betting", "casino", "pills", "poker", "porn", "sex", "spam", "viagra", "xxx")
+
+
+def worded(key: Column, words: Sequence[str] = BLOCKED_WORDS) -> Column:
+    """Whether a label of the key has one of the words, alone or between hyphens."""
+    return F.arrays_overlap(F.split(key, "[.-]"), F.array(*[F.lit(w) for w in words]).cast("array<string>"))
+
 
 def host_of(url: Column) -> Column:
     found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -122,17 +130,21 @@ def build(universe: DataFrame, listed: DataFrame, bits_per_key: float = 12.0, mo
     return None if n else cascade
 
 
-def judge(pages: DataFrame, blocked: DataFrame | Sequence[str] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, most_bytes: int = 16 << 20) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed of each page. blocked: host names, or a table whose first column has them."""
+def judge(pages: DataFrame, blocked: DataFrame | Sequence[str] | Callable[[Column], Column] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, most_bytes: int = 16 << 20) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed of each page. blocked: host names, a table whose first column has them, or a condition that selects them from all keys of the pages, as worded()."""
     spark = pages.sparkSession
-    if not isinstance(blocked, DataFrame):
-        blocked = spark.createDataFrame([(h,) for h in blocked], "key string")
-    names = blocked.select(F.translate(F.col(blocked.columns[0]).cast("string"), UPPER, LOWER).alias("key")).where("key <> ''").distinct()
     host = host_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path_of(F.col(url_col)).alias("path"))
     hosts = rows.select("host").where("host <> ''").distinct()
     universe = written(hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct(), "cascade-universe")
-    listed = written(universe.join(names, "key", "left_semi"), "cascade-listed")
+    if callable(blocked):
+        listed = universe.where(blocked(F.col("key")))
+    else:
+        if not isinstance(blocked, DataFrame):
+            blocked = spark.createDataFrame([(h,) for h in blocked], "key string")
+        names = blocked.select(F.translate(F.col(blocked.columns[0]).cast("string"), UPPER, LOWER).alias("key")).where("key <> ''").distinct()
+        listed = universe.join(names, "key", "left_semi")
+    listed = written(listed, "cascade-listed")
     cascade = build(universe, listed, most_bytes=most_bytes)
     if cascade:
         rows = rows.withColumn("listed", F.when(F.col("host") == "", False).otherwise(F.exists(keys_of(F.col("host")), cascade.has)))
