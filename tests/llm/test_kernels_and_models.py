@@ -170,6 +170,18 @@ def test_markov_models_tell_random_strings():
     assert secret_scan.without(text, found[0], "[s]") == "é call [s] with [s]' and window_buffer_stream_reader"
 
 
+def test_short_random_strings_are_scored():
+    words = "request handler account settings maximum retry application config window buffer stream reader parser document element".split() * 30
+    tokens = [*secret_scan.identifiers(words), *secret_scan.random_strings(4000)]
+    assert min(map(len, secret_scan.random_strings(2000))) == secret_scan.LEAST
+    scanner = secret_scan.Scanner(secret_scan.Models.fit(tokens, [0] * (len(tokens) - 4000) + [1] * 4000))
+    rng = np.random.default_rng(4)
+    for length in range(secret_scan.LEAST, 20):
+        keys = ["".join(secret_scan.ALPHABET[k] for k in rng.integers(0, 62, length)) for _ in range(200)]
+        found = scanner.scan([f"the key {k} of application" for k in keys])
+        assert sum(f == [(8, 8 + length, "markov")] for f in found) > 160, length  # few words to train on; README has the figures of whole tables
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(3)
     grades = rng.integers(0, 3, 600)

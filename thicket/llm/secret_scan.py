@@ -2,7 +2,7 @@
 
 The fixed patterns (``BASE``) find assignments, access keys and long hexadecimal
 strings. The method adds what no pattern names: a candidate is a run of at least
-``shortest`` characters of ``[A-Za-z0-9+/_=-]`` that touches no base span. Two
+``shortest`` (``LEAST``) characters of ``[A-Za-z0-9+/_=-]`` that touches no base span. Two
 Markov models of order 2 over characters, one of random strings and one of
 ordinary identifiers, score it; its log-likelihood ratio per character must pass
 a threshold that is set on labelled samples held out from training, so that at
@@ -54,6 +54,8 @@ SIZE = len(ALPHABET) + 1
 CODE = np.full(256, SIZE - 1, dtype=np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(SIZE - 1)
 IN_RUN = CODE < SIZE - 1
+#: Least length of candidates, of random strings in training, and of the samples that set the threshold.
+LEAST = 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -72,7 +74,7 @@ class Models:
     threshold: float
 
     @classmethod
-    def fit(cls, tokens: list[str], labels: list[int], most_false: float = 1e-3, prior: float = 0.5, least: int = 12) -> Models:
+    def fit(cls, tokens: list[str], labels: list[int], most_false: float = 1e-3, prior: float = 0.5, least: int = LEAST) -> Models:
         """Trains on four of five samples of each label and sets the threshold on those of the fifth that have ``least`` characters, as candidates do: halfway from the highest ordinary to the lowest random ones."""
         tables, held = [], []
         for label in (0, 1):
@@ -106,13 +108,13 @@ def contexts(token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def random_strings(n: int, seed: int = 11) -> list[str]:
-    """Strings as keys have them: hexadecimal, base 36, base 62, base 64 with and without padding, of 16 to 64 characters."""
+    """Strings as keys have them: hexadecimal, base 36, base 62, base 64 with and without padding, of LEAST to 64 characters."""
     rng = np.random.default_rng(seed)
     sets = ["0123456789abcdef", "0123456789ABCDEF", ALPHABET[26:62], ALPHABET[:26] + "0123456789", ALPHABET[:62], ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-"]
     out = []
     for i in range(n):
         chars = sets[i % len(sets)]
-        out.append("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(16, 65)))))
+        out.append("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(LEAST, 65)))))
     return out
 
 
@@ -152,7 +154,7 @@ def fitted(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None =
 
 
 class Scanner:
-    def __init__(self, models: Models, shortest: int = 20) -> None:
+    def __init__(self, models: Models, shortest: int = LEAST) -> None:
         self.models, self.shortest, self.seen = models, shortest, {}
 
     def is_random(self, token: str) -> bool:
@@ -193,7 +195,7 @@ def written_spans(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", models: Models | None = None, shortest: int = 20) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", models: Models | None = None, shortest: int = LEAST) -> DataFrame:
     """doc_id, found of each document: found lists (kind, start, end, value) of its spans, by start, then kind as listed."""
     held = docs.sparkSession.sparkContext.broadcast(models or fitted(docs, text_col))  # a table of fixed size
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -223,7 +225,7 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
-def redactor(docs: DataFrame, text_col: str = "text", models: Models | None = None, mark: str = "[secret]", shortest: int = 20):
+def redactor(docs: DataFrame, text_col: str = "text", models: Models | None = None, mark: str = "[secret]", shortest: int = LEAST):
     """A function of a text column that puts ``mark`` in the place of each span; a null stays null."""
     held = docs.sparkSession.sparkContext.broadcast(models or fitted(docs, text_col))
 
