@@ -5,9 +5,9 @@ writes each result as Parquet in the shared folder and reads it for the next.
 All stages but the last keep the columns of ``documents`` as they are.
 
 Defined cases: null texts are clean, unlike any other text, without secrets, of
-size 0 and encode to no ids; rows with a null id are not named by any decision
-and stay; rows that repeat an id and a text are one document to the near-copy
-stage; empty tables pass through; other columns ride along up to the last stage.
+size 0 and encode to no ids; the near-copy stage decides by id and text: rows
+that repeat both are one document, rows that share an id or have none are told
+apart by their texts, and rows without either all stay; empty tables pass through; other columns ride along up to the last stage.
 """
 
 from __future__ import annotations
@@ -30,13 +30,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the smallest id."""
-    found = ngram_join.join(docs, words=WORDS, threshold=THRESHOLD)
-    gone = found.where((F.col("doc_id") != F.col("component_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("\u0000id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("\u0000id"), "left_anti")
-    # Rows that repeat an id and a text: the join above has brought equal ids together, so nothing is moved.
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.lit(1)))
-    return kept.withColumn("\u0000n", again).where(F.col("\u0000n") == 1).drop("\u0000n")
+    """One document of each component of near copies, the one with the smallest id, and of those the one with the smallest hash."""
+    # A document is an id and a text: 128 bits of both tell documents of one id, or of none, apart. Known ids come first.
+    keys = ["\u0000h1", "\u0000h2"]
+    for seed, key in enumerate(keys):
+        docs = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *[F.col(k).alias(k[1:]) for k in keys]).alias("doc_id"), "text")
+    found = ngram_join.join(named, words=WORDS, threshold=THRESHOLD)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col(f"doc_id.{k[1:]}").alias(k) for k in keys]).distinct()
+    kept = docs.join(gone, keys, "left_anti")
+    # Rows that repeat an id and a text: the join above has brought equal keys together, so nothing is moved.
+    apart = F.when(F.col("doc_id").isNull() & F.col("text").isNull(), F.monotonically_increasing_id())
+    again = F.row_number().over(Window.partitionBy(*keys, apart).orderBy(F.lit(1)))
+    return kept.withColumn("\u0000n", again).where(F.col("\u0000n") == 1).drop("\u0000n", *keys)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

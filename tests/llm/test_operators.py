@@ -252,3 +252,15 @@ def test_near_copies_leave_one(spark, docs, tmp_path):
 def test_secrets_are_masked(spark, docs):
     out = {r.doc_id: r for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()}
     assert "hunter2" not in out[14].text and "AKIA" not in out[15].text and out[16].text == "[secret]" and out[0].text is None and out[16].n_chars == 8
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    def text(tag):
+        return " ".join(f"{tag}{i}" for i in range(80))
+
+    rows = [(1, text("a")), (2, text("a") + " tail"), (2, text("clean")), (3, text("b")), (3, text("b") + " tail"), (None, text("c")), (None, text("c") + " tail"), (None, text("d")), (None, text("d")), (None, text("e")), (4, text("e") + " tail"), (5, text("f")), (5, text("g")), (6, text("f") + " x"), (6, text("g") + " x"), (None, None), (None, None), (7, None), (7, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    out = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert out.columns == table.columns
+    kept = [(r.doc_id, None if r.text is None else r.text[:5]) for r in out.collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a0 a1"), (2, "clean"), (3, "b0 b1"), (None, "c0 c1"), (None, "d0 d1"), (4, "e0 e1"), (5, "f0 f1"), (5, "g0 g1"), (None, None), (None, None), (7, None), (7, "")], key=str)
