@@ -96,10 +96,10 @@ def split_limits(n: int, depth: int, max_depth: int, min_size: int, branch: int)
     return floor, cap
 
 
-def ward_paths(x: np.ndarray, max_depth: int = 3, min_size: int = 6, branch: int = 8) -> list[tuple[int, ...]]:
-    """M4, H1: the path of cluster numbers of each member, one number per level."""
+def ward_paths(x: np.ndarray, max_depth: int = 3, min_size: int = 6, branch: int = 8, depth: int = 0) -> list[tuple[int, ...]]:
+    """M4, H1: the path of cluster numbers of each member, one number per level; depth is that of the members' node."""
     paths: list[tuple[int, ...]] = [()] * len(x)
-    work = [(np.arange(len(x)), 0)]
+    work = [(np.arange(len(x)), depth)]
     while work:
         own, depth = work.pop()
         if len(own) <= min_size or depth >= max_depth:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import codes, text
-from thicket.operators import evaluate, facets, profile, slots, tfidf, tree, viz
+from thicket.operators import evaluate, facets, profile, slots, tfidf, tree, viz, ward
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -432,23 +432,9 @@ def events_dictionary(spark, sf_dir):
 
 @query()
 def ward_tree_embeddings(spark, sf_dir):
-    """H1: paths of clusters within each label. Labels over 1,000 vectors are dealt into parts by hash, each a subtree, as distances grow with the square."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / 1000).alias("parts"))
-    dealt = vectors.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts"))
-
-    def one(pdf):
-        import numpy as np
-        import pandas as pd
-
-        from thicket.operators import cluster
-
-        pdf = pdf.sort_values("vec_id")
-        x = np.stack(pdf.v.to_numpy())
-        paths = cluster.ward_paths(x / np.linalg.norm(x, axis=1, keepdims=True))
-        return pd.DataFrame({"vec_id": pdf.vec_id, "label": pdf.label, "path": [" > ".join([str(pdf.part.iloc[0]), *map(str, p)]) for p in paths]})
-
-    return dealt.groupBy("label", "part").applyInPandas(one, "vec_id long, label int, path string")
+    """H1 without cluster labels: paths of clusters within each label."""
+    found = ward.paths(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return found.select(F.col("id").alias("vec_id"), F.col("grp").alias("label"), F.array_join(F.transform("path", lambda c: c.cast("string")), " > ").alias("path"))
 
 
 @query()
