@@ -1,7 +1,9 @@
 """Where intermediate results go, and how lineage is cut.
 
 Everything that outlives a stage is kept in the folder that the cluster names
-in ``spark.checkpoint.dir``; a folder is made only where that is unset (tests).
+in ``spark.checkpoint.dir``. Where that is unset, a temporary folder is made for
+a session whose executors are threads of the driver (tests), and any other
+session is refused, as its executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -32,11 +36,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: smaller on disk than a checkpoint, and columns can be pruned."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch().written(df, name)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most most_rows rows; else left for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+class Scratch:
+    """Written tables of one operator, which are removed once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        back = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = (back, path)
+        return back
+
+    def clear(self, *tables: DataFrame) -> None:
+        """Removes the given tables from the shared folder, or all."""
+        for key in [id(t) for t in tables] or list(self.paths):
+            back, path = self.paths.pop(key)
+            there = back.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(back.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def small(df: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """df, which must be cheap to read twice, marked for broadcast if it has at most most_rows rows and its columns of varying length at most most_bytes; else left for a shuffled join."""
+    sized = [F.col(f"`{c}`") if kind in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`"))) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
+    sizes = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in sized]
+    held = df.limit(most_rows + 1).agg(F.count("*").alias("n"), sum(sizes, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if held["n"] <= most_rows and held["bytes"] <= most_bytes else df
