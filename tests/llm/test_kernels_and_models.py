@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from thicket.llm import kernels, kmeans_tree, ngram_join, ogg, secret_scan, token_files, toxicity, unigram
@@ -199,23 +200,54 @@ def test_ordinal_fit_orders_grades():
     assert (np.diff([model.over(score[grades == g]).sum(axis=1).mean() for g in range(3)]) > 0.5).all()
 
 
-def test_block_links_are_all_links():
+def bucket_rows(own, buckets, threshold):
+    rows = sorted((b, i) for i, bs in enumerate(buckets) for b in bs)
+    n = [len(s) for s in own]
+    columns = [pa.array([r[0] for r in rows]), *[pa.array([v(i) for _, i in rows], kind) for v, kind in ((lambda i: i, pa.int64()), (lambda i: i, pa.int64()), (lambda i: n[i], pa.int32()), (lambda i: 0, pa.int32()), (lambda i: -1, pa.int32()), (lambda i: ngram_join.sketch(own[i]), pa.binary()))]]
+    return pa.RecordBatch.from_arrays(columns, list(ngram_join.Rows.names))
+
+
+def test_sketches_never_lose_a_link():
     rng = np.random.default_rng(4)
-    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
-    own = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(240, 290)), replace=False), rng.integers(0, 2**63, 5, dtype=np.uint64)])) for _ in range(40)]
-    i, j = ngram_join.block_links(own, 80)
-    root = list(range(40))
-
-    def find(x):
-        return x if root[x] == x else find(root[x])
-
-    for x in range(40):
-        for y in range(x):
-            both = len(np.intersect1d(own[x], own[y]))
-            if 100 * both >= 80 * (len(own[x]) + len(own[y]) - both):
-                root[find(x)] = find(y)
-    want = len({find(x) for x in range(40)})
-    assert 40 - len(i) == want
+    own = []
+    for size in (3, 40, 130, 270, 520, 9000):
+        base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        own += [np.unique(np.concatenate([rng.choice(base, max(1, int(len(base) * rng.uniform(0.8, 1))), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 1 + size // 20)), dtype=np.uint64)])) for _ in range(12)]
+    rows = ngram_join.Rows(bucket_rows(own, [[0]] * len(own), 80))
+    i, j = np.triu_indices(len(own), 1)
+    both = np.array([len(np.intersect1d(own[a], own[b])) for a, b in zip(i, j)])
+    n = np.array([len(s) for s in own])
+    assert (rows.apart(i, j) <= n[i] + n[j] - 2 * both).all()
+    linked = 100 * both >= 80 * (n[i] + n[j] - both)
+    passing = rows.passing(i, j, 80)
+    assert linked.sum() > 60 and (passing | ~linked).all() and passing.sum() < 3 * linked.sum()
+    found = {(int(a), int(b)) for x, y in ngram_join.all_pairs(rows, 80) for a, b in zip(np.minimum(x, y), np.maximum(x, y))}
+    assert found == {(int(a), int(b)) for a, b, ok in zip(i, j, passing) if ok}
+
+
+def test_hubs_tell_all_pairs_of_small_buckets_and_few_of_large_ones():
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 100, dtype=np.uint64))
+    own = [base[rng.permutation(100)[:98]] for _ in range(64)]
+    buckets = [[0] if i < 60 else [1] for i in range(64)]
+    rows = ngram_join.Rows(bucket_rows([np.sort(s) for s in own], buckets, 80))
+    i, j = ngram_join.hub_pairs(rows, 80)
+    small = {frozenset(p) for p in zip(i.tolist(), j.tolist()) if min(p) >= 60}
+    assert small == {frozenset((a, b)) for a in range(60, 64) for b in range(60, a)}
+    assert set(range(60)) <= set(i.tolist()) | set(j.tolist()) and len(i) <= 2 * 60 + 6
+
+
+def test_groups_are_never_cut():
+    rng = np.random.default_rng(8)
+    keys = np.sort(rng.integers(0, 30, 500))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 37]), pa.array(np.arange(a, min(a + 37, 500)))], ["k", "v"]) for a in range(0, 500, 37)]
+    seen, values = set(), []
+    for group in ngram_join.groups_of(iter(batches), 1 << 62):
+        own = set(group.column(0).to_pylist())
+        assert not own & seen
+        seen |= own
+        values += group.column(1).to_pylist()
+    assert values == list(range(500)) and seen == set(keys.tolist())
 
 
 def test_tree_walk_gives_each_leaf_once():

@@ -10,21 +10,24 @@ when ``100 * intersection >= threshold * union``. The join is exact:
    prefixes.
 2. One pass writes for each document its size, a 128-bit digest of its set, its
    prefix (the first ``n - ceil(threshold * n) + 1`` shingles, of which two linked
-   sets share one) and a sketch: sizes of the set's parts in 256 ranges of hashes.
-   Equal sets become one node.
-3. Prefix rows meet by shingle; those alone there go.
-4. Pairs of a bucket pass the length filter, the positional filter, and the
-   suffix filter (the sketches' differences bound the sets' difference from below).
-   Pairs left are made distinct and verified once each on whole sets.
+   sets share one) and a sketch: the parities of the set's counts in ``k`` ranges
+   of hashes, k the next power of two from n on. Equal sets become one node.
+3. Prefix rows meet by shingle, in order of set sizes; a row stays if the next
+   smaller or larger set there passes the length filter, as then none else does.
+   A frequent shingle's rows are dealt into blocks, so no task gets them all;
+   some of them (``PIVOTS`` or so) go to every block.
+4. Candidates: pairs of a bucket that pass the length, the positional and the
+   suffix filter (where sketches differ bounds the sets' difference from below).
+   Sets alone are never moved for that. Distinct pairs are verified once each
+   on whole sets, which are cut again from the texts of documents in pairs alone.
 
 A large group of near copies would have pairs by the square of its size, while
-its component needs only a tree. So before step 4 each node meets others: it goes,
-with its set, to the groups of ``TURNS`` of its met shingles (those of least hash by
-as many hashes, which near copies are likely to have in common), groups are cut into blocks
-of bounded size with some members in all of them, and a block's intersections come from one matrix product; a
-spanning tree of its links is kept. Step 4 then takes *all* pairs of a bucket
-that are not yet in one component, in blocks of rows where a bucket is large. No
-pair is lost, as a pair within a component needs no link. Nothing gathers on the
+its component needs only a tree. So step 4 goes twice. At first a bucket of up to
+``FEW`` rows tells all its pairs, and a larger one for each row only its first
+candidate among the bucket's common hubs and among its neighbours in size. Then
+*all* pairs of the larger buckets are taken that are not yet in one component. No
+pair is lost, as a pair within a component needs no link; the rows of the
+component that has most of a bucket meet the others only. Nothing gathers on the
 driver but the frequent shingles (at most ``most_frequent`` numbers).
 
 Defined cases: null texts and texts without words have the empty set and link
@@ -47,16 +50,16 @@ from pyspark.sql import functions as F
 
 from thicket.llm.components import components
 from thicket.llm.kernels import Table, map_rows, mixed_bits, sliced, texts_of, word_hashes
-from thicket.storage import small, written
+from thicket.storage import Scratch, small
 
-CELLS = 256
-CHUNK = 1 << 22
+#: Sketches have from LEAST_CELLS to MOST_CELLS parities, a power of two.
+LEAST_CELLS, MOST_CELLS = 64, 1 << 13
+CHUNK = 1 << 21
 BLOCK = 1024
-#: Blocks of sets have at most about so many members, and shingles together.
-MEMBERS, WEIGHT = 512, 400_000
+#: Rows of a frequent shingle that go to all of its blocks, about.
 PIVOTS = 48
-#: Groups that each node goes to.
-TURNS = 3
+#: Buckets of up to so many rows tell all pairs at once; rows of larger ones are held against so many hubs and neighbours.
+FEW, HUBS, NEAR = 4, 12, 12
 #: Tables of ids of up to so many rows are broadcast.
 MOST_IDS = 1_000_000
 _FACTORS = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,16 +110,24 @@ def frequent(docs: DataFrame, text_col: str, words: int, most: int) -> tuple[np.
         if held:
             yield counted()
 
-    counts = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
-    top = counts.orderBy(F.desc("n"), "h").limit(most).toPandas()
+    tables = Scratch()
+    counts = tables.written(docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4"), "shingle-counts")
+    # Whole steps of counts, from the highest on, as far as they are at most ``most`` shingles; a step is an eighth of a doubling.
+    step, left, least = F.floor(8 * F.log2("n")), most, None
+    for at, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if n > left:
+            break
+        least, left = at, left - n
+    top = counts.where(step >= (1 << 20 if least is None else least)).toPandas()
+    tables.clear()
     return top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int, most_frequent: int) -> DataFrame:
-    """row, doc_id, n, s1, s2, sketch, prefix of each document."""
+    """row, doc_id, n, s1, s2, sketch, prefix, often of each document; often has the counts of the prefix's shingles, 0 of those that are not frequent."""
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, words, most_frequent))
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["row", "doc_id", "n", "s1", "s2", "sketch", "prefix"]
+    names = ["row", "doc_id", "n", "s1", "s2", "sketch", "prefix", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -129,14 +140,16 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int
                 joined = np.concatenate(found)
                 at = table.get(joined)
                 often = np.where(at >= 0, counts[at] if len(counts) else 0, 0)
-                prefixes, sketches, end = [], [], 0
+                prefixes, counted, sketches, end = [], [], [], 0
                 for own in found:
                     n, end = len(own), end + len(own)
                     most = n - (threshold * n + 99) // 100 + 1 if n else 0
                     by = often[end - n : end]
-                    prefixes.append(own[np.argsort(by, kind="stable")[:most]] if by.any() else own[:most])
-                    sketches.append(np.minimum(np.bincount((own >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
-                offsets = np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32)
+                    first = np.argsort(by, kind="stable")[:most] if by.any() else slice(0, most)
+                    prefixes.append(own[first])
+                    counted.append(by[first])
+                    sketches.append(sketch(own))
+                offsets = pa.array(np.cumsum([0] + [len(p) for p in prefixes]).astype(np.int32))
                 columns = [
                     pa.array(np.arange(row, row + len(found))),
                     part.column(part.schema.get_field_index(id_col)),
@@ -144,113 +157,177 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int
                     pa.array(digests[:, 0]),
                     pa.array(digests[:, 1]),
                     pa.array(sketches, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes).view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counted).astype(np.int32))),
                 ]
                 row += len(found)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"row long, doc_id {id_type}, n int, s1 long, s2 long, sketch binary, prefix array<long>"
-    return written(docs.select(id_col, text_col).mapInArrow(run, schema), "shingle-sets")
+    schema = f"row long, doc_id {id_type}, n int, s1 long, s2 long, sketch binary, prefix array<long>, often array<int>"
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Parities of the numbers of hashes in each of k cells, k from the set's size."""
+    k = min(max(1 << max(len(own) - 1, 0).bit_length(), LEAST_CELLS), MOST_CELLS)
+    return np.packbits(np.bincount((own & np.uint64(k - 1)).astype(np.int64), minlength=k).astype(np.uint8) & 1).tobytes()
 
 
 class Rows:
-    """Rows of buckets as columns, in the order of their buckets."""
+    """Rows of buckets as columns, in the order of their buckets, with their sketches in matrices by length."""
 
     names = ("bucket", "row", "comp", "n", "pos", "side", "sketch")
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         for name in self.names[:-1]:
             setattr(self, name, batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64))
-        data = batch.column(batch.schema.get_field_index("sketch"))
-        self.sketch = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-
-    def passing(self, i: np.ndarray, j: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the pairs (i, j) those in two components that pass all filters."""
-        keep = (self.comp[i] != self.comp[j]) & ((self.side[i] != self.side[j]) | (self.side[i] < 0))
-        i, j = i[keep], j[keep]
-        n, m = self.n[i], self.n[j]
-        p, q = self.pos[i], self.pos[j]
+        data = batch.column(batch.schema.get_field_index("sketch")).to_pylist()
+        self.words = np.array([len(x) for x in data]) // 8
+        self.at, self.own, self.folded = np.zeros(len(data), np.int64), {}, {}
+        for k in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == k)
+            self.at[rows] = np.arange(len(rows))
+            self.own[k] = np.frombuffer(b"".join([data[i] for i in rows]), np.uint64).reshape(-1, k)
+            if k > 1:  # cells are the low bits of hashes, so a sketch of half the cells is the sum of both halves
+                self.folded[k] = self.own[k][:, : k // 2] ^ self.own[k][:, k // 2 :]
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each bucket starts, and how many rows it has."""
+        starts = np.flatnonzero(np.append(True, np.diff(self.bucket) != 0))
+        return starts, np.diff(np.append(starts, len(self.bucket)))
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many cells the sketches of rows i and j differ; 0 for sketches that are not of one length or of half another."""
+        out = np.zeros(len(i), np.int64)
+        a, b = self.words[i], self.words[j]
+        i, j = np.where(a >= b, i, j), np.where(a >= b, j, i)
+        a, b = np.maximum(a, b), np.minimum(a, b)
+        for k in np.unique(a).tolist():
+            for more, less in ((self.own, self.own[k]), (self.folded, self.own.get(k // 2))):
+                if less is None or k not in more:
+                    continue
+                both = np.flatnonzero((a == k) & (b == less.shape[1]))
+                step = max(1, (1 << 17) // less.shape[1])
+                for x in range(0, len(both), step):
+                    part = both[x : x + step]
+                    out[part] = np.bitwise_count(more[k][self.at[i[part]]] ^ less[self.at[j[part]]]).sum(axis=1)
+        return out
+
+    def passing(self, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+        """Which of the pairs (i, j) are in two components and pass all filters."""
+        out = np.zeros(len(i), bool)
+        at = np.flatnonzero((self.comp[i] != self.comp[j]) & ((self.side[i] != self.side[j]) | (self.side[i] < 0)))
+        i, j = i[at], j[at]
+        n, m, p, q = self.n[i], self.n[j], self.pos[i], self.pos[j]
         least = needed(n, m, threshold)
         keep = (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= least)
-        i, j, most = i[keep], j[keep], (n + m - 2 * least)[keep]
-        apart = np.zeros(len(i), np.int64)
-        for a in range(0, len(i), 1 << 13):
-            at = slice(a, a + (1 << 13))
-            apart[at] = np.abs(self.sketch[i[at]] - self.sketch[j[at]]).sum(axis=1)
-        keep = apart <= most
-        return i[keep], j[keep]
-
-
-def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that no value of the first column, by which rows are sorted, is in two of them."""
-    waiting = None
+        at, i, j, most = at[keep], i[keep], j[keep], (n + m - 2 * least)[keep]
+        out[at[self.apart(i, j) <= most]] = True
+        return out
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        """a < b of the rows of pairs, each once."""
+        a, b = self.row[i], self.row[j]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(i) else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b"])
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that no value of the first column, by which rows are sorted, is in two of them, but for values of over ``most`` rows."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        keys = whole.column(0).to_numpy(zero_copy_only=False)
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last:
-            yield whole.slice(0, last)
-        waiting = whole.slice(last)
-    if waiting is not None:
-        yield waiting
-
-
-def paired(buckets: DataFrame, threshold: int) -> DataFrame:
-    """a, b of the pairs of rows in a bucket (sorted by bucket in each partition) that may link."""
-
-    def pairs(rows: Rows) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, np.diff(rows.bucket) != 0))
-        size = np.diff(np.append(starts, len(rows.bucket)))
-        left = np.repeat(starts + size, size) - np.arange(len(rows.bucket)) - 1
-        found, at, step = [], np.flatnonzero(left > 0), 1
-        while len(at):
-            i, j = rows.passing(at, at + step, threshold)
-            a, b = rows.row[i], rows.row[j]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            step += 1
-            at = at[left[at] >= step]
-        out = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b"])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        first, last = int(np.searchsorted(keys, keys[0], "right")), int(np.searchsorted(keys, keys[-1]))
+        if waiting and waiting[-1].column(0)[-1].as_py() != keys[0]:
+            yield joined(waiting)
+            waiting = []
+        if last:  # the value that waits ends within this batch
+            yield joined([*waiting, batch.slice(0, first)])
+            if last > first:
+                yield batch.slice(first, last - first)
+            waiting = [batch.slice(last)]
+        else:
+            waiting.append(batch)
+        if sum(x.num_rows for x in waiting) > most:
+            yield joined(waiting)
+            waiting = []
+    if waiting:
+        yield joined(waiting)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
+def hub_pairs(rows: Rows, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of buckets, at most about two a row: all pairs of buckets of up to FEW rows; else each row with the first hub and the first neighbour that passes."""
+    starts, size = rows.buckets()
+    many = np.repeat(size > FEW, size)
+    left = np.repeat(starts + size, size) - np.arange(len(rows)) - 1
+    found_i, found_j = [], []
+    at = np.flatnonzero(left > 0)
+    for step in range(1, max(NEAR, FEW) + 1):
+        at = at[left[at] >= step]
+        if not len(at):
+            break
+        good = rows.passing(at, at + step, threshold)
+        found_i.append(at[good])
+        found_j.append(at[good] + step)
+        at = at[~(good & many[at])]
+    # Hubs are the rows of least hash, so that buckets of the same copies have them in common.
+    large = np.flatnonzero(size > FEW)
+    spread = mixed_bits(rows.row.astype(np.uint64))
+    bucket = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((spread, bucket))
+    at, number = np.flatnonzero(many), np.full(len(size), -1)
+    number[large] = starts[large]
+    for turn in range(HUBS):
+        at = at[size[bucket[at]] > turn]
+        if not len(at):
+            break
+        hub = order[number[bucket[at]] + turn]
+        other = hub != at
+        good = np.zeros(len(at), bool)
+        good[other] = rows.passing(at[other], hub[other], threshold)
+        found_i.append(at[good])
+        found_j.append(hub[good])
+        at = at[~good]
+    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64),) * 2
+
+
+def all_pairs(rows: Rows, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidates of buckets, by steps."""
+    starts, size = rows.buckets()
+    left = np.repeat(starts + size, size) - np.arange(len(rows)) - 1
+    at, step = np.flatnonzero(left > 0), 1
+    while len(at):
+        good = rows.passing(at, at + step, threshold)
+        yield at[good], at[good] + step
+        step += 1
+        at = at[left[at] >= step]
+
+
+def paired(buckets: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """a, b of the pairs of rows in a bucket that may link: every one, or a few for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches):
-            yield pairs(Rows(group))
-
-    return buckets.select(*Rows.names).mapInArrow(run, "a long, b long").distinct()
-
-
-def block_links(own: list[np.ndarray], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among some sets; intersections are sums of matrix products over shingles that two of them have."""
-    n = np.array([len(s) for s in own])
-    shingles, column, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(own)), n)
-    shared = count[column] > 1
-    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(own), len(own)), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        lo, hi = np.searchsorted(column, [a, a + 4096])
-        has = np.zeros((len(own), 4096), np.float32)
-        has[row[lo:hi], column[lo:hi] - a] = 1
-        both += has @ has.T
-    i, j = np.nonzero(np.triu(100 * both >= threshold * (n[:, None] + n[None, :] - both), 1))
-    root, keep = list(range(len(own))), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            keep.append(k)
-    return i[keep], j[keep]
+        for group in groups_of(batches, 1 << 62 if every else 8 * BLOCK):
+            rows = Rows(group)
+            if every:
+                steps = list(all_pairs(rows, threshold))
+                i, j = (np.concatenate([s[x] for s in steps]) if steps else np.zeros(0, np.int64) for x in (0, 1))
+            else:
+                i, j = hub_pairs(rows, threshold)
+            if len(i):
+                yield rows.pairs(i, j)
+
+    order = ["bucket", "comp" if every else "n", "row"]
+    return buckets.select(*Rows.names).repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -270,39 +347,11 @@ def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     return own.join(w, same).select(*[F.col(f"w.{c}") for c in wanted.columns], "own")
 
 
-def met_once(docs: DataFrame, nodes: DataFrame, met: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
-    """a, b: links found in the groups of the nodes' least met shingles; a spanning forest of each block of a group."""
-    least = [F.min_by("shingle", F.xxhash64("shingle", F.lit(turn))) for turn in range(TURNS)]
-    keys = met.groupBy("row", "n").agg(F.array(*least).alias("keys")).select("row", "n", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-    blocks = F.greatest(F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("weight") / WEIGHT))
-    sizes = sizes.select("key", blocks.alias("blocks"))
-    own = keys.join(sizes, "key").select("row", "key", F.pmod(F.xxhash64("row"), "blocks").alias("part"))
-    # Some members of a cut group go to all of its blocks, so that the blocks' components meet.
-    chosen = keys.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row"), "row"))).where(F.col("r") <= PIVOTS)
-    pivots = chosen.join(sizes.where("blocks > 1"), "key").select("row", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
-    dealt = own.union(pivots).select("row", F.xxhash64("key", "part").alias("block")).distinct()
-    wanted = written(nodes.join(dealt, "row").select("block", "row", "doc_id", "s1", "s2"), "met-blocks")
-    own = read_sets(docs, wanted, id_col, text_col, words).select("block", "row", "own")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches):
-            block, row = (group.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            starts = np.append(np.flatnonzero(np.append(True, np.diff(block) != 0)), len(block))
-            for a, b in zip(starts[:-1], starts[1:]):
-                rows, first = np.unique(row[a:b], return_index=True)  # a repeated document is one row
-                if len(rows) > 1:
-                    x, y = block_links([np.frombuffer(group.column(2)[int(a + i)].as_py(), np.uint64) for i in first], threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[x]), pa.array(rows[y])], ["a", "b"])
-
-    return written(own.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long"), "links-met")
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, threshold: int, tables: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link. Texts are read of the documents in pairs alone."""
-    rows = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    wanted = written(nodes.join(small(rows, MOST_IDS), "row", "left_semi").select("row", "doc_id", "s1", "s2"), "wanted")
-    own = written(read_sets(docs, wanted, id_col, text_col, words).select("row", "own").dropDuplicates(["row"]), "wanted-sets")
+    rows = tables.written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "paired-rows")
+    wanted = tables.written(nodes.join(small(rows, MOST_IDS), "row", "left_semi").select("row", "doc_id", "s1", "s2"), "wanted")
+    own = tables.written(read_sets(docs, wanted, id_col, text_col, words).select("row", "own").dropDuplicates(["row"]), "wanted-sets")
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keep = []
@@ -314,40 +363,72 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, t
 
     left = pairs.select("a", "b").join(own.select(F.col("row").alias("a"), F.col("own").alias("x")), "a")
     both = left.join(own.select(F.col("row").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-    return map_rows(both, verify, "a long, b long")
+    links = tables.written(map_rows(both, verify, "a long, b long"), "links")
+    tables.clear(rows, wanted, own)
+    return links
+
+
+def spread(nodes: DataFrame) -> DataFrame:
+    """row, n, pos, shingle, often, block, own: a row for each shingle of a node's prefix; frequent shingles are dealt into blocks, and own tells a row's own block from those a pivot goes to besides."""
+    rows = nodes.select("row", "n", F.posexplode(F.arrays_zip("prefix", "often")).alias("pos", "at")).select("row", "n", "pos", F.col("at.prefix").alias("shingle"), F.col("at.often").alias("often"))
+    blocks = F.ceil(F.col("often") / BLOCK)
+    mine = F.when(F.col("often") > BLOCK, F.pmod(F.xxhash64("row"), blocks)).otherwise(F.lit(0).cast("long"))
+    pivot = (F.col("often") > BLOCK) & (F.pmod(F.xxhash64("row", "shingle"), F.col("often")) < PIVOTS)
+    rows = rows.withColumn("mine", mine).withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("mine"))))
+    return rows.select("row", "n", "pos", "shingle", "often", "block", (F.col("mine") == F.col("block")).alias("own"))
+
+
+def left_over(met: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of buckets of several components, dealt so that every pair in two components meets; buckets of up to FEW rows have told theirs, unless they are dealt into blocks."""
+    rows = met.where("own").select("row", "n", "pos", "shingle", "often").join(comps, F.col("row") == F.col("node"), "left").select("row", "n", "pos", "shingle", "often", F.coalesce("component", "row").alias("comp"))
+    counts = rows.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.max("often").alias("often"))
+    sizes = counts.groupBy("shingle").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.max("often").alias("often"))
+    sizes = sizes.where("comps > 1").where((F.col("size") > FEW) | (F.col("often") > BLOCK))
+    # A bucket over BLOCK is dealt twice: the component that has most of it by blocks against all others, and the others in pairs of blocks.
+    dealt = F.when(F.col("size") <= BLOCK, 0).otherwise(F.ceil(F.col("most.n") / BLOCK))
+    others = F.when(F.col("size") <= BLOCK, 1).otherwise(F.ceil((F.col("size") - F.col("most.n")) / BLOCK))
+    rows = rows.join(sizes.select("shingle", dealt.alias("dealt"), others.alias("others"), F.col("most.comp").alias("main")), "shingle")
+    zero, main = F.lit(0).cast("long"), (F.col("comp") == F.col("main")) & (F.col("dealt") > 0)
+    mine = F.pmod(F.xxhash64("row", F.lit(2)), F.when(main, F.col("dealt")).otherwise(F.col("others")))
+
+    def place(kind: int, low, high, side):
+        return F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low"), high.cast("long").alias("high"), side.cast("int").alias("side"))
+
+    against = F.transform(F.when(F.col("dealt") > 0, F.sequence(zero, F.col("dealt") - 1)).otherwise(F.array().cast("array<long>")), lambda b: place(1, b, b, F.lit(1)))
+    among = F.transform(F.sequence(zero, F.col("others") - 1), lambda b: place(0, F.least(b, mine), F.greatest(b, mine), F.when(b == mine, -1).otherwise((mine > b).cast("int"))))
+    places = F.when(main, F.array(place(1, mine, mine, F.lit(0)))).otherwise(F.concat(against, among))
+    rows = rows.select("row", "n", "pos", "comp", "shingle", F.explode(places).alias("at"))
+    return rows.select("row", "n", "pos", "comp", F.xxhash64("shingle", "at.kind", "at.low", "at.high").alias("bucket"), F.col("at.side").alias("side")).join(nodes.select("row", "sketch"), "row")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 85, most_frequent: int = 1 << 19) -> DataFrame:
     """doc_id, n_shingles, component_id, s1, s2 of each document; (s1, s2) is the digest of its set. threshold is in hundredths."""
-    table = sets(docs, id_col, text_col, words, threshold, most_frequent)
+    tables, kept = Scratch(), Scratch()
+    table = kept.written(sets(docs, id_col, text_col, words, threshold, most_frequent), "shingle-sets")
     # One node for each set: WindowGroupLimit leaves one row of a set in each task before the shuffle.
     first = F.row_number().over(Window.partitionBy("s1", "s2").orderBy("row"))
-    nodes = table.where("n > 0").select("row", "n", "s1", "s2", "prefix").withColumn("first", first).where("first = 1")
-    spread = nodes.select("row", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    order = Window.partitionBy("shingle").orderBy("n", "row")
-    met = spread.withColumn("more", F.lag("row").over(order).isNotNull() | F.lead("row").over(order).isNotNull()).where("more").drop("more")
-    met = written(met, "met")
-    nodes = written(table.select("row", "doc_id", "s1", "s2", "sketch").join(met.select("row").distinct(), "row", "left_semi"), "met-nodes")
-    links = met_once(docs, nodes, met, id_col, text_col, words, threshold)
+    nodes = table.where("n > 0").select("row", "n", "s1", "s2", "prefix", "often").withColumn("first", first).where("first = 1")
+    order = Window.partitionBy("shingle", "block").orderBy("n", "row")
+    less, more = F.lag("n").over(order), F.lead("n").over(order)
+    near = (100 * less >= threshold * F.col("n")) | (100 * F.col("n") >= threshold * more) | (F.col("often") > BLOCK)
+    met = tables.written(spread(nodes).withColumn("near", near).where("near").select("row", "n", "pos", "shingle", "often", "block", "own"), "met")
+    nodes = tables.written(table.select("row", "doc_id", "s1", "s2", "sketch").join(met.select("row").distinct(), "row", "left_semi"), "met-nodes")
+    alone = met.select("row", F.col("row").alias("comp"), "n", "pos", F.lit(-1).alias("side"), F.xxhash64("shingle", "block").alias("bucket"))
+    pairs = tables.written(paired(alone.join(nodes.select("row", "sketch"), "row"), threshold, every=False), "hub-pairs")
+    links = verified(docs, nodes, pairs, id_col, text_col, words, threshold, tables)
     comps = components(links)
-    labelled = met.join(comps, F.col("row") == F.col("node"), "left").select("row", "n", "pos", "shingle", F.coalesce("component", "row").alias("comp"))
-    apart = labelled.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("shingle", "size")
-    rows = labelled.join(apart, "shingle")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    mine = F.pmod(F.xxhash64("row", F.lit(2)), blocks)
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    key = F.xxhash64("shingle", F.least("mine", "other"), F.greatest("mine", "other"))
-    side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    rows = rows.select("row", "comp", "n", "pos", key.alias("bucket"), side.alias("side")).join(nodes.select("row", "sketch"), "row")
-    pairs = written(paired(rows.repartition("bucket").sortWithinPartitions("bucket"), threshold), "pairs")
+    pairs = tables.written(paired(left_over(met, comps, nodes), threshold, every=True), "pairs")
     if not pairs.isEmpty():
-        links = links.union(written(verified(docs, nodes, pairs, id_col, text_col, words, threshold), "links"))
+        links = links.union(verified(docs, nodes, pairs, id_col, text_col, words, threshold, tables))
         comps = components(links)
-    classes = table.groupBy("s1", "s2").agg(F.min("doc_id").alias("own"))
+    # Equal sets of one task's rows become one row before the shuffle; empty sets need none.
+    classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("own"))
     labels = nodes.select("row", "s1", "s2").join(comps, F.col("row") == F.col("node")).select("s1", "s2", "component")
-    classes = written(classes.join(labels, ["s1", "s2"], "left"), "classes")
+    classes = kept.written(classes.join(labels, ["s1", "s2"], "left"), "classes")
+    tables.clear()
     lowest = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("own").alias("lowest"))
-    classes = classes.join(lowest, "component", "left").select("s1", "s2", F.coalesce("lowest", "own").alias("own"))
-    rows = table.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"])
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("own"))
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "s1", "s2")
+    moved = classes.join(lowest, "component").where(~F.col("own").eqNullSafe(F.col("lowest"))).select("s1", "s2", "lowest")
+    rows = table.select("doc_id", "n", "s1", "s2")
+    some = rows.where("n > 0").join(classes.select("s1", "s2", "own").join(moved, ["s1", "s2"], "left"), ["s1", "s2"])
+    out = some.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("lowest", "own").alias("component_id"), "s1", "s2")
+    return out.union(rows.where("n = 0").select("doc_id", F.col("n").cast("long"), F.col("doc_id").alias("component_id"), "s1", "s2"))
