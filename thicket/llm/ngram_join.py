@@ -22,10 +22,11 @@ when ``100 * intersection >= threshold * union``. The join is exact:
    on whole sets, which are cut again from the texts of documents in pairs alone.
 
 A large group of near copies would have pairs by the square of its size, while
-its component needs only a tree. So step 4 goes twice. At first a bucket of up to
+its component needs only a tree. So step 4 goes in turns. At first a bucket of up to
 ``FEW`` rows tells all its pairs, and a larger one for each row only its first
-candidate among the bucket's common hubs and among its neighbours in size. Then
-*all* pairs of the larger buckets are taken that are not yet in one component. No
+candidate among the bucket's common hubs and among its neighbours. ``TURNS`` such turns
+follow each other, with other hubs and neighbours, for pairs that are not yet in one
+component; then *all* pairs of the larger buckets are taken that are not yet in one. No
 pair is lost, as a pair within a component needs no link; the rows of the
 component that has most of a bucket meet the others only. Nothing gathers on the
 driver but the frequent shingles (at most ``most_frequent`` numbers).
@@ -60,6 +61,8 @@ BLOCK = 1024
 PIVOTS = 48
 #: Buckets of up to so many rows tell all pairs at once; rows of larger ones are held against so many hubs and neighbours.
 FEW, HUBS, NEAR = 4, 12, 12
+#: Turns of hubs before all pairs are taken.
+TURNS = 3
 #: Tables of ids of up to so many rows are broadcast.
 MOST_IDS = 1_000_000
 _FACTORS = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -264,7 +267,7 @@ def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
-def hub_pairs(rows: Rows, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def hub_pairs(rows: Rows, threshold: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Candidates of buckets, at most about two a row: all pairs of buckets of up to FEW rows; else each row with the first hub and the first neighbour that passes."""
     starts, size = rows.buckets()
     many = np.repeat(size > FEW, size)
@@ -281,16 +284,16 @@ def hub_pairs(rows: Rows, threshold: int) -> tuple[np.ndarray, np.ndarray]:
         at = at[~(good & many[at])]
     # Hubs are the rows of least hash, so that buckets of the same copies have them in common.
     large = np.flatnonzero(size > FEW)
-    spread = mixed_bits(rows.row.astype(np.uint64))
+    spread = mixed_bits(rows.row.astype(np.uint64) + (np.uint64(turn) << np.uint64(56)))
     bucket = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((spread, bucket))
     at, number = np.flatnonzero(many), np.full(len(size), -1)
     number[large] = starts[large]
-    for turn in range(HUBS):
-        at = at[size[bucket[at]] > turn]
+    for nth in range(HUBS):
+        at = at[size[bucket[at]] > nth]
         if not len(at):
             break
-        hub = order[number[bucket[at]] + turn]
+        hub = order[number[bucket[at]] + nth]
         other = hub != at
         good = np.zeros(len(at), bool)
         good[other] = rows.passing(at[other], hub[other], threshold)
@@ -312,8 +315,9 @@ def all_pairs(rows: Rows, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarr
         at = at[left[at] >= step]
 
 
-def paired(buckets: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """a, b of the pairs of rows in a bucket that may link: every one, or a few for each row."""
+def paired(buckets: DataFrame, threshold: int, turn: int | None) -> DataFrame:
+    """a, b of the pairs of rows in a bucket that may link: a few for each row in a turn of hubs, else every one."""
+    every = turn is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, 1 << 62 if every else 8 * BLOCK):
@@ -322,11 +326,11 @@ def paired(buckets: DataFrame, threshold: int, every: bool) -> DataFrame:
                 steps = list(all_pairs(rows, threshold))
                 i, j = (np.concatenate([s[x] for s in steps]) if steps else np.zeros(0, np.int64) for x in (0, 1))
             else:
-                i, j = hub_pairs(rows, threshold)
+                i, j = hub_pairs(rows, threshold, turn)
             if len(i):
                 yield rows.pairs(i, j)
 
-    order = ["bucket", "comp" if every else "n", "row"]
+    order = ["bucket", "comp" if every else F.xxhash64("row", F.lit(turn)) if turn else "n", "row"]
     return buckets.select(*Rows.names).repartition("bucket").sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -378,12 +382,18 @@ def spread(nodes: DataFrame) -> DataFrame:
     return rows.select("row", "n", "pos", "shingle", "often", "block", (F.col("mine") == F.col("block")).alias("own"))
 
 
-def left_over(met: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of buckets of several components, dealt so that every pair in two components meets; buckets of up to FEW rows have told theirs, unless they are dealt into blocks."""
-    rows = met.where("own").select("row", "n", "pos", "shingle", "often").join(comps, F.col("row") == F.col("node"), "left").select("row", "n", "pos", "shingle", "often", F.coalesce("component", "row").alias("comp"))
-    counts = rows.groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.max("often").alias("often"))
+def spanning(met: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """met with comp, and size, most, comps, often by shingle of the buckets that have several components; those of up to FEW rows have told all pairs, unless they are dealt into blocks, and are left out."""
+    rows = met.join(comps, F.col("row") == F.col("node"), "left").select("row", "n", "pos", "shingle", "often", "block", "own", F.coalesce("component", "row").alias("comp"))
+    counts = rows.where("own").groupBy("shingle", "comp").agg(F.count("*").alias("n"), F.max("often").alias("often"))
     sizes = counts.groupBy("shingle").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps"), F.max("often").alias("often"))
-    sizes = sizes.where("comps > 1").where((F.col("size") > FEW) | (F.col("often") > BLOCK))
+    return rows, sizes.where("comps > 1").where((F.col("size") > FEW) | (F.col("often") > BLOCK))
+
+
+def left_over(met: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of buckets of several components, dealt so that every pair in two components meets."""
+    rows, sizes = spanning(met, comps)
+    rows = rows.where("own")
     # A bucket over BLOCK is dealt twice: the component that has most of it by blocks against all others, and the others in pairs of blocks.
     dealt = F.when(F.col("size") <= BLOCK, 0).otherwise(F.ceil(F.col("most.n") / BLOCK))
     others = F.when(F.col("size") <= BLOCK, 1).otherwise(F.ceil((F.col("size") - F.col("most.n")) / BLOCK))
@@ -413,14 +423,25 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     near = (100 * less >= threshold * F.col("n")) | (100 * F.col("n") >= threshold * more) | (F.col("often") > BLOCK)
     met = tables.written(spread(nodes).withColumn("near", near).where("near").select("row", "n", "pos", "shingle", "often", "block", "own"), "met")
     nodes = tables.written(table.select("row", "doc_id", "s1", "s2", "sketch").join(met.select("row").distinct(), "row", "left_semi"), "met-nodes")
-    alone = met.select("row", F.col("row").alias("comp"), "n", "pos", F.lit(-1).alias("side"), F.xxhash64("shingle", "block").alias("bucket"))
-    pairs = tables.written(paired(alone.join(nodes.select("row", "sketch"), "row"), threshold, every=False), "hub-pairs")
-    links = verified(docs, nodes, pairs, id_col, text_col, words, threshold, tables)
-    comps = components(links)
-    pairs = tables.written(paired(left_over(met, comps, nodes), threshold, every=True), "pairs")
-    if not pairs.isEmpty():
-        links = links.union(verified(docs, nodes, pairs, id_col, text_col, words, threshold, tables))
-        comps = components(links)
+    sketches, links, comps, tried = nodes.select("row", "sketch"), None, None, None
+    for turn in [*range(TURNS), None]:
+        if turn is None:
+            rows = left_over(met, comps, nodes)
+        else:
+            rows = met.withColumn("comp", F.col("row"))
+            if turn:
+                labelled, sizes = spanning(met, comps)
+                rows = labelled.join(sizes.select("shingle"), "shingle", "left_semi")
+            rows = rows.select("row", "comp", "n", "pos", F.lit(-1).alias("side"), F.xxhash64("shingle", "block").alias("bucket")).join(sketches, "row")
+        pairs = paired(rows, threshold, turn)
+        pairs = tables.written(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        if comps is not None and pairs.isEmpty():
+            continue
+        tried = tried.union(pairs) if tried else pairs
+        found = verified(docs, nodes, pairs, id_col, text_col, words, threshold, tables)
+        links = links.union(found) if links else found
+        if comps is None or not found.isEmpty():
+            comps = components(links)
     # Equal sets of one task's rows become one row before the shuffle; empty sets need none.
     classes = table.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("own"))
     labels = nodes.select("row", "s1", "s2").join(comps, F.col("row") == F.col("node")).select("s1", "s2", "component")
