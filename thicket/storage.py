@@ -45,9 +45,9 @@ class Scratch:
     def __init__(self) -> None:
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         back = df.sparkSession.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (back, path)
         return back
