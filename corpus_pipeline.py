@@ -41,7 +41,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = docs.join(gone, keys, "left_anti")
     # Rows that repeat an id and a text: the join above has brought equal keys together, so nothing is moved.
     apart = F.when(F.col("doc_id").isNull() & F.col("text").isNull(), F.monotonically_increasing_id())
-    again = F.row_number().over(Window.partitionBy(*keys, apart).orderBy(F.lit(1)))
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("text", *keys) and not kind.startswith("map")]
+    again = F.row_number().over(Window.partitionBy(*keys, apart).orderBy(F.xxhash64(*rest)))
     return kept.withColumn("\u0000n", again).where(F.col("\u0000n") == 1).drop("\u0000n", *keys)
 
 

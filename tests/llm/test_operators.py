@@ -173,7 +173,7 @@ def test_url_cascade(spark):
     assert [found[i].verdict for i in range(12)] == ["allow", "allow", "allow", "block", "block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
     assert (found[3].host, found[3].path, found[3].rule) == ("a.net", "/x", "net/") and (found[0].host, found[0].path, found[0].rule) == ("", "", None) and found[7].rule is None
     assert (found[10].host, found[10].path) == ("b:", "//c") and found[4].path == "/p"
-    joined = url_cascade.judge(table, blocked=["spam.example"], most_bytes=0).where("listed").count()
+    joined = url_cascade.judge(table, blocked=["spam.example"], shard_bytes=1).where("listed").count()
     assert joined == url_cascade.judge(table, blocked=["spam.example"]).where("listed").count() == 2
     assert url_cascade.judge(table.limit(0)).count() == 0
 
@@ -183,7 +183,7 @@ def test_url_cascade_lists_by_words(spark):
     table = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
     found = {r.page_id: r for r in url_cascade.judge(table, blocked=url_cascade.worded).collect()}
     assert [found[i].listed for i in range(9)] == [True] * 6 + [False] * 3 and [found[i].verdict for i in range(9)] == ["block"] * 6 + ["allow"] * 3
-    joined = {r.page_id: r.listed for r in url_cascade.judge(table, blocked=url_cascade.worded, most_bytes=0).collect()}
+    joined = {r.page_id: r.listed for r in url_cascade.judge(table, blocked=url_cascade.worded, shard_bytes=1).collect()}
     assert joined == {i: r.listed for i, r in found.items()}
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Work on a batch goes on in groups of rows of about so many bytes, so that memory stays bounded whatever the batch size.
 GROUP_BYTES = 1 << 20
@@ -27,7 +28,7 @@ def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes each, or of one row."""
     if batch.num_rows == 0:
         return
@@ -173,11 +174,11 @@ class UnitCache:
     """What encode() gives for units of text, kept per worker by the units' hashes.
 
     encode(units) gives the ids of all given byte strings, one after another, and
-    the number of ids of each. Past ``most`` units it starts anew, so that memory
-    is bounded; a lost worker costs only its cache.
+    the number of ids of each. Past ``most`` units, or eight times as many ids, it
+    starts anew, so that memory is bounded; a lost worker costs only its cache.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 800_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
@@ -187,7 +188,7 @@ class UnitCache:
 
     def find(self, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
         """Positions of the units joined[start:end] in self.starts and self.lengths, after encoding those that are new."""
-        if self.n > self.most:
+        if self.n > self.most or self.used > 8 * self.most:
             self.clear()
         hashes = span_hashes(joined, starts, ends) if hashes is None else hashes
         at = self.table.get(hashes)
@@ -231,6 +232,16 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def commonest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of highest n of a written table, at most ``most``, as whole steps of an eighth of a doubling: a small histogram is all the driver sees before."""
+    step, left, least = F.floor(8 * F.log2("n")), most, None
+    for at, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if n > left:
+            break
+        least, left = at, left - n
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def per_row(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive lengths, counts[i] of them for row i."""
     upto = np.concatenate([[0], np.cumsum(lengths)])

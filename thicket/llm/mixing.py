@@ -11,7 +11,7 @@ All steps are DataFrame operations; what moves is a histogram of at most
 ``sources * 2**BITS`` rows a level, pre-aggregated before its shuffle.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-last in the order of sources; a null id hashes as the empty text; documents
+last in the order of sources; a document without id hashes by its text; documents
 with the same id share a hash and are taken together; an empty table gives no
 rows; other columns are not looked at.
 """
@@ -36,9 +36,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def doc_hash(doc_id: Column) -> Column:
-    """The first 30 bits of the MD5 of the id in decimal, as a long."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def doc_hash(doc_id: Column, text: Column) -> Column:
+    """The first 30 bits of the MD5 of the id in decimal, of the text where it has none, as a long."""
+    digest = F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary"))
     return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
 
 
@@ -70,7 +70,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float], budget: float, mo
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col)).alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), doc_hash(F.col(id_col), F.col(text_col)).alias("h"))
 
 
 def thresholds(sized: DataFrame, weights: Sequence[float], budget: float, most_copies: int) -> DataFrame:
@@ -120,6 +120,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sized = written(_sized(docs, id_col, text_col, source_col), "mix-sizes")
     cuts = thresholds(sized, weights, budget, most_copies)
     rows = docs.alias("d").join(cuts.alias("c"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.source")))
-    copies = _copies(doc_hash(F.col(f"d.`{id_col}`")), most_copies).cast("int")
+    copies = _copies(doc_hash(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`")), most_copies).cast("int")
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     return rows.where(copies > 0).select(*names, F.explode(F.array_repeat(F.lit(0), copies)).alias("\u0000copy")).drop("\u0000copy")

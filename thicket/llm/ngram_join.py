@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components
-from thicket.llm.kernels import Table, map_rows, mixed_bits, sliced, texts_of, word_hashes
+from thicket.llm.kernels import Table, commonest, map_rows, mixed_bits, sliced, texts_of, word_hashes
 from thicket.storage import Scratch, small
 
 #: Sketches have from LEAST_CELLS to MOST_CELLS parities, a power of two.
@@ -115,13 +115,7 @@ def frequent(docs: DataFrame, text_col: str, words: int, most: int) -> tuple[np.
 
     tables = Scratch()
     counts = tables.written(docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4"), "shingle-counts")
-    # Whole steps of counts, from the highest on, as far as they are at most ``most`` shingles; a step is an eighth of a doubling.
-    step, left, least = F.floor(8 * F.log2("n")), most, None
-    for at, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
-        if n > left:
-            break
-        least, left = at, left - n
-    top = counts.where(step >= (1 << 20 if least is None else least)).toPandas()
+    top = commonest(counts, most).toPandas()
     tables.clear()
     return top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from thicket.llm.kernels import map_rows, texts_of
+from thicket.storage import Scratch
 
 PAGE = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -201,6 +202,11 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_rows(docs.select(id_col, text_col), work, f"doc_id {id_type}, media binary")
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media() written to the shared folder and read back."""
+    return Scratch().written(media(docs, id_col, text_col), "ogg-media", compression="zstd")
+
+
 def features(values: DataFrame) -> DataFrame:
     """What is read back of doc_id, media: checked bytes, their digests and features."""
     id_type = values.schema["doc_id"].dataType.simpleString()

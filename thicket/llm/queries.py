@@ -53,7 +53,7 @@ def op7_url_cascade_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg.features(ogg.media(table(spark, sf_dir, "documents")))
+    return ogg.features(ogg.stored(table(spark, sf_dir, "documents")))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ OP7_WORDS_SQL = OP7_SQL.replace(f"hosts, (SELECT unnest([{LISTED}]) AS k) WHERE
 OP10_SQL = r"""
 WITH d AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 2) AS h
+        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT >> 2) AS h
     FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source

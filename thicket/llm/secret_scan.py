@@ -56,6 +56,8 @@ CODE[[ord(c) for c in ALPHABET]] = np.arange(SIZE - 1)
 IN_RUN = CODE < SIZE - 1
 #: Least length of candidates, of random strings in training, and of the samples that set the threshold.
 LEAST = 12
+#: No match of the access and hex patterns lies in a shorter run.
+SHORTEST_BASE = 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -171,7 +173,7 @@ class Scanner:
         for a, b in groups(map(len, coded), 4 << 20):
             joined = np.frombuffer(b"\n".join(coded[a:b]), np.uint8)
             starts, ends = spans(IN_RUN[joined])
-            long = ends - starts >= self.shortest
+            long = ends - starts >= min(self.shortest, SHORTEST_BASE)
             firsts = np.cumsum([0] + [len(c) + 1 for c in coded[a:b]])
             owner = np.searchsorted(firsts, starts[long], side="right") - 1
             runs: dict[int, list[tuple[int, int]]] = {}
@@ -185,7 +187,7 @@ class Scanner:
                 for s, e in own:
                     token = coded[a + i][s:e].decode()
                     at = len(coded[a + i][:s].decode())
-                    if self.is_random(token) and not any(x < at + len(token) and at < y for x, y, _ in fixed):
+                    if e - s >= self.shortest and self.is_random(token) and not any(x < at + len(token) and at < y for x, y, _ in fixed):
                         found.append((at, at + len(token), "markov"))
                 out.append(sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))))
         return out

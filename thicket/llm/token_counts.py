@@ -3,14 +3,19 @@
 A text's pre-tokens are its words with the white-space marker before them, cut
 where no piece of the vocabulary reaches across (checked when the model is
 read), so the count of a text is the sum over its pre-tokens. First tier: a
-compact hash table of the lengths of the ``frequent`` most common pre-tokens of
-the whole corpus, broadcast; its size is fixed (12 bytes a slot, at most four slots each). Second tier:
-a worker's own cache, filled by encoding what misses the first. Pre-tokens
-themselves are never shuffled; only each task's local top counts are, to find
-the common ones.
+compact hash table of the lengths of the most common pre-tokens of the whole
+corpus, broadcast; its size is fixed (12 bytes a slot, at most four slots for
+each of ``frequent_rows``). Second tier: a worker's own cache, filled by encoding
+what misses the first.
+
+Which pre-tokens are common is counted over all texts: a task counts its
+pre-tokens by hash and tells hash, count and length of those that come twice or
+more, at most ``frequent_rows`` a flush. Pre-tokens themselves are never shuffled or
+collected. The table decides speed alone, as misses are encoded.
 
 Defined cases: a null text counts as the empty one, with 0 bytes and 0 tokens;
-repeated rows stay; an empty table gives no rows; other columns are not looked at.
+a marker that stands in a text counts as the space it is read as; repeated rows
+stay; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.kernels import Table, UnitCache, kept, map_rows, per_row, span_hashes, texts_of
+from thicket.llm.kernels import Table, UnitCache, commonest, kept, map_rows, per_row, sliced, span_hashes, texts_of
+from thicket.storage import Scratch
 
 #: What separates pre-tokens, as bytes: the space, and the line feed, which is no part of any piece.
 SPACE, LINE = 0x20, 0x0A
@@ -63,8 +69,8 @@ def lengths_of(path: str, units: list[str]) -> np.ndarray:
 
 
 def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined bytes, starts, ends and number per text of the pre-tokens; a text that isn't empty gets the marker the library puts before it."""
-    parts = [(" " + t).encode() if t else b"" for t in texts]
+    """Joined bytes, starts, ends and number per text of the pre-tokens; markers are spaces, and a text that isn't empty gets the marker the library puts before it."""
+    parts = [(" " + t.replace("▁", " ")).encode() if t else b"" for t in texts]
     joined = np.frombuffer(b"".join(parts), dtype=np.uint8)
     bounds = np.cumsum([len(p) for p in parts])
     starts, ends = cut(joined, bounds)
@@ -72,30 +78,64 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return joined, starts, ends, np.diff(upto, prepend=0)
 
 
-def frequent(docs: DataFrame, text_col: str, rows: int, local: int = 4096) -> DataFrame:
-    """unit, n: the most common pre-tokens by counts over all texts; each batch group tells its ``local`` most common ones."""
+def lengths_cache(model_path: str) -> UnitCache:
+    """This worker's lengths of pre-tokens, over tasks."""
+
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(0, np.int32), lengths_of(model_path, [u.decode() for u in units])
+
+    return kept(("token counts", model_path), lambda: UnitCache(encode))
+
+
+#: Distinct pre-tokens that a task counts before it tells the most common.
+FLUSH = 1 << 20
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        joined, starts, ends, _ = pretokens(texts_of(batch, text_col))
-        if not len(starts):
-            return
-        hashes, first, n = np.unique(span_hashes(joined, starts, ends), return_index=True, return_counts=True)
-        top = np.argsort(-n, kind="stable")[:local]
-        data = joined.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([data[starts[i] : ends[i]].decode() for i in first[top]]), pa.array(n[top])], ["unit", "n"])
 
-    counts = map_rows(docs.select(text_col), work, "unit string, n long")
-    return counts.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(rows)
+def frequent(docs: DataFrame, model_path: str, text_col: str, rows: int) -> DataFrame:
+    """h, n, tokens: hash, number and length of common pre-tokens, counted over all texts."""
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, n, tokens = (np.concatenate(x) for x in zip(*held))
+        own, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        return own, np.bincount(at, weights=n).astype(np.int64), tokens[first]
+
+    def told(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, n, tokens = summed(held)
+        top = np.flatnonzero(n > 1)
+        top = top[np.argsort(-n[top], kind="stable")[:rows]]
+        return pa.RecordBatch.from_arrays([pa.array(hashes[top].view(np.int64)), pa.array(n[top]), pa.array(tokens[top])], ["h", "n", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, held, size = lengths_cache(model_path), [], 0
+        for batch in batches:
+            for part in sliced(batch):
+                joined, starts, ends, _ = pretokens(texts_of(part, text_col))
+                if not len(starts):
+                    continue
+                hashes = span_hashes(joined, starts, ends)
+                at = cache.find(joined, starts, ends, hashes)
+                own, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((own, n, cache.lengths[at[first]]))
+                size += len(own)
+                if size > FLUSH:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > FLUSH // 2:
+                        yield told(held)
+                        held, size = [], 0
+        if held:
+            yield told(held)
+
+    counts = docs.select(text_col).mapInArrow(run, "h long, n long, tokens long")
+    return counts.groupBy("h").agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens"))
 
 
 def table(docs: DataFrame, model_path: str, text_col: str, rows: int) -> Table:
-    units = [r.unit for r in frequent(docs, text_col, rows).collect()]  # at most ``rows`` strings
-    lengths = lengths_of(model_path, units)
-    data = [u.encode() for u in units]
-    joined = np.frombuffer(b"".join(data), dtype=np.uint8)
-    ends = np.cumsum([len(u) for u in data], dtype=np.int64)
-    starts = ends - np.fromiter((len(u) for u in data), np.int64, len(data))
-    return Table(span_hashes(joined, starts, ends), lengths)
+    tables = Scratch()
+    counts = tables.written(frequent(docs, model_path, text_col, rows), "pre-token-counts")
+    top = commonest(counts, rows).select("h", "tokens").toPandas()  # at most ``rows`` pairs of numbers
+    tables.clear()
+    return Table(top["h"].to_numpy(np.int64).view(np.uint64), top["tokens"].to_numpy(np.int64))
 
 
 def count(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, frequent_rows: int = 65_536) -> DataFrame:
@@ -104,11 +144,8 @@ def count(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
     held = spark.sparkContext.broadcast(table(docs, model_path, text_col, frequent_rows))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.zeros(0, np.int32), lengths_of(model_path, [u.decode() for u in units])
-
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cache, texts = kept(("token counts", model_path), lambda: UnitCache(encode)), texts_of(batch, text_col)
+        cache, texts = lengths_cache(model_path), texts_of(batch, text_col)
         joined, starts, ends, per_text = pretokens(texts)
         hashes = span_hashes(joined, starts, ends)
         lengths = held.value.get(hashes)

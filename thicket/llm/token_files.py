@@ -393,7 +393,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
         if waiting:
             yield block_of(waiting)
 
-    ordered = tokens.where("n IS NOT NULL").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.where("n IS NOT NULL").select("doc_id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
     schema = f"part int, block int, first long, n long, doc_ids array<{id_type}>, doc_numbers array<long>, doc_tokens array<long>, data binary"
     # The blocks are dense already.
     ordered.mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")

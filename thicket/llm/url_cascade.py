@@ -11,9 +11,10 @@ A key is a host or one of its parent domains, so that a listed domain also
 blocks its subdomains. Hosts are made distinct before their keys are, and both
 with map-side aggregation, so a hot host costs one row per task. A level's bits
 are OR-ed byte by byte in the shuffle and gathered; at ``bits_per_key`` bits a
-key of the level, level sizes fall geometrically. If the first
-level would pass ``most_bytes``, the cascade is not built and membership is a
-join against the list instead.
+key of the level, level sizes fall geometrically. Keys are dealt by hash into
+shards whose first levels stay within ``shard_bytes``, each with a cascade of its
+own; URLs go through the shards' cascades one after another, so no task ever
+holds more than one, whatever the length of the list.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no
 rule and no key, and is allowed; list entries are lower-cased as hosts are;
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.storage import written
+from thicket.storage import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path prefix); the longest that fits decides.
@@ -74,13 +75,10 @@ def keys_of(host: Column) -> Column:
 
 @dataclass
 class Cascade:
-    """Levels of (seed, number of bits, hashes, table); the builder bounds the sum of sizes."""
+    """Levels of (seed, number of bits, hashes, table)."""
 
     levels: list[tuple[int, int, int, bytes]] = field(default_factory=list)
 
-    def bytes(self) -> int:
-        return sum(len(held) for *_, held in self.levels)
-
     def has(self, key: Column) -> Column:
         """Exact membership of keys of the universe: whether the first level that says no is an odd one."""
         answer = F.lit(len(self.levels) % 2 == 1)
@@ -113,30 +111,48 @@ def fitted(keys: DataFrame, n: int, seed: int, bits_per_key: float) -> tuple[int
     return seed, bits, hashes, table.tobytes()
 
 
-def build(universe: DataFrame, listed: DataFrame, bits_per_key: float = 12.0, most_bytes: int = 16 << 20, most_levels: int = 40) -> Cascade | None:
-    """The cascade of a universe of distinct keys (key) and its listed ones (key, distinct, all in the universe); None if too large to broadcast."""
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+
+
+def build(universe: DataFrame, listed: DataFrame, bits_per_key: float = 12.0) -> Cascade:
+    """The cascade of a universe of distinct keys (key) and its listed ones (key, distinct, all in the universe). Each level passes few keys of the last but one, so levels end."""
     n = listed.count()
-    if bits_per_key * n / 8 > most_bytes:
-        return None
-    yes, no = listed.select("key"), universe.select("key").join(F.broadcast(listed) if n <= 100_000 else listed, "key", "left_anti")
-    cascade = Cascade()
-    while n and len(cascade.levels) < most_levels:
+    yes, no = listed.select("key"), universe.select("key").join(listed, "key", "left_anti")
+    cascade, tables = Cascade(), Scratch()
+    while n:
         level = fitted(yes, n, len(cascade.levels), bits_per_key)
         cascade.levels.append(level)
-        if cascade.bytes() > most_bytes:
-            return None
-        yes, no = written(no.where(passes(F.col("key"), *level)), "cascade-level"), yes
+        yes, no = tables.written(no.where(passes(F.col("key"), *level)), "cascade-level"), yes
         n = yes.count()
-    return None if n else cascade
-
-
-def judge(pages: DataFrame, blocked: DataFrame | Sequence[str] | Callable[[Column], Column] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, most_bytes: int = 16 << 20) -> DataFrame:
+    tables.clear()
+    return cascade
+
+
+def marked(rows: DataFrame, universe: DataFrame, listed: DataFrame, bits_per_key: float = 12.0, shard_bytes: int = 1 << 20) -> DataFrame:
+    """rows (with host) and listed: whether the host or one of its parents is a listed key. universe and listed are written tables."""
+    shards = max(1, math.ceil(bits_per_key * listed.count() / 8 / shard_bytes))
+    rows, tables = rows.withColumn("listed", F.lit(False)), Scratch()
+    for shard in range(shards):
+        own = shard_of(F.col("key"), shards) == shard
+        cascade = build(universe.where(own), listed.where(own), bits_per_key)
+        hit = F.exists(keys_of(F.col("host")), lambda k: (shard_of(k, shards) == shard) & cascade.has(k))
+        rows = rows.withColumn("listed", F.when(F.col("host") == "", False).otherwise(F.col("listed") | hit))
+        if shard + 1 < shards:  # the next shard's filter must not share a task with this one's
+            before = list(tables.paths.values())
+            rows = tables.written(rows, "cascade-rows")
+            if before:
+                tables.clear(*[t for t, _ in before])
+    return rows
+
+
+def judge(pages: DataFrame, blocked: DataFrame | Sequence[str] | Callable[[Column], Column] = BLOCKED_HOSTS, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, shard_bytes: int = 1 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict, listed of each page. blocked: host names, a table whose first column has them, or a condition that selects them from all keys of the pages, as worded()."""
-    spark = pages.sparkSession
+    spark, tables = pages.sparkSession, Scratch()
     host = host_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path_of(F.col(url_col)).alias("path"))
     hosts = rows.select("host").where("host <> ''").distinct()
-    universe = written(hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct(), "cascade-universe")
+    universe = tables.written(hosts.select(F.explode(keys_of(F.col("host"))).alias("key")).distinct(), "cascade-universe")
     if callable(blocked):
         listed = universe.where(blocked(F.col("key")))
     else:
@@ -144,13 +160,9 @@ def judge(pages: DataFrame, blocked: DataFrame | Sequence[str] | Callable[[Colum
             blocked = spark.createDataFrame([(h,) for h in blocked], "key string")
         names = blocked.select(F.translate(F.col(blocked.columns[0]).cast("string"), UPPER, LOWER).alias("key")).where("key <> ''").distinct()
         listed = universe.join(names, "key", "left_semi")
-    listed = written(listed, "cascade-listed")
-    cascade = build(universe, listed, most_bytes=most_bytes)
-    if cascade:
-        rows = rows.withColumn("listed", F.when(F.col("host") == "", False).otherwise(F.exists(keys_of(F.col("host")), cascade.has)))
-    else:
-        hit = hosts.select("host", F.explode(keys_of(F.col("host"))).alias("key")).join(listed, "key", "left_semi").select("host").distinct()
-        rows = rows.join(hit.withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    listed = tables.written(listed, "cascade-listed")
+    rows = marked(rows, universe, listed, shard_bytes=shard_bytes)
+    tables.clear()
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     said = F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict"), "listed")
