@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from thicket.llm import mixing, ngram_join, secret_scan, toxicity, unigram
 from thicket.llm.queries import table, tokenizer
-from thicket.storage import written
+from thicket.storage import small, written
 
 #: Near copies here are texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 WORDS, THRESHOLD = 5, 80
+#: Tables of up to so many keys of two longs are broadcast; longer ones are joined by shuffle.
+MOST_KEYS = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *[F.col(k).alias(k[1:]) for k in keys]).alias("doc_id"), "text")
     found = ngram_join.join(named, words=WORDS, threshold=THRESHOLD)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[F.col(f"doc_id.{k[1:]}").alias(k) for k in keys]).distinct()
-    kept = docs.join(gone, keys, "left_anti")
-    # Rows that repeat an id and a text: the join above has brought equal keys together, so nothing is moved.
-    apart = F.when(F.col("doc_id").isNull() & F.col("text").isNull(), F.monotonically_increasing_id())
+    # Whole documents are moved only where rows repeat an id and a text: of these one stays.
+    known = docs.where(F.col("doc_id").isNotNull() | F.col("text").isNotNull())
+    again = known.groupBy(*keys).count().where(F.col("count") > 1).select(*keys)
+    again, gone = written(again.join(gone, keys, "left_anti"), "repeated-rows"), written(gone, "near-copies")
     rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("text", *keys) and not kind.startswith("map")]
-    again = F.row_number().over(Window.partitionBy(*keys, apart).orderBy(F.xxhash64(*rest)))
-    return kept.withColumn("\u0000n", again).where(F.col("\u0000n") == 1).drop("\u0000n", *keys)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*rest)))
+    once = docs.join(small(again, MOST_KEYS), keys, "left_semi").withColumn("\u0000n", first).where(F.col("\u0000n") == 1).drop("\u0000n")
+    return docs.join(small(again.union(gone), MOST_KEYS), keys, "left_anti").union(once).drop(*keys)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,6 +224,13 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return _kept[key[0]][1]
 
 
+def forget() -> None:
+    """Drops what other operators have kept in this worker process, before a task that needs its memory."""
+    _kept.clear()
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     if len(a) >= n:
         return a

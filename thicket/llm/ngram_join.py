@@ -50,12 +50,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.components import components
-from thicket.llm.kernels import Table, commonest, map_rows, mixed_bits, sliced, texts_of, word_hashes
+from thicket.llm.kernels import Table, commonest, forget, map_rows, mixed_bits, sliced, texts_of, word_hashes
 from thicket.storage import Scratch, small
 
 #: Sketches have from LEAST_CELLS to MOST_CELLS parities, a power of two.
 LEAST_CELLS, MOST_CELLS = 64, 1 << 13
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BLOCK = 1024
 #: Rows of a frequent shingle that go to all of its blocks, about.
 PIVOTS = 48
@@ -92,6 +92,7 @@ def frequent(docs: DataFrame, text_col: str, words: int, most: int) -> tuple[np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen, size = [], set(), 0
+        forget()
 
         def counted() -> pa.RecordBatch:
             shingles, n = np.unique(np.concatenate(held), return_counts=True)
@@ -127,6 +128,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int
     names = ["row", "doc_id", "n", "s1", "s2", "sketch", "prefix", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         row = TaskContext.get().partitionId() << 33
         hashes, counts = held.value
         table = Table(hashes, np.arange(len(hashes)))
