@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.kernels import groups, map_rows, spans, texts_of
+from thicket.llm.kernels import forget, groups, map_rows, spans, texts_of
 
 # Fixed patterns, in the order in which kinds are listed; least length of the group that counts.
 BASE = (
@@ -161,7 +161,7 @@ class Scanner:
 
     def is_random(self, token: str) -> bool:
         if token not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 50_000:
                 self.seen.clear()
             self.seen[token] = self.models.score(token) > self.models.threshold
         return self.seen[token]
@@ -170,7 +170,7 @@ class Scanner:
         """Spans of each text in code points, by start, then kind as listed."""
         out: list[list[tuple[int, int, str]]] = []
         coded = [t.encode() for t in texts]
-        for a, b in groups(map(len, coded), 4 << 20):
+        for a, b in groups(map(len, coded)):
             joined = np.frombuffer(b"\n".join(coded[a:b]), np.uint8)
             starts, ends = spans(IN_RUN[joined])
             long = ends - starts >= min(self.shortest, SHORTEST_BASE)
@@ -233,10 +233,14 @@ def redactor(docs: DataFrame, text_col: str = "text", models: Models | None = No
 
     @F.pandas_udf("string")
     def redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         scanner = Scanner(held.value, shortest)
         for texts in parts:
-            given = ["" if t is None else t for t in texts]
-            yield pd.Series([None if t is None else without(t, found, mark) for t, found in zip(texts, scanner.scan(given))], dtype=object)
+            out: list[str | None] = []
+            for a, b in groups(0 if t is None else len(t) for t in texts):
+                given = ["" if t is None else t for t in texts.iloc[a:b]]
+                out += [None if t is None else without(t, found, mark) for t, found in zip(texts.iloc[a:b], scanner.scan(given))]
+            yield pd.Series(out, dtype=object)
 
     return redacted
 

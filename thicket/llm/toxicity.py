@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.kernels import Table, groups, map_rows, span_hashes, spans, texts_of
+from thicket.llm.kernels import forget, groups, map_rows, span_hashes, spans, Table, texts_of
 from thicket.storage import written
 
 PREFIXES = (4, 5, 6)
@@ -188,9 +188,11 @@ def rejecter(docs: DataFrame, model: Model):
 
     @F.pandas_udf("boolean")
     def rejected(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         own = held.value
         table = Table(own.hashes, np.arange(len(own.hashes)))
         for texts in parts:
-            yield pd.Series(own.over(own.scores(["" if t is None else t for t in texts], table))[:, 0] >= own.cut)
+            out = [own.over(own.scores(["" if t is None else t for t in texts.iloc[a:b]], table))[:, 0] >= own.cut for a, b in groups(0 if t is None else len(t) for t in texts)]
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
     return rejected
