@@ -1,6 +1,9 @@
 """Operators of the library on small fixtures."""
 
+import io
+import json
 import os
+import zipfile
 
 import numpy as np
 import pytest
@@ -121,6 +124,11 @@ def test_metrics(spark):
     other = spark.createDataFrame([(f"m{i}", ["A"]) for i in range(3)], "leaf string, path array<string>")
     assert evaluate.edge_f1(same, same).first().edge_f1 == evaluate.ancestor_f1(same, same).first().ancestor_f1 == evaluate.set_overlap(same, same).first().overlap_f1 == 1.0
     assert evaluate.set_overlap(same, other).first().overlap_f1 == 0.0 and evaluate.refinement(same, same).first().wrong_merge == 0
+    apart = evaluate.edge_f1(same, other).first()
+    assert apart.edge_f1 == 1.0 and apart.n_matched_leaves == 0
+    deeper = spark.createDataFrame([(f"l{i}", ["A", f"a{i % 3}", f"b{i % 6}"]) for i in range(12)] + [("only", ["A"]), ("none", [])], "leaf string, path array<string>")
+    finer = evaluate.refinement(deeper, same).first()
+    assert finer.refinement_rate > 0 and finer.missed == 0 and finer.wrong_merge == 0 and finer.n_matched_leaves == 12
     table = evaluate.contingency(spark.createDataFrame([(i % 3, i % 3) for i in range(30)], "a int, b int"), "a", "b")
     assert evaluate.purity(table).first()[0] == evaluate.ari(table).first()[0] == evaluate.nmi(table).first()[0] == evaluate.ami(table).first()[0] == 1.0
     rng = np.random.default_rng(0)
@@ -191,7 +199,7 @@ def test_queries_match_their_sql(spark, sf):
         key = lambda v: round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
         return sorted(str([key(r[c]) for c in sorted(columns)]) for r in rows)
 
-    for name in ("canonical_part", "profile_columns_part", "dup_leaf_suffix", "facet_tree_part", "geo_tree_closure", "structural_stats", "code_families", "ami", "edge_f1", "set_overlap", "mutual_exclusion", "viz_table"):
+    for name in catalog.ORACLES:
         df = catalog.QUERIES[name](spark, sf)
         rel = con.execute(catalog.ORACLES[name])
         cols = [d[0] for d in rel.description]
@@ -215,3 +223,25 @@ def test_traco_is_the_mean_of_cosines(spark):
     got = evaluate.traco(t, table).first()
     pairs = [1 - x[i] @ x[j] for i in (2, 3, 4) for j in (2, 3, 4) if i < j]
     assert abs(got.pc_coherence - np.mean([x[1] @ x[i] for i in (2, 3, 4)])) < 1e-4 and abs(got.sibling_diversity - np.mean(pairs)) < 1e-4
+
+
+def test_bundle_and_sinks(spark, tmp_path):
+    t = make(spark, [(0, "All", "r"), (1, "A", "g"), (2, "A x", "g"), (3, "l1", "l"), (4, "l2", "l"), (5, "l3", "l"), (6, "A y", "g")], [(0, 1), (1, 2), (1, 6), (2, 3), (2, 4), (0, 5)])
+    rows = spark.createDataFrame([("l1", "g"), ("l2", "g"), ("l3", "h"), ("gone", "h")], "leaf string, group string")
+    gold = spark.createDataFrame([("l1", ["p", "q"]), ("l2", ["p", "q"]), ("l3", ["z"])], "leaf string, path array<string>")
+    got = evaluate.bundle(t, rows, gold=gold).first()
+    assert got.purity == got.ari == got.edge_f1 == got.ancestor_f1 == 1.0 and got.n_matched_leaves == 3 and got.leaves == 3
+    assert {r.leaf: r.cluster for r in evaluate.top_clusters(t).collect()} == {3: 1, 4: 1, 5: 5}
+    names = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.6), (2, "x", 0.8), (6, "a", 0.6), (6, "y", 0.8)], "doc long, term string, tfidf double")
+    div = evaluate.label_diversity(t, names).first()
+    assert (div.parent_child, div.sibling_diversity, div.n_aggregations, div.n_singletons) == (0.6, round(1 - 2 * 0.36 / 4, 4), 3, 0)
+    listed = json.loads(sinks.tree_list(t).first().json)
+    assert [n["id"] for n in listed] == list(range(7)) and listed[1]["related"] == [2, 6] and listed[3]["related"] == []
+    both = json.loads(sinks.facet_list({"Task": t, 'odd "name"': t}).first().json)
+    assert both["Task"] == both['odd "name"'] == listed
+    (tmp_path / "o" / "d").mkdir(parents=True)
+    (tmp_path / "o" / "a.txt").write_text("one")
+    (tmp_path / "o" / "d" / "b.txt").write_text("two")
+    files = zipfile.ZipFile(io.BytesIO(sinks.zipped(spark, f"{tmp_path}/o")))
+    assert {n: files.read(n) for n in files.namelist()} == {"a.txt": b"one", "d/b.txt": b"two"}
+    assert one(spark, sinks.safe_name, "a b/c-é.csv") == "a_b_c-é.csv"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import eval_tokens
-from thicket.operators.tree import ROOT, Tree, closure
+from thicket.functions.text import PATH_SEP, eval_tokens
+from thicket.operators.tree import ROOT, Tree, closure, first_parents, structural_stats
 from thicket.storage import written
 
 
@@ -156,37 +156,92 @@ def _pairs(rows: DataFrame, *keys: str) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).cast("long").alias("pairs"))
 
 
-def _matched(system: DataFrame, gold: DataFrame, key: Column, how: str = "full_outer") -> DataFrame:
-    """leaf, s, g: keys of the paths of a leaf in both trees; of a leaf that comes more than once, the last path in order."""
-    s = system.groupBy("leaf").agg(F.max("path").alias("path")).select("leaf", key.alias("s"))
-    g = gold.groupBy("leaf").agg(F.max("path").alias("path")).select("leaf", key.alias("g"))
-    return s.join(g, "leaf", how)
+def _matched(system: DataFrame, gold: DataFrame) -> DataFrame:
+    """Leaf, and full and first keys of its path in both trees (null without ancestors), of leaves that both have; of a leaf that comes more than once, the last path in order."""
 
+    def keyed(rows: DataFrame, side: str) -> DataFrame:
+        own = rows.groupBy("leaf").agg(F.max("path").alias("path"))
+        full = F.when(F.size("path") > 0, F.array_join("path", PATH_SEP))
+        return own.select("leaf", full.alias(f"{side}_full"), F.get("path", F.lit(0)).alias(f"{side}_first"))
 
-def _scores(rows: DataFrame, prefix: str) -> DataFrame:
-    """Precision, recall and F1 of pairs; 1 if both trees have none. Pairs are counted from group sizes and never made."""
-    one = _pairs(rows, "s").withColumnRenamed("pairs", "s").join(_pairs(rows, "g").withColumnRenamed("pairs", "g"), F.lit(True)).join(_pairs(rows, "s", "g").withColumnRenamed("pairs", "t"), F.lit(True))
+    return keyed(system, "s").join(keyed(gold, "g"), "leaf")
+
+
+def _counted(rows: DataFrame, **keys: tuple[str, ...]) -> DataFrame:
+    """One row with n_matched_leaves and, by name, the number of unordered pairs that agree in the keys. Pairs are counted from group sizes and never made."""
+    one = rows.agg(F.count("*").alias("n_matched_leaves"))
+    for name, own in keys.items():
+        one = one.join(_pairs(rows, *own).withColumnRenamed("pairs", name), F.lit(True))
+    return one
+
+
+def _scores(rows: DataFrame, s: str, g: str, prefix: str) -> DataFrame:
+    """Precision, recall and F1 of pairs; 1 if both trees have none."""
+    one = _counted(rows, s=(s,), g=(g,), t=(s, g))
     empty = (F.col("s") == 0) & (F.col("g") == 0)
     p = F.when(empty, 1.0).when(F.col("s") == 0, 0.0).otherwise(F.col("t") / F.col("s"))
     r = F.when(empty, 1.0).when(F.col("g") == 0, 0.0).otherwise(F.col("t") / F.col("g"))
-    return one.select(F.round(p, 4).alias(f"{prefix}_p"), F.round(r, 4).alias(f"{prefix}_r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias(f"{prefix}_f1"))
+    return one.select("n_matched_leaves", F.round(p, 4).alias(f"{prefix}_p"), F.round(r, 4).alias(f"{prefix}_r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias(f"{prefix}_f1"))
 
 
 def edge_f1(system: DataFrame, gold: DataFrame) -> DataFrame:
-    """Of pairs with the same immediate parent; both have (leaf, path array)."""
-    return _scores(_matched(system, gold, F.array_join("path", " > ")), "edge")
+    """Of pairs of shared leaves with the same immediate parent; both have (leaf, path array)."""
+    return _scores(_matched(system, gold), "s_full", "g_full", "edge")
 
 
 def ancestor_f1(system: DataFrame, gold: DataFrame) -> DataFrame:
-    """Of pairs that share any ancestor, which is to share the first."""
-    return _scores(_matched(system, gold, F.get("path", F.lit(0))), "ancestor")
+    """Of pairs of shared leaves that share any ancestor, which is to share the first."""
+    return _scores(_matched(system, gold), "s_first", "g_first", "ancestor")
 
 
 def refinement(system: DataFrame, gold: DataFrame) -> DataFrame:
-    """V8: n_system, n_gold, correct, wrong_merge, missed pairs of leaves of both trees, by any shared ancestor."""
-    rows = _matched(system, gold, F.get("path", F.lit(0)), "inner")
-    one = _pairs(rows, "s").withColumnRenamed("pairs", "n_system").join(_pairs(rows, "g").withColumnRenamed("pairs", "n_gold"), F.lit(True)).join(_pairs(rows, "s", "g").withColumnRenamed("pairs", "correct"), F.lit(True))
-    return one.select("*", (F.col("n_system") - F.col("correct")).alias("wrong_merge"), (F.col("n_gold") - F.col("correct")).alias("missed"))
+    """Of pairs of shared leaves, siblings in the system that gold groups nowhere (wrong_merge), gold's siblings that the system groups only higher up (refined) or nowhere (missed), and their rates."""
+    one = _counted(_matched(system, gold), n_system=("s_full",), n_gold=("g_full",), grouped=("s_full", "g_first"), within=("g_full", "s_first"), same=("g_full", "s_full"))
+    wrong, refined, missed = F.col("n_system") - F.col("grouped"), F.col("within") - F.col("same"), F.col("n_gold") - F.col("within")
+
+    def rate(n: Column, of: str) -> Column:
+        return F.round(F.when(F.col(of) > 0, n / F.col(of)).otherwise(0.0), 4)
+
+    return one.select("n_matched_leaves", "n_system", "n_gold", wrong.alias("wrong_merge"), refined.alias("refined"), missed.alias("missed"), rate(wrong, "n_system").alias("wrong_merge_rate"), rate(refined, "n_gold").alias("refinement_rate"), rate(missed, "n_gold").alias("missed_rate"))
+
+
+def top_clusters(tree: Tree) -> DataFrame:
+    """V4: leaf (id), name, cluster of each leaf: its ancestor right below the root; a leaf at the root is a cluster of its own."""
+    first = tree.edges.where(f"parent = {ROOT}").select(F.col("child").alias("anc"))
+    below = closure(tree.edges).join(first, "anc", "left_semi").groupBy(F.col("desc").alias("id")).agg(F.min("anc").alias("anc"))
+    leaves = tree.nodes.where("type = 'attribute'").select("id", "name")
+    return leaves.join(below, "id", "left").select(F.col("id").alias("leaf"), "name", F.coalesce("anc", "id").alias("cluster"))
+
+
+def node_ids(rows: DataFrame, tree: Tree, name: str) -> DataFrame:
+    """Rows with node, the id of the leaf of that name, the smallest of several, -1 if there is none."""
+    leaves = tree.nodes.where("type = 'attribute'").groupBy(F.col("name").alias("\u0000name")).agg(F.min("id").alias("node"))
+    return rows.join(leaves, F.col(name) == F.col("\u0000name"), "left").drop("\u0000name").withColumn("node", F.coalesce("node", F.lit(-1).cast("long")))
+
+
+def group_preservation(tree: Tree, rows: DataFrame, name: str, group: str) -> DataFrame:
+    """V4: purity, ari, nmi, ami of the clusters right below the root against the rows' groups; rows without a leaf take no part."""
+    found = node_ids(rows.select(F.col(name).alias("name"), F.col(group).alias("group")), tree, "name").where("node >= 0")
+    table = written(contingency(found.join(top_clusters(tree).select(F.col("leaf").alias("node"), "cluster"), "node"), "cluster", "group"), "preservation")
+    return purity(table).join(ari(table), F.lit(True)).join(nmi(table), F.lit(True)).join(ami(table), F.lit(True))
+
+
+def leaf_paths(tree: Tree) -> DataFrame:
+    """leaf (name) and the path of its ancestors' ids below the root, as strings."""
+    up = closure(tree.edges).where(f"anc <> {ROOT}").groupBy("desc").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("dist", "anc")))), lambda x: x["anc"].cast("string")).alias("path"))
+    leaves = tree.nodes.where("type = 'attribute'").select(F.col("id").alias("desc"), F.col("name").alias("leaf"))
+    return leaves.join(up, "desc", "left").select("leaf", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
+
+
+def bundle(tree: Tree, rows: DataFrame | None = None, name: str = "leaf", group: str = "group", gold: DataFrame | None = None) -> DataFrame:
+    """V9: one row of structural statistics, and of group preservation and gold scores where rows (name, group) and gold (leaf, path) are given."""
+    one = structural_stats(tree)
+    if rows is not None:
+        one = one.join(group_preservation(tree, rows, name, group), F.lit(True))
+    if gold is not None:
+        own = written(leaf_paths(tree), "leaf-paths")
+        one = one.join(edge_f1(own, gold), F.lit(True)).join(ancestor_f1(own, gold).drop("n_matched_leaves"), F.lit(True))
+    return one
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
@@ -209,12 +264,36 @@ def set_overlap(system: DataFrame, gold: DataFrame) -> DataFrame:
     return one.select(F.round("p", 4).alias("overlap_p"), F.round("r", 4).alias("overlap_r"), F.round(F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0), 4).alias("overlap_f1"))
 
 
-def label_quality(tree: Tree) -> DataFrame:
-    """V5: of aggregations: % of names of at most 3 words, % without a slash, % of repeats below one parent, average words."""
-    inner = tree.nodes.where("type = 'aggregation'").select(F.col("id").alias("child"), "name", F.size(F.filter(F.split("name", r"\s+"), lambda w: w != "")).alias("w"))
-    own = inner.agg(F.round(100 * F.avg((F.col("w") <= 3).cast("int")), 2).alias("short_pct"), F.round(100 * F.avg((~F.col("name").contains("/")).cast("int")), 2).alias("no_slash_pct"), F.round(F.avg("w"), 2).alias("avg_words"))
-    kids = tree.edges.join(inner, "child").groupBy("parent").agg(F.count("*").alias("n"), F.count_distinct(F.lower("name")).alias("d"))
-    return own.join(kids.agg(F.round(100 * F.sum(F.col("n") - F.col("d")) / F.sum("n"), 2).alias("redundancy_pct")), F.lit(True))
+def label_quality(tree: Tree, is_noun: Column | None = None) -> DataFrame:
+    """V5: of aggregations: % whose name is a short phrase (1 to 3 words, no slash, its last word a noun), % that repeat a sibling's name, average words. Words are runs of a-z and 0-9. is_noun is a condition on ``head``; without one, heads of over 2 letters count."""
+    plain = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")
+    inner = tree.nodes.where("type = 'aggregation'").select(F.col("id").alias("child"), "name", plain.alias("words"))
+    inner = inner.withColumn("head", F.coalesce(F.try_element_at("words", F.lit(-1)), F.lit("")))
+    noun = F.length("head") > 2 if is_noun is None else is_noun
+    concept = ~F.col("name").contains("/") & F.size("words").between(1, 3) & noun
+    own = inner.agg(F.round(100 * F.avg(concept.cast("int")), 1).alias("concept_label_pct"), F.round(F.avg(F.size("words")), 2).alias("avg_label_words"), F.count("*").alias("n"))
+    kids = first_parents(tree).join(inner, "child", "right").groupBy("parent").agg(F.count("*").alias("k"), F.count_distinct(F.array_join("words", " ")).alias("d"))
+    one = own.join(kids.agg(F.sum(F.col("k") - F.col("d")).alias("again")), F.lit(True))
+    return one.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("concept_label_pct", "avg_label_words")], F.coalesce(F.round(100 * F.col("again") / F.col("n"), 1), F.lit(0.0)).alias("redundancy_pct"))
+
+
+def label_diversity(tree: Tree, table: DataFrame) -> DataFrame:
+    """A-15: parent_child and sibling_diversity of aggregations with two or more aggregations below, n_aggregations, n_singletons; table has (doc = node id, term, tfidf) of unit length.
+
+    A parent's diversity is 1 less its children's pairwise cosines over the square of their number.
+    """
+    inner = tree.nodes.where("type = 'aggregation'").select("id", "name")
+    named = inner.where("name <> 'Group'").select(F.col("id").alias("child"))
+    kids = tree.edges.join(named, "child", "left_semi").join(inner.select(F.col("id").alias("parent")), "parent", "left_semi").select("parent", "child")
+    fan = kids.groupBy("parent").agg(F.count("*").alias("k")).where("k >= 2")
+    mine = kids.join(table.select(F.col("doc").alias("child"), "term", F.col("tfidf").alias("c")), "child")
+    sums = mine.groupBy("parent", "term").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    own = table.select(F.col("doc").alias("parent"), "term", F.col("tfidf").alias("p"))
+    by = sums.join(own, ["parent", "term"], "left").groupBy("parent").agg(F.sum(F.col("s") * F.coalesce("p", F.lit(0.0))).alias("dot"), F.sum(F.col("s") * F.col("s") - F.col("own")).alias("pairs"))
+    each = fan.join(by, "parent", "left").select((F.coalesce("dot", F.lit(0.0)) / F.col("k")).alias("near"), (1 - F.coalesce("pairs", F.lit(0.0)) / (F.col("k") * F.col("k"))).alias("apart"))
+    one = each.agg(F.round(F.coalesce(F.avg("near"), F.lit(0.0)), 4).alias("parent_child"), F.round(F.coalesce(F.avg("apart"), F.lit(0.0)), 4).alias("sibling_diversity"))
+    below = inner.join(tree.edges.groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("k")), "id", "left")
+    return one.join(below.agg(F.count("*").alias("n_aggregations"), F.count_if(F.col("k") == 1).alias("n_singletons")), F.lit(True))
 
 
 def traco(tree: Tree, table: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import codes, text
-from thicket.operators import evaluate, facets, profile, slots, tfidf, tree, viz, ward
+from thicket.operators import evaluate, facets, groups, profile, slots, tfidf, tree, viz, ward
+from thicket.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -340,36 +341,42 @@ def ami(spark, sf_dir):
 # --- tree metrics
 
 def customer_paths(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The system has all customers by region and nation; gold those with orders, builders by region alone and others by segment and nation."""
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.select(F.col("c_name").alias("leaf"), F.array("r_name", "n_name").alias("path")), c.select(F.col("c_name").alias("leaf"), F.array("c_mktsegment", "n_name").alias("path"))
+    ordered = c.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    gold = F.when(F.col("c_mktsegment") == "BUILDING", F.array("r_name")).otherwise(F.array("c_mktsegment", "n_name"))
+    return c.select(F.col("c_name").alias("leaf"), F.array("r_name", "n_name").alias("path")), ordered.select(F.col("c_name").alias("leaf"), gold.alias("path"))
 
 
-PATHS_SQL = "WITH c AS (SELECT c_name AS leaf, r_name AS s1, r_name || ' > ' || n_name AS s2, c_mktsegment AS g1, c_mktsegment || ' > ' || n_name AS g2 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+PATHS_SQL = """
+WITH c AS (SELECT c_name AS leaf, r_name AS s1, r_name || ' > ' || n_name AS s2, CASE WHEN c_mktsegment = 'BUILDING' THEN r_name ELSE c_mktsegment END AS g1,
+    CASE WHEN c_mktsegment = 'BUILDING' THEN r_name ELSE c_mktsegment || ' > ' || n_name END AS g2
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (SELECT o_custkey FROM orders)),
+p AS (SELECT a.s2 = b.s2 AS ss, a.s1 = b.s1 AS sc, a.g2 = b.g2 AS gs, a.g1 = b.g1 AS gc FROM c a JOIN c b ON a.leaf < b.leaf)"""
 
 
 def _pairs_sql(name: str, s: str, g: str) -> str:
-    f = "sum(n * (n - 1) / 2)"
-    return f"""{PATHS_SQL}, x AS (SELECT (SELECT {f} FROM (SELECT count(*) AS n FROM c GROUP BY {s})) AS s, (SELECT {f} FROM (SELECT count(*) AS n FROM c GROUP BY {g})) AS g, (SELECT {f} FROM (SELECT count(*) AS n FROM c GROUP BY {s}, {g})) AS t)
-SELECT round(t / s, 4) AS {name}_p, round(t / g, 4) AS {name}_r, round(2 * t / s * t / g / (t / s + t / g), 4) AS {name}_f1 FROM x"""
+    return f"""{PATHS_SQL}, x AS (SELECT (SELECT count(*) FROM c) AS m, count(*) FILTER ({s}) AS s, count(*) FILTER ({g}) AS g, count(*) FILTER ({s} AND {g}) AS t FROM p)
+SELECT m AS n_matched_leaves, round(t / s, 4) AS {name}_p, round(t / g, 4) AS {name}_r, round(2 * t / s * t / g / (t / s + t / g), 4) AS {name}_f1 FROM x"""
 
 
-@query(_pairs_sql("edge", "s2", "g2"))
+@query(_pairs_sql("edge", "ss", "gs"))
 def edge_f1(spark, sf_dir):
     return evaluate.edge_f1(*customer_paths(spark, sf_dir))
 
 
-@query(_pairs_sql("ancestor", "s1", "g1"))
+@query(_pairs_sql("ancestor", "sc", "gc"))
 def ancestor_f1(spark, sf_dir):
     return evaluate.ancestor_f1(*customer_paths(spark, sf_dir))
 
 
-@query(PATHS_SQL + """, x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY s1))::BIGINT AS n_system, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY g1))::BIGINT AS n_gold, (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(*) AS n FROM c GROUP BY s1, g1))::BIGINT AS correct)
-SELECT *, n_system - correct AS wrong_merge, n_gold - correct AS missed FROM x""")
+@query(PATHS_SQL + """, x AS (SELECT (SELECT count(*) FROM c) AS n_matched_leaves, count(*) FILTER (ss) AS n_system, count(*) FILTER (gs) AS n_gold, count(*) FILTER (ss AND NOT gc) AS wrong_merge, count(*) FILTER (gs AND sc AND NOT ss) AS refined, count(*) FILTER (gs AND NOT sc) AS missed FROM p)
+SELECT *, round(wrong_merge / n_system, 4) AS wrong_merge_rate, round(refined / n_gold, 4) AS refinement_rate, round(missed / n_gold, 4) AS missed_rate FROM x""")
 def refinement(spark, sf_dir):
     return evaluate.refinement(*customer_paths(spark, sf_dir))
 
 
-@query(PATHS_SQL + """, a AS (SELECT leaf, unnest([s1, s2]) AS i FROM c), b AS (SELECT leaf, unnest([g1, g2]) AS j FROM c), na AS (SELECT i, count(*) AS ni FROM a GROUP BY 1 HAVING count(*) >= 2), nb AS (SELECT j, count(*) AS nj FROM b GROUP BY 1 HAVING count(*) >= 2),
+@query(PATHS_SQL + """, a AS (SELECT leaf, unnest([s1, s2]) AS i FROM c), b AS (SELECT DISTINCT leaf, unnest([g1, g2]) AS j FROM c), na AS (SELECT i, count(*) AS ni FROM a GROUP BY 1 HAVING count(*) >= 2), nb AS (SELECT j, count(*) AS nj FROM b GROUP BY 1 HAVING count(*) >= 2),
 x AS (SELECT i, j, count(*) AS k, any_value(ni) AS ni, any_value(nj) AS nj FROM a JOIN na USING (i) JOIN b USING (leaf) JOIN nb USING (j) GROUP BY 1, 2), y AS (SELECT i, j, k / (ni + nj - k) AS jac FROM x),
 z AS (SELECT (SELECT avg(m) FROM (SELECT max(jac) AS m FROM y GROUP BY i)) AS p, (SELECT avg(m) FROM (SELECT max(jac) AS m FROM y GROUP BY j)) AS r)
 SELECT round(p, 4) AS overlap_p, round(r, 4) AS overlap_r, round(2 * p * r / (p + r), 4) AS overlap_f1 FROM z""")
@@ -377,8 +384,9 @@ def set_overlap(spark, sf_dir):
     return evaluate.set_overlap(*customer_paths(spark, sf_dir))
 
 
-@query(GEO + """, l AS (SELECT id, name, len(string_split(name, ' ')) AS w FROM n WHERE type = 'aggregation'), k AS (SELECT parent, count(*) AS n, count(DISTINCT lower(name)) AS d FROM e JOIN l ON child = l.id GROUP BY 1)
-SELECT round(100 * avg((w <= 3)::INT), 2) AS short_pct, round(100 * avg((NOT contains(name, '/'))::INT), 2) AS no_slash_pct, round(avg(w), 2) AS avg_words, (SELECT round(100 * sum(n - d) / sum(n), 2) FROM k) AS redundancy_pct FROM l""")
+@query(GEO + """, l AS (SELECT id, name, list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM n WHERE type = 'aggregation'),
+k AS (SELECT parent, count(*) AS n, count(DISTINCT array_to_string(w, ' ')) AS d FROM e JOIN l ON child = l.id GROUP BY 1)
+SELECT round(100 * avg((NOT contains(name, '/') AND len(w) BETWEEN 1 AND 3 AND length(w[-1]) > 2)::INT), 1) AS concept_label_pct, round(avg(len(w)), 2) AS avg_label_words, round(100 * (SELECT sum(n - d) FROM k) / count(*), 1) AS redundancy_pct FROM l""")
 def label_quality(spark, sf_dir):
     return evaluate.label_quality(geo_tree(spark, sf_dir))
 
@@ -437,10 +445,108 @@ def ward_tree_embeddings(spark, sf_dir):
     return found.select(F.col("id").alias("vec_id"), F.col("grp").alias("label"), F.array_join(F.transform("path", lambda c: c.cast("string")), " > ").alias("path"))
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z][a-z]+'), lambda w: w NOT IN ({_STOP_SQL}))) AS t FROM documents), d AS (SELECT * FROM t WHERE len(t) > 0), n AS (SELECT count(*) AS n FROM d),
+l AS (SELECT grp, unnest(list_distinct(list_filter(regexp_extract_all(lower(label), '[a-z][a-z][a-z]+'), lambda w: w NOT IN ({_STOP_SQL})))) AS term FROM ({{LABELS}})),
+p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM l)), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+c AS (SELECT grp, term, df FROM l JOIN f USING (term) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY df DESC, term) <= 5),
+w AS (SELECT a.grp, a.term AS x, b.term AS y, a.df AS dx, b.df AS dy FROM c a JOIN c b ON a.grp = b.grp AND a.term < b.term),
+o AS (SELECT a.term AS x, b.term AS y, count(*) AS c FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term < b.term GROUP BY 1, 2),
+s AS (SELECT grp, (coalesce(c, 0) + 1e-12) / n AS pxy, dx / n * (dy / n) AS pp FROM w LEFT JOIN o USING (x, y), n),
+m AS (SELECT grp, avg(ln(pxy / (pp + 1e-12) + 1e-12) / -ln(pxy + 1e-12)) AS m FROM s GROUP BY 1)
+SELECT round(coalesce(avg(m), 0), 4) AS npmi FROM m
+""".replace("{LABELS}", ORACLES["contrastive_labels"]))
 def npmi_sources(spark, sf_dir):
     """V2 of the contrastive labels of sources over all documents."""
     docs = table(spark, sf_dir, "documents")
     labels = contrastive_labels(spark, sf_dir)
     nodes = labels.select(F.xxhash64("grp").alias("id"), F.col("label").alias("name"), F.lit("aggregation").alias("type"))
     return evaluate.npmi(nodes, docs, "doc_id", "text")
+
+
+# --- groups of rows and nodes
+
+@query("SELECT p_type AS top, count(*) AS n, min(p_partkey) - 1 AS first, row_number() OVER (ORDER BY min(p_partkey), p_type) AS place FROM part GROUP BY 1")
+def top_groups_part(spark, sf_dir):
+    return groups.top_groups(part_rows(spark, sf_dir), "group_path", "row")
+
+
+@query("SELECT p_type || ' > ' || p_brand AS path, 2 AS depth, count(*) AS n FROM part GROUP BY 1")
+def terminal_groups_part(spark, sf_dir):
+    return groups.terminal_groups(part_rows(spark, sf_dir), "group_path")
+
+
+@query("SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def value_counts_orders(spark, sf_dir):
+    return groups.value_counts(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT o_orderpriority, o_orderstatus, row_number() OVER (ORDER BY min(o_orderkey), o_orderpriority, o_orderstatus) AS place FROM orders GROUP BY 1, 2")
+def ordered_distinct_orders(spark, sf_dir):
+    return groups.ordered_distinct(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_orderkey")
+
+
+@query("SELECT p_type AS top, count(DISTINCT p_brand) AS n_paths, count(DISTINCT p_brand) <= 1 AS skip FROM part GROUP BY 1")
+def unary_groups_part(spark, sf_dir):
+    return groups.unary_groups(part_rows(spark, sf_dir), "group_path")
+
+
+@query("SELECT c_mktsegment AS family, count(*) AS members, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs FROM customer GROUP BY 1")
+def family_pairs_customer(spark, sf_dir):
+    return groups.family_pairs(table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment")
+
+
+@query(GEO + ", k AS (SELECT anc AS id, count(*) AS v FROM c JOIN n ON c.\"desc\" = n.id WHERE n.type = 'attribute' GROUP BY 1) SELECT e.parent, e.child, row_number() OVER (PARTITION BY e.parent ORDER BY coalesce(k.v, 1) DESC, e.child) - 1 AS ord FROM e LEFT JOIN k ON e.child = k.id")
+def children_by_size_geo(spark, sf_dir):
+    own = geo_tree(spark, sf_dir)
+    return groups.children_by_size(own.edges, tree.leaf_counts(own))
+
+
+@query(UNIT + ", w AS (SELECT pos, avg(c) AS c FROM p GROUP BY 1) SELECT grp, pos::INT AS pos, round(c, 6) AS c FROM n UNION ALL SELECT NULL, pos::INT, round(c / sqrt(sum(c * c) OVER ()), 6) FROM w")
+def corpus_centroids(spark, sf_dir):
+    return groups.corpus_centroids(table(spark, sf_dir, "embeddings"), "label", "embedding").withColumn("c", F.round("c", 6))
+
+
+@query(UNIT + ", q AS (SELECT label AS grp, pos, sum(c) AS s, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT grp, max(n) AS n, round(CASE WHEN max(n) > 1 THEN (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) ELSE 1 END, 6) AS coherence FROM q GROUP BY 1) SELECT row_number() OVER (ORDER BY coherence, grp) AS place, grp, n, coherence, coherence < 0.25 AS incoherent FROM r")
+def incoherent_labels(spark, sf_dir):
+    return groups.incoherent(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (l_discount > 0 AND l_discount < 0.25) AS low, count(*) FILTER (l_discount > 0 AND l_discount <= 0.25) AS low_or_bound, count(*) FILTER (l_discount > 0.08) AS aligned, count(*) FILTER (l_discount = 0) AS fallback FROM lineitem")
+def confidence_lineitem(spark, sf_dir):
+    return groups.confidence(table(spark, sf_dir, "lineitem"), "l_discount")
+
+
+@query("SELECT c_nationkey AS parent, count(*) AS clusters, max(n) <= 0.7 * sum(n) AND min(n) >= 2 AS balanced FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
+def balanced_nations(spark, sf_dir):
+    return groups.balanced(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query(f"""
+WITH o AS (SELECT p_partkey AS row, p_brand AS grp, p_type AS family, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z][a-z][a-z]+'), lambda w: w NOT IN ({_STOP_SQL}))) AS words FROM part),
+g AS (SELECT family, grp AS other, list_distinct(flatten(list(words))) AS has FROM o GROUP BY 1, 2),
+s AS (SELECT o.row, o.grp, g.other, CASE WHEN len(o.words) = 0 THEN 0 ELSE round(len(list_intersect(o.words, g.has)) / len(o.words), 3) END AS sim FROM o JOIN g USING (family)),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY sim DESC, other) AS place FROM s WHERE other <> grp),
+x AS (SELECT o.row, o.grp AS current, (SELECT sim FROM s WHERE s.row = o.row AND s.other = o.grp) AS current_sim, a.other AS alt_1, coalesce(a.sim, 0) AS sim_1, b.other AS alt_2, coalesce(b.sim, 0) AS sim_2 FROM o LEFT JOIN r a ON a.row = o.row AND a.place = 1 LEFT JOIN r b ON b.row = o.row AND b.place = 2)
+SELECT *, CASE WHEN round(sim_1 - current_sim, 6) > 0.10 THEN 'move' WHEN round(sim_1 - current_sim, 6) > 0 THEN 'review' ELSE 'keep' END AS decision FROM x
+""")
+def conflicts_part(spark, sf_dir):
+    return groups.conflicts(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), "p_brand", "p_type")
+
+
+PRESERVED_SQL = CELLS_SQL.replace("SELECT lang AS a, quality || '/' || toxic AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2", "SELECT n_regionkey AS a, c_mktsegment AS b, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
+
+
+@query(MI_SQL.replace(CELLS_SQL, PRESERVED_SQL) + """, k AS (SELECT a.n::BIGINT AS x, b.n::BIGINT AS y, s.n::BIGINT AS t, unnest(range(greatest(1, (a.n + b.n - s.n)::BIGINT), least(a.n, b.n)::BIGINT + 1)) AS k FROM a, b, s),
+em AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS emi FROM k),
+z AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(n * (n - 1) / 2) FROM a) AS i, (SELECT sum(n * (n - 1) / 2) FROM b) AS j, (SELECT n * (n - 1) / 2 FROM s) AS p)
+SELECT (SELECT round(sum(m) / sum(n), 4) FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY a)) AS purity, round((ij - i * j / p) / ((i + j) / 2 - i * j / p), 4) AS ari, round(mi / ((ha + hb) / 2), 4) AS nmi, round((mi - emi) / ((ha + hb) / 2 - emi), 4) AS ami FROM h, em, z""")
+def group_preservation_geo(spark, sf_dir):
+    """customers' segments against the regions right below the root."""
+    return evaluate.group_preservation(geo_tree(spark, sf_dir), table(spark, sf_dir, "customer"), "c_name", "c_mktsegment")
+
+
+@query(GEO + ", r AS (SELECT parent, list(child ORDER BY child) AS related FROM e GROUP BY 1), x AS (SELECT id, name, type, coalesce(related, []::BIGINT[]) AS related FROM n LEFT JOIN r ON id = parent) SELECT to_json(list({'id': id, 'name': name, 'type': type, 'related': related} ORDER BY id))::VARCHAR AS json FROM x")
+def tree_list_geo(spark, sf_dir):
+    """K1."""
+    return sinks.tree_list(geo_tree(spark, sf_dir))

@@ -1,8 +1,11 @@
-"""Trees and tables as files (K1-K6)."""
+"""Trees and tables as files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+import zipfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.operators.tree import Tree
@@ -28,6 +31,37 @@ def write_facets(trees: dict[str, Tree], path: str) -> None:
     out.write.mode("overwrite").partitionBy("tree_id").json(path)
 
 
+def tree_list(tree: Tree) -> DataFrame:
+    """K1: one row, json: the tree as one list of nodes in order of ids, as viewers read it. For trees that are looked at; larger ones go by write_tree()."""
+    nodes = F.sort_array(F.collect_list(F.struct("id", "name", "type", "related")))
+    return tree_rows(tree).agg(F.to_json(nodes).alias("json"))
+
+
+def facet_list(trees: dict[str, Tree]) -> DataFrame:
+    """K2: one row, json: an object of facet names and their lists of nodes."""
+    out = None
+    for name, t in trees.items():
+        one = tree_list(t).select(F.lit(name).alias("name"), "json")
+        out = one if out is None else out.union(one)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("name", "json"))), lambda x: F.concat(F.to_json(F.array(x["name"])), F.lit("\u0000"), x["json"]))
+    return out.agg(F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, "(?s)^\\[(.*?)\\]\u0000", "$1: ")), ", "), F.lit("}")).alias("json"))
+
+
+def safe_name(name: Column) -> Column:
+    """A file name with all but letters, digits, ``_``, ``.`` and ``-`` as ``_``."""
+    return F.regexp_replace(name, r"[^\p{L}\p{N}_.\-]", "_")
+
+
+def zipped(spark: SparkSession, folder: str, glob: str = "*") -> bytes:
+    """K7: a ZIP of a folder's files, read by Spark from any store, with paths below the folder as names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for r in files.select("path", "content").orderBy("path").toLocalIterator():  # a file at a time
+            out.writestr(r.path.rpartition(folder.split("://")[-1].strip("/"))[2].lstrip("/"), bytes(r.content))
+    return held.getvalue()
+
+
 def write_canonical(rows: DataFrame, path: str) -> None:
     """K3: canonical rows without the raw columns."""
     rows.drop("raw").write.mode("overwrite").option("header", True).csv(path)
