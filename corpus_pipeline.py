@@ -23,16 +23,26 @@ from thicket.storage import small, written
 WORDS, THRESHOLD = 5, 80
 #: Tables of up to so many keys of two longs are broadcast; longer ones are joined by shuffle.
 MOST_KEYS = 1_000_000
+#: Texts are long, so Arrow batches of documents have at most so many rows; that bounds a worker's memory and changes no result.
+BATCH_ROWS = 1000
+
+
+def _batched(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the ordinal model rejects; it is fitted on the labelled ones."""
+    _batched(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(~toxicity.rejecter(docs, model)(F.col("text")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one with the smallest id, and of those the one with the smallest hash."""
+    _batched(spark)
     # A document is an id and a text: 128 bits of both tell documents of one id, or of none, apart. Known ids come first.
     keys = ["\u0000h1", "\u0000h2"]
     for seed, key in enumerate(keys):
@@ -52,6 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each secret's span replaced by a mark, and n_chars the new length."""
+    _batched(spark)
     out = docs.withColumn("text", secret_scan.redactor(docs)(F.col("text")))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
@@ -63,6 +74,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_crc32, n_byte_pieces, restored of each document."""
+    _batched(spark)
     return unigram.encode(docs, tokenizer("piece_bpe_32k.model"))
 
 

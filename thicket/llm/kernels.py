@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -215,6 +216,8 @@ class UnitCache:
 
 
 _kept: dict = {}
+#: The C library's call that returns free memory, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def kept(key: tuple, make: Callable[[], object]) -> object:
@@ -225,10 +228,12 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
 
 
 def forget() -> None:
-    """Drops what other operators have kept in this worker process, before a task that needs its memory."""
+    """Drops what operators have kept in this worker process and gives free memory back to the system, as an idle worker lives on beside the next stage's."""
     _kept.clear()
     _powers.clear()
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:

@@ -161,6 +161,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int
                 ]
                 row += len(found)
                 yield pa.RecordBatch.from_arrays(columns, names)
+        forget()
 
     schema = f"row long, doc_id {id_type}, n int, s1 long, s2 long, sketch binary, prefix array<long>, often array<int>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -241,6 +241,8 @@ def redactor(docs: DataFrame, text_col: str = "text", models: Models | None = No
                 given = ["" if t is None else t for t in texts.iloc[a:b]]
                 out += [None if t is None else without(t, found, mark) for t, found in zip(texts.iloc[a:b], scanner.scan(given))]
             yield pd.Series(out, dtype=object)
+        scanner.seen.clear()
+        forget()
 
     return redacted
 

@@ -194,5 +194,6 @@ def rejecter(docs: DataFrame, model: Model):
         for texts in parts:
             out = [own.over(own.scores(["" if t is None else t for t in texts.iloc[a:b]], table))[:, 0] >= own.cut for a, b in groups(0 if t is None else len(t) for t in texts)]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        forget()
 
     return rejected
