@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from thicket.functions.text import is_meaningful, ngrams, spaced
 
+# Words that stand for numbers in conditions, and what conditions count.
+CONDITION_NUMBERS = ["all", "none", "simultaneous"]
+CONDITION_HINTS = "second seconds minute minutes hour hours day days month months year years week weeks box boxes token tokens pattern patterns trial trials".split()
+
 
 def prefix_of(text: Column) -> Column:
     """What stands before the first colon, as lower-case letters and digits with single spaces."""
@@ -82,10 +86,24 @@ def assigned(table: DataFrame, slot_table: DataFrame) -> DataFrame:
     return table.join(slot_table, ["grp", "phrase"]).withColumn("r", F.row_number().over(best)).where("r = 1").select("grp", "row", "slot", "phrase")
 
 
+def gated(table: DataFrame, assignment: DataFrame, rows_per_group: DataFrame, coverage: float = 0.55) -> DataFrame:
+    """Assignments of groups that hold: four rows, four phrases and two slots or more, and a slot's phrase in 0.55 of all rows; rows_per_group has (grp, total)."""
+    held = assignment.groupBy("grp").agg(F.count_distinct("slot").alias("slots"), F.count_distinct("row").alias("covered"))
+    many = table.groupBy("grp").agg(F.count_distinct("phrase").alias("phrases"))
+    fine = held.join(many, "grp").join(rows_per_group, "grp").where((F.col("total") >= 4) & (F.col("phrases") >= 4) & (F.col("slots") >= 2) & (F.col("covered") / F.col("total") >= coverage))
+    return assignment.join(fine.select("grp"), "grp", "left_semi")
+
+
+def is_condition(phrase: Column) -> Column:
+    """A phrase with a number, or a word like one, and a word for what is counted."""
+    own = F.split(phrase, " ")
+    return F.exists(own, lambda w: w.rlike(r"^\d+$") | w.isin(CONDITION_NUMBERS)) & F.exists(own, lambda w: w.isin(CONDITION_HINTS))
+
+
 def slot_order(assignment: DataFrame, rows_per_group: DataFrame) -> DataFrame:
-    """Grp, slot, score, of slots with a positive score: distinct values - 0.6 singletons + 0.4 coverage + 0.3 (words - 1) - 0.8 share of digits."""
+    """Grp, slot, score, of slots with a positive score: distinct values - 0.6 singletons + 0.4 coverage + 0.3 (words - 1) - 0.8 share of conditions."""
     values = assignment.groupBy("grp", "slot", "phrase").agg(F.count("*").alias("n"))
-    words, digits = F.size(F.split("phrase", " ")), F.col("phrase").rlike(r"\d").cast("int")
+    words, digits = F.size(F.split("phrase", " ")), is_condition(F.col("phrase")).cast("int")
     sums = values.groupBy("grp", "slot").agg(F.count("*").alias("d"), F.count_if(F.col("n") == 1).alias("s"), F.sum("n").alias("c"), F.avg(words).alias("w"), F.avg(digits).alias("g"))
     score = F.col("d") - 0.6 * F.col("s") + 0.4 * F.col("c") / F.col("total") + 0.3 * (F.col("w") - 1) - 0.8 * F.col("g")
     return sums.join(rows_per_group, "grp").select("grp", "slot", F.round(score, 6).alias("score")).where("score > 0")

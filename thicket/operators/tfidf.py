@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import ngrams
+from thicket.functions.text import bound, ngrams
 
 
 def terms(docs: DataFrame, id_col: str, text: Column, low: int = 1, high: int = 1, pattern: str = r"(?U)\b\w\w+\b", stop: list[str] | None = None) -> DataFrame:
-    """doc, term, tf: n-grams of the lower-cased words of a text; stop words go before n-grams are made."""
+    """doc, term, tf: n-grams of the lower-cased words of a text; stop words go before n-grams are made. One row per document: terms are counted within the row, without a shuffle."""
     own = F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(stop) if stop else F.lit(True))
-    spread = docs.select(F.col(id_col).alias("doc"), F.explode(ngrams(own, low, high)).alias("term"))
-    return spread.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(bound(F.array_sort(ngrams(own, low, high)), _runs)).alias("t")).select("doc", "t.term", "t.tf")
+
+
+def _runs(ordered: Column) -> Column:
+    """term, tf of an ordered array, from where each run of equal terms begins."""
+    at = F.filter(F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+    ends = lambda starts: F.transform(starts, lambda b, k: F.struct(F.get(ordered, b).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - b).cast("long").alias("tf")))
+    return bound(at, ends)
 
 
 def doc_freq(table: DataFrame) -> DataFrame:

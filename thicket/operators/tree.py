@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.functions.text import PATH_SEP
-from thicket.storage import cut
+from thicket.storage import cut, numbered
 
 ROOT = 0
 
@@ -23,15 +23,15 @@ def from_paths(rows: DataFrame, path: Column, leaf_name: Column, root: str = "Al
     """Root, a node for each distinct prefix of the path (an array of strings), and a leaf per row.
 
     Ids follow (depth, path, row), so that they do not depend on the order of
-    work. rows needs a column ``row``. Distinct prefixes are few beside the
-    leaves; leaf ids come from a window over the rows' keys alone.
+    work. rows needs a column ``row``, unique. Both kinds of ids are given range by
+    range of their order.
     """
     own = rows.select("row", path.alias("path"), leaf_name.alias("name"))
     prefixes = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path")).distinct()
-    inner = prefixes.select("path", F.size("path").alias("depth"), F.row_number().over(Window.orderBy(F.size("path"), "path")).cast("long").alias("id"))
+    inner = numbered(prefixes.select("path", F.size("path").alias("depth")), "id", "depth", "path").select("path", "depth", (F.col("id") + 1).alias("id"))
     inner = cut(inner)
     many = inner.count()
-    leaves = own.select("path", "name", (F.row_number().over(Window.orderBy("row")) + many).cast("long").alias("id"))
+    leaves = numbered(own, "id", "row").select("path", "name", (F.col("id") + 1 + many).alias("id"))
     spark = rows.sparkSession
     head = spark.range(1).select(F.lit(ROOT).cast("long").alias("id"), F.lit(root).alias("name"), F.lit("root").alias("type"))
     nodes = head.union(inner.select("id", F.element_at("path", -1), F.lit("aggregation"))).union(leaves.select("id", "name", F.lit("attribute")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.operators.tree import ROOT, Tree, closure, depths, first_parents, leaf_counts
+from thicket.storage import numbered
 
 COLLAPSED = 10**9
 
@@ -33,7 +34,7 @@ def layout(tree: Tree) -> DataFrame:
     leaf = tree.nodes.where("type = 'attribute'").select(F.col("id").alias("leaf"))
     steps = up.join(leaf, F.col("desc") == F.col("leaf")).where(f"anc <> {ROOT}").select("leaf", "anc", "dist").join(orders.withColumnRenamed("desc", "anc"), "anc")
     keys = steps.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("d"), "ord"))), lambda x: x["ord"]).alias("key"))
-    slots = keys.select("leaf", (F.row_number().over(Window.orderBy("key", "leaf")) - 1).alias("slot"))
+    slots = numbered(keys, "slot", "key", "leaf").select("leaf", "slot")
     y = up.join(slots, F.col("desc") == F.col("leaf")).groupBy(F.col("anc").alias("id")).agg(F.round(1.8 * F.avg("slot"), 6).alias("y"))
     deep = depths(tree).union(tree.nodes.where(f"id = {ROOT}").select("id", F.lit(0)))
     return deep.join(y, "id", "left").select("id", (3 * F.col("depth")).alias("x"), "y")

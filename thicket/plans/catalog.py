@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.functions import codes, text
-from thicket.operators import evaluate, facets, groups, profile, slots, tfidf, tree, viz, ward
+from thicket.functions.text import name_tokens
+from thicket.operators import build, evaluate, facets, groups, profile, slots, tfidf, tree, viz, ward
 from thicket.sources import sinks
+from thicket.storage import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -419,8 +421,49 @@ def mutual_exclusion(spark, sf_dir):
 @query()
 def slot_assignment(spark, sf_dir):
     """Greedy slots depend on the order of phrases; held against properties in tests."""
-    own = part_phrases(spark, sf_dir)
-    return slots.assigned(own, slots.slots(own))
+    return part_slots(spark, sf_dir)[1]
+
+
+def part_slots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All rows of part by type, and their slots."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("row"))
+    own = written(part_phrases(spark, sf_dir), "part-phrases")
+    found = slots.gated(own, slots.assigned(own, slots.slots(own)), rows.groupBy("grp").agg(F.count("*").alias("total")))
+    return rows, written(found, "part-slots")
+
+
+@query()
+def slot_hierarchy_part(spark, sf_dir):
+    """R7 on R4's slots; held against a recursive version in tests."""
+    found = build.slot_hierarchy(*part_slots(spark, sf_dir))
+    return found.select("grp", "row", F.array_join("path", " > ").alias("path"))
+
+
+@query("""
+WITH a AS (SELECT c_nationkey AS grp, c_custkey AS row, c_mktsegment AS s, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS b FROM customer),
+m AS (SELECT *, count(*) OVER (PARTITION BY grp, s) AS n, min(s) OVER (PARTITION BY grp) <> max(s) OVER (PARTITION BY grp) AS split FROM a),
+x AS (SELECT *, split AND n > 1 AS one, NOT split OR n > 1 AS going FROM m),
+k AS (SELECT *, CASE WHEN one THEN s ELSE '' END AS p FROM x),
+y AS (SELECT *, count(*) OVER (PARTITION BY grp, p, b, going) AS nb, min(b) OVER (PARTITION BY grp, p, going) <> max(b) OVER (PARTITION BY grp, p, going) AS split_b FROM k),
+z AS (SELECT grp, row, p, CASE WHEN going AND split_b AND nb > 1 THEN b ELSE '' END AS q FROM y),
+c AS (SELECT grp, count(DISTINCT nullif(p, '')) + count(DISTINCT CASE WHEN q <> '' THEN p || '/' || q END) AS nodes FROM z GROUP BY 1)
+SELECT z.grp, z.row, CASE WHEN nodes < 2 THEN '' ELSE p || CASE WHEN p <> '' AND q <> '' THEN ' > ' ELSE '' END || q END AS path FROM z JOIN c USING (grp)
+""")
+def role_hierarchy_customer(spark, sf_dir):
+    """Segments as measures, debt or credit as conditions, within nations."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("row"), "c_mktsegment", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("side"))
+    roles = own.select("grp", "row", F.lit("measure").alias("role"), F.col("c_mktsegment").alias("value")).union(own.select("grp", "row", F.lit("condition"), "side"))
+    found = build.role_hierarchy(own.select("grp", "row"), roles)
+    return found.select("grp", "row", F.array_join("path", " > ").alias("path"))
+
+
+@query()
+def cluster_tree_part(spark, sf_dir):
+    """H1 with labels over all parts, on TF-IDF vectors of their names; held against brute force in tests."""
+    rows = part_rows(spark, sf_dir).select("row", F.col("label").alias("name"), "semantic_text", name_tokens(F.col("semantic_text")).alias("words"))
+    vectors = build.text_vectors(rows, "row", F.col("semantic_text")).withColumnRenamed("id", "row")
+    t = build.cluster_tree(rows.join(vectors, "row").drop("semantic_text"), "vector")
+    return t.nodes.join(t.edges.select(F.col("child").alias("id"), "parent"), "id", "left").select("id", "name", "type", "parent")
 
 
 @query(GEO + ", k AS (SELECT anc AS id, count(*) AS v FROM c JOIN n ON c.\"desc\" = n.id WHERE n.type = 'attribute' GROUP BY 1) SELECT n.id, n.name[1:40] AS label, e.parent, coalesce(k.v, 1) AS value FROM n LEFT JOIN e ON n.id = e.child LEFT JOIN k ON n.id = k.id")

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from thicket.storage import numbered
 from pyspark.sql import types as T
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")
@@ -128,7 +130,7 @@ def merged(tables: list[tuple[str, DataFrame]]) -> DataFrame:
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     order = {name: i for i, (name, _) in enumerate(tables)}
     rank = F.create_map(*[x for name, i in order.items() for x in (F.lit(name), F.lit(i))])
-    return both.withColumn("_row", F.row_number().over(Window.orderBy(rank[F.col("_source")], "_at")) - 1).drop("_at")
+    return numbered(both.withColumn("_rank", rank[F.col("_source")]), "_row", "_rank", "_at").drop("_at", "_rank")
 
 
 def capped(df: DataFrame, most: int) -> DataFrame:

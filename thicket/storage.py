@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,20 @@ class Scratch:
             there.getFileSystem(back.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its rows numbered from 0 by columns that are unique together; no task sees more than one range of the rows.
+
+    Ranges are written first, as ranges drawn again by a lost task may differ.
+    """
+    part = "\u0000part"
+    ranges = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
+    counts = ranges.groupBy(part).agg(F.count("*").alias("\u0000n"))  # one row per range
+    before = F.coalesce(F.sum("\u0000n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(part, before.alias("\u0000before"))
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return ranges.withColumn(name, own).join(F.broadcast(starts), part).withColumn(name, (F.col(name) + F.col("\u0000before")).cast("long")).drop(part, "\u0000before")
+
+
 def small(df: DataFrame, most_rows: int, most_bytes: int = 64 << 20) -> DataFrame:
     """df, which must be cheap to read twice, marked for broadcast if it has at most most_rows rows and its columns of varying length at most most_bytes; else left for a shuffled join."""
     sized = [F.col(f"`{c}`") if kind in ("string", "binary") else F.to_json(F.struct(F.col(f"`{c}`"))) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "map", "struct"))]
