@@ -91,6 +91,13 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return bound(tokens, lambda t: F.flatten(F.array(*[of(t, n) for n in range(low, high + 1)])))
 
 
+def raw_title(x: Column) -> Column:
+    """T4: the segment before the longest later one, as it is; the whole text without a colon."""
+    parts = F.transform(F.split(x, ":"), lambda s: F.trim(s))
+    lengths = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda s: F.length(s))
+    return F.when(F.size(parts) < 2, F.trim(x)).otherwise(F.get(parts, F.array_position(lengths, F.array_max(lengths)).cast("int") - 1))
+
+
 def title_phrases(title: Column, blocked: list[str] | None = None) -> Column:
     """T5: 1- to 4-grams of a title without parentheses, URLs, stop words, boilerplate and blocked words."""
     plain = without_urls(F.regexp_replace(title, r"\([^)]*\)", " "))

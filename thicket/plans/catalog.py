@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions import codes, text
 from thicket.functions.text import name_tokens
-from thicket.operators import build, evaluate, facets, groups, profile, slots, tfidf, tree, viz, ward
+from thicket.operators import build, concepts, evaluate, facets, groups, profile, slots, tfidf, tree, viz, ward
 from thicket.sources import sinks
 from thicket.storage import written
 
@@ -593,3 +593,95 @@ def group_preservation_geo(spark, sf_dir):
 def tree_list_geo(spark, sf_dir):
     """K1."""
     return sinks.tree_list(geo_tree(spark, sf_dir))
+
+
+# --- concept candidates and labels from titles
+
+_LABEL_STOP_SQL = ", ".join(f"'{w}'" for w in text.LABEL_STOP)
+_STATES_SQL = ", ".join(f"'{w}'" for w in concepts.VALUE_STATES)
+_NO_STATE = f"NOT (len(list_filter(regexp_extract_all(lower(label), '\\b[a-z]{{2,}}\\b'), lambda w: w NOT IN ({_LABEL_STOP_SQL}))) > 0 AND len(list_filter(regexp_extract_all(lower(label), '\\b[a-z]{{2,}}\\b'), lambda w: w NOT IN ({_LABEL_STOP_SQL}) AND w NOT IN ({_STATES_SQL}))) = 0)"
+_PART_TEXT_SQL = "WITH b AS (SELECT p_partkey AS row, p_type AS top, p_type || ' > ' || p_brand AS path, p_type || ' ' || p_name || ': a part of size ' || p_size || ' as ' || lower(p_brand) AS text FROM part)"
+_TITLES_SQL = f"""z AS (SELECT string_agg(DISTINCT top, '|') AS tops FROM b), h AS (SELECT regexp_replace(trim(split_part(text, ':', 1)), '^(' || tops || ')\\s+', '', 'i') AS label FROM b, z WHERE length(trim(split_part(text, ':', 1))) < 0.8 * length(text)),
+ti AS (SELECT label, count(*) AS n FROM h WHERE length(label) >= 3 AND len(string_split(label, ' ')) <= 4 AND label NOT LIKE '%\\_%' ESCAPE '\\' AND {_NO_STATE} GROUP BY 1 HAVING count(*) >= 2)"""
+_PHRASES_SQL = f"""ph AS (SELECT label, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{concepts.PHRASE}', 1)) AS label FROM b) WHERE length(label) >= 5 AND len(list_filter(string_split_regex(label, '\\s+'), lambda w: w NOT IN ({_LABEL_STOP_SQL}) AND length(w) >= 3)) > 0 AND {_NO_STATE} GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.concat(F.lit(": a part of size "), F.col("p_size").cast("string"), F.lit(" as "), F.lower("p_brand"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.concat_ws(" > ", "p_type", "p_brand").alias("path"), F.concat(F.concat_ws(" ", "p_type", "p_name"), size).alias("text"))
+
+
+@query(f"{_PART_TEXT_SQL}, {_TITLES_SQL} SELECT label, n FROM ti")
+def title_candidates_part(spark, sf_dir):
+    """F2, F3."""
+    return concepts.titles(part_texts(spark, sf_dir), F.col("text"), F.col("path"))
+
+
+@query(f"{_PART_TEXT_SQL}, {_PHRASES_SQL} SELECT label, n FROM ph")
+def phrase_candidates_part(spark, sf_dir):
+    return concepts.phrases(part_texts(spark, sf_dir), F.col("text"))
+
+
+@query(f"""
+{_PART_TEXT_SQL}, {_TITLES_SQL}, {_PHRASES_SQL},
+gp AS (SELECT trim(label) AS label, count(*) AS n FROM (SELECT unnest(string_split(path, ' > ')) AS label FROM (SELECT DISTINCT path FROM b)) WHERE length(trim(label)) >= 3 GROUP BY 1),
+t AS (SELECT row, list_filter(regexp_extract_all(lower(text), '\\b\\w\\w+\\b'), lambda w: w NOT IN ({_LABEL_STOP_SQL})) AS w FROM b),
+g AS (SELECT row, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))], [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)])) AS term FROM t),
+f AS (SELECT row, term, count(*) AS tf FROM g GROUP BY 1, 2), k AS (SELECT term, count(*) AS df FROM f GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 600), s AS (SELECT count(*) AS n FROM b),
+w AS (SELECT row, term, df, n, tf * (ln((n + 1) / (df + 1)) + 1) AS w FROM f JOIN k USING (term), s), u AS (SELECT term, df, n, w / sqrt(sum(w * w) OVER (PARTITION BY row)) AS u FROM w),
+m AS (SELECT term AS label, any_value(df) AS n, sum(u) / any_value(n) AS m FROM u GROUP BY 1 ORDER BY round(m, 9) DESC, label LIMIT 150),
+ng AS (SELECT label, n, m * CASE WHEN label LIKE '% %' THEN 1.0 ELSE 0.5 END AS tfidf FROM m WHERE length(label) >= 4 AND regexp_matches(label, '[a-z]') AND {_NO_STATE}),
+a AS (SELECT lower(label) AS key, 'description_title' AS source, 0 AS place, min(label) AS label, max(n) AS n, 0.95 AS tfidf FROM ti GROUP BY 1 UNION ALL SELECT lower(label), 'group_path', 1, min(label), sum(n), 1.0 FROM gp GROUP BY 1
+    UNION ALL SELECT label, 'metadata_tfidf', 2, label, n, tfidf FROM ng UNION ALL SELECT label, 'noun_phrase', 3, label, n, 0.0 FROM ph),
+c AS (SELECT arg_min(label, place) AS label, arg_min(source, place) AS source, arg_min(n, place) + CASE WHEN min(place) = 0 THEN coalesce(sum(n) FILTER (place = 1), 0) ELSE 0 END AS frequency, arg_min(tfidf, place) AS tfidf FROM a GROUP BY key),
+o AS (SELECT * FROM c ORDER BY CASE source WHEN 'group_path' THEN 0 WHEN 'description_title' THEN 1 ELSE 2 END, round(tfidf, 9) DESC, frequency DESC, label LIMIT 150),
+x AS (SELECT lower(top) AS top, string_agg(lower(text), ' ') AS all_text FROM b GROUP BY 1),
+d AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(label), '\\b[a-z]{{3,}}\\b'), lambda w: w NOT IN ({_LABEL_STOP_SQL}))) AS own FROM o)
+SELECT label, source, frequency::BIGINT AS frequency, round(tfidf, 6) AS tfidf, CASE WHEN len(own) = 0 THEN 0 ELSE (SELECT count(*) FROM x WHERE len(list_filter(own, lambda w: contains(all_text, w))) = len(own)) END AS cross_group_count FROM d
+""")
+def concept_candidates_part(spark, sf_dir):
+    """E1, J12, W3."""
+    return concepts.candidates(part_texts(spark, sf_dir), "row", F.col("text"), F.col("path")).withColumn("tfidf", F.round("tfidf", 6))
+
+
+_TITLE_COUNTS_SQL = f"""
+WITH t AS (SELECT p_partkey AS row, p_type AS parent, p_brand AS cluster, list_filter(regexp_extract_all(lower(p_name), '[a-z][a-z\\-]+'), lambda w: w NOT IN ({_LABEL_STOP_SQL}) AND w NOT IN ({", ".join(f"'{w}'" for w in text.LABEL_BOILERPLATE)})) AS w FROM part),
+p AS (SELECT parent, cluster, phrase, count(DISTINCT row) AS inside FROM (SELECT row, parent, cluster, unnest(flatten([[array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)] for n in range(1, 5)])) AS phrase FROM t) GROUP BY ALL),
+s AS (SELECT parent, cluster, count(*) AS members FROM t GROUP BY 1, 2), c AS (SELECT p.*, members, coalesce((SELECT sum(q.inside) FROM p q WHERE q.parent = p.parent AND q.phrase = p.phrase AND q.cluster <> p.cluster), 0)::BIGINT AS outside,
+    coalesce((SELECT sum(r.members) FROM s r WHERE r.parent = p.parent AND r.cluster <> p.cluster), 0)::BIGINT AS siblings FROM p JOIN s USING (parent, cluster))
+"""
+
+
+def part_title_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.phrase_contrast(table(spark, sf_dir, "part"), "p_partkey", F.col("p_name"), "p_type", "p_brand")
+
+
+@query(_TITLE_COUNTS_SQL + "SELECT * FROM c")
+def title_phrase_counts_part(spark, sf_dir):
+    """A-4."""
+    return part_title_counts(spark, sf_dir)
+
+
+@query(_TITLE_COUNTS_SQL + """, r AS (SELECT parent, cluster, phrase, round((inside / members - outside / greatest(siblings, 1)) * (1 + 0.25 * (len(string_split(phrase, ' ')) - 1)), 9) AS score FROM c WHERE inside >= 2)
+SELECT parent, cluster, array_to_string([upper(w[1]) || w[2:] for w in string_split(phrase, ' ')], ' ') AS label, score FROM r WHERE score > -1 QUALIFY row_number() OVER (PARTITION BY parent, cluster ORDER BY score DESC, phrase) = 1""")
+def title_labels_part(spark, sf_dir):
+    """L2."""
+    return concepts.title_labels(part_title_counts(spark, sf_dir))
+
+
+@query()
+def accepted_labels_part(spark, sf_dir):
+    """Brands of a type, by name, take their commonest phrase that no earlier brand has."""
+    offers = part_title_counts(spark, sf_dir).select("parent", "cluster", F.col("cluster").alias("ord"), F.col("phrase").alias("label"), F.col("inside").alias("score"))
+    return concepts.accepted(offers)
+
+
+@query("""
+WITH t AS (SELECT p_size AS cluster, string_split('Size class ' || p_size // 10 || ' ' || p_type, ' ') AS w FROM part), f AS (SELECT cluster, k, array_to_string(w[1:k], ' ') AS prefix, count(*) AS n FROM (SELECT cluster, w, unnest(range(2, len(w) + 1)) AS k FROM t) GROUP BY ALL),
+l AS (SELECT cluster, greatest(1, floor(0.6 * count(*))) AS least FROM t GROUP BY 1)
+SELECT cluster, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(prefix, ' ')], ' ') AS prefix, n FROM f JOIN l USING (cluster) WHERE n >= least QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY k DESC, n DESC, prefix) = 1
+""")
+def common_prefixes_part(spark, sf_dir):
+    """T19."""
+    said = F.concat(F.lit("name: "), F.col("p_name"), F.lit(" | description: Size class "), F.floor(F.col("p_size") / 10).cast("string"), F.lit(" "), F.col("p_type"), F.lit(": as sold | size: 1"))
+    return concepts.common_prefixes(table(spark, sf_dir, "part").withColumn("said", said), "p_size", F.col("said"))
