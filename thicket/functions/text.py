@@ -174,7 +174,7 @@ def is_meaningful(phrase: Column, group_name: Column | None = None) -> Column:
     p = F.lower(F.trim(phrase))
     tokens = spaced(p)
     content = F.filter(tokens, lambda t: ~t.isin(PHRASE_STOP) & (F.length(t) >= 2))
-    fine = (p != "") & ~p.isin(MARKERS) & ~F.get(tokens, F.lit(0)).isin(PHRASE_STOP) & ~F.element_at(tokens, -1).isin(PHRASE_STOP) & (F.size(content) > 0) & ~((F.size(tokens) == 1) & p.rlike(r"^\d+$"))
+    fine = (p != "") & ~p.isin(MARKERS) & ~F.get(tokens, F.lit(0)).isin(PHRASE_STOP) & ~F.try_element_at(tokens, F.lit(-1)).isin(PHRASE_STOP) & (F.size(content) > 0) & ~((F.size(tokens) == 1) & p.rlike(r"^\d+$"))
     return fine if group_name is None else fine & (p != F.lower(group_name))
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import PATH_SEP
+from thicket.functions.text import LABEL_STOP, PATH_SEP, singular
 from thicket.storage import cut, numbered
 
 ROOT = 0
@@ -224,3 +224,28 @@ def added(tree: Tree, parent: int, name: str, kind: str = "aggregation") -> Tree
 def renamed(tree: Tree, node: int, name: str) -> Tree:
     """H29."""
     return Tree(tree.nodes.withColumn("name", F.when(F.col("id") == node, name).otherwise(F.col("name"))), tree.edges)
+
+
+def nested_by_head(tree: Tree) -> Tree:
+    """H7: inner children of a node right below the root that share their last word go under a new node of that word, if the node has three inner children or more.
+
+    The word's longest form names the new node; a child keeps the words that are
+    left, and one without any is dissolved into the new node. New ids follow (node, word).
+    """
+    inner = tree.nodes.where("type = 'aggregation'").select("id", "name")
+    tasks = tree.edges.where(f"parent = {ROOT}").join(inner, F.col("child") == F.col("id")).select(F.col("id").alias("task"))
+    own = F.filter(F.regexp_extract_all(F.lower("name"), F.lit(r"[a-z][a-z\-]+"), F.lit(0)), lambda w: ~w.isin(LABEL_STOP))
+    kids = tree.edges.select(F.col("parent").alias("task"), F.col("child").alias("id")).join(tasks, "task", "left_semi").join(inner, "id").select("task", "id", own.alias("w"))
+    many = kids.groupBy("task").agg(F.count("*").alias("n")).where("n >= 3").select("task")
+    headed = kids.where(F.size("w") > 0).join(many, "task", "left_semi").withColumn("form", F.try_element_at("w", F.lit(-1))).withColumn("head", singular(F.col("form")))
+    heads = headed.groupBy("task", "head").agg(F.count("*").alias("n"), F.min(F.struct((-F.length("form")).alias("l"), "form")).alias("f")).where("n >= 2")
+    last = tree.nodes.agg(F.max("id")).first()[0]
+    made = cut(heads.select("task", "head", F.initcap("f.form").alias("title"), (F.row_number().over(Window.orderBy("task", "head")) + F.lit(last)).cast("long").alias("new")))
+    moved = cut(headed.join(made, ["task", "head"]).select("task", "id", "new", F.array_join(F.filter("w", lambda w: singular(w) != F.col("head")), " ").alias("rest")))
+    gone, names = moved.where("rest = ''").select("id", "new"), moved.where("rest <> ''").select("id", F.initcap("rest").alias("title"))
+    nodes = tree.nodes.join(gone.select("id"), "id", "left_anti").join(names, "id", "left").withColumn("name", F.coalesce("title", "name")).select(*tree.nodes.columns)
+    nodes = nodes.unionByName(made.select(F.col("new").alias("id"), F.col("title").alias("name"), F.lit("aggregation").alias("type")), allowMissingColumns=True)
+    links = tree.edges.select("parent", "child").join(moved.select(F.col("task").alias("parent"), F.col("id").alias("child")), ["parent", "child"], "left_anti")
+    links = links.join(gone, F.col("parent") == F.col("id"), "left").select(F.coalesce("new", "parent").alias("parent"), "child")
+    links = links.union(made.select("task", "new")).union(moved.where("rest <> ''").select("new", "id"))
+    return Tree(nodes, ordered(links.distinct()))

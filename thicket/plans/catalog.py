@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions import codes, text
 from thicket.functions.text import name_tokens
-from thicket.operators import build, concepts, evaluate, facets, groups, profile, slots, tfidf, tree, viz, ward
+from thicket.operators import build, concepts, evaluate, facets, groups, profile, roles, slots, tfidf, tree, viz, ward
 from thicket.sources import sinks
 from thicket.storage import written
 
@@ -685,3 +685,53 @@ def common_prefixes_part(spark, sf_dir):
     """T19."""
     said = F.concat(F.lit("name: "), F.col("p_name"), F.lit(" | description: Size class "), F.floor(F.col("p_size") / 10).cast("string"), F.lit(" "), F.col("p_type"), F.lit(": as sold | size: 1"))
     return concepts.common_prefixes(table(spark, sf_dir, "part").withColumn("said", said), "p_size", F.col("said"))
+
+
+# --- roles, metrics of a build, word vectors, head nouns
+
+@query("""SELECT c_custkey + 1000 AS id, c_mktsegment AS grp, c_name AS label, CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE r_name END AS measure, '' AS statistic, '' AS condition, '' AS subtype, '' AS outcome, '' AS modifier, 'origin: ' || n_name AS other
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def role_table_geo(spark, sf_dir):
+    """Regions tell a measure, which customers in debt have of their own; nations tell another role."""
+    own, customer = geo_tree(spark, sf_dir), table(spark, sf_dir, "customer")
+    rows = customer.select((F.col("c_custkey") + 1000).alias("id"), F.col("c_mktsegment").alias("grp"), F.col("c_name").alias("label"))
+    of_nodes = own.nodes.where("type = 'aggregation'").select("id", F.when(F.col("id") < 100, "measure").otherwise("origin").alias("role"))
+    audit = customer.select((F.col("c_custkey") + 1000).alias("id"), F.lit("measure").alias("role"), F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment")).otherwise("").alias("value"))
+    return roles.role_table(own, rows, of_nodes, audit)
+
+
+@query("""SELECT count(*) AS variables, round(100 * count(*) FILTER (l_discount > 0.08) / count(*), 1) AS coverage_pct, round(avg(l_discount), 3) AS avg_confidence, count(*) FILTER (l_discount = 0) AS fallbacks, round(100 * count(*) FILTER (l_discount = 0) / count(*), 1) AS fallback_pct,
+    count(*) FILTER (l_discount > 0 AND l_discount <= 0.25) AS low_confidence, count(*) FILTER (l_returnflag <> 'N') AS with_family, round(100 * count(*) FILTER (l_returnflag <> 'N') / count(*), 1) AS family_pct,
+    (SELECT count(*) FROM part) AS concepts, (SELECT count(*) FROM part WHERE p_type = 'PROMO') AS wikidata, (SELECT count(*) FROM part WHERE p_type <> 'PROMO') AS pubmed FROM lineitem""")
+def build_metrics_lineitem(spark, sf_dir):
+    """A-17."""
+    rows = table(spark, sf_dir, "lineitem").select("l_discount", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("family"))
+    found = table(spark, sf_dir, "part").select(F.when(F.col("p_type") == "PROMO", "wikidata").otherwise("pubmed").alias("source"))
+    return roles.build_metrics(rows, "l_discount", "family", found)
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey AS row, list_filter(string_split(lower(regexp_replace(p_name, '[^a-zA-Z]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ({", ".join(f"'{w}'" for w in text.NAME_STOP)})) AS w FROM part),
+v AS (SELECT DISTINCT word, [length(word), ascii(word) - 100, ascii(right(word, 1)) - 100]::DOUBLE[] AS vec FROM (SELECT unnest(w) AS word FROM t) WHERE word > 'c'),
+m AS (SELECT row, pos, avg(vec[pos + 1]) AS x FROM (SELECT row, unnest(w) AS word FROM t) JOIN v USING (word), (SELECT unnest([0, 1, 2]) AS pos) GROUP BY 1, 2), n AS (SELECT row, sqrt(sum(x * x)) AS norm FROM m GROUP BY 1)
+SELECT row, pos, round(x / CASE WHEN norm > 0 THEN norm ELSE 1 END, 6) AS c FROM m JOIN n USING (row) UNION ALL SELECT row, unnest([0, 1, 2]), 0.0 FROM t WHERE row NOT IN (SELECT row FROM n)
+""")
+def averaged_vectors_part(spark, sf_dir):
+    """M1, with vectors made from a word's length and letters; words up to ``c`` have none."""
+    part = table(spark, sf_dir, "part")
+    word, number = F.col("word"), lambda c: c.cast("double")
+    vectors = part.select(F.explode(name_tokens(F.col("p_name"))).alias("word")).where("word > 'c'").distinct().select("word", F.array(number(F.length(word)), number(F.ascii(word) - 100), number(F.ascii(F.right(word, F.lit(1))) - 100)).alias("vec"))
+    return roles.averaged_vectors(part, "p_partkey", F.col("p_name"), vectors).withColumn("c", F.round("c", 6))
+
+
+@query("""
+WITH k AS (SELECT p_type, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS h FROM part GROUP BY ALL), g AS (SELECT p_type, h FROM k GROUP BY 1, 2 HAVING count(*) >= 2), t AS (SELECT p_type FROM k GROUP BY 1 HAVING count(*) >= 3)
+SELECT p_type || ' > ' || CASE WHEN g.h IS NOT NULL AND t.p_type IS NOT NULL THEN upper(k.h[1]) || k.h[2:] || ' > ' || upper(a[1]) || a[2:] ELSE k.p_name END || ' > ' || p_partkey AS path, 3 + (g.h IS NOT NULL AND t.p_type IS NOT NULL)::INT AS depth
+FROM part JOIN k USING (p_type, p_name) LEFT JOIN g USING (p_type, h) LEFT JOIN t USING (p_type)
+""")
+def nested_by_head_part(spark, sf_dir):
+    """H7: paths of parts below their types and names."""
+    rows = table(spark, sf_dir, "part").withColumn("row", F.col("p_partkey") - 1)
+    nested = tree.nested_by_head(tree.from_paths(rows, F.array("p_type", "p_name"), F.col("p_partkey").cast("string")))
+    leaves = nested.nodes.where("type = 'attribute'").select("id")
+    return tree.path_rows(nested).join(leaves, "id", "left_semi").select("path", "depth")
