@@ -12,25 +12,29 @@ from pyspark.sql import functions as F
 from thicket.storage import cut
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task thinned to a spanning forest of stars, batch by batch."""
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a, b) thinned to a spanning forest of stars, each to its smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[u], root[v])
+        before = root.copy()
+        np.minimum.at(root, root[u], low)
+        np.minimum.at(root, root[v], low)
+        root = root[root]
+        if (root == before).all() and (root[u] == root[v]).all():
+            break
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[own], nodes[root[own]]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task thinned batch by batch."""
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(a):
-            continue
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        u, v = at[: len(a)], at[len(a) :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[u], root[v])
-            before = root.copy()
-            np.minimum.at(root, root[u], low)
-            np.minimum.at(root, root[v], low)
-            root = root[root]
-            if (root == before).all() and (root[u] == root[v]).all():
-                break
-        own = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["u", "v"])
+        if batch.num_rows:
+            u, v = forest(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     links no longer change; lineage is cut after each.
     """
     a, b = links.columns
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long")
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_forests, "u long, v long")
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
