@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thicket.llm import kmeans_tree, mixing, ngram_join, ogg, secret_scan, token_counts, token_files, toxicity, unigram, url_cascade
+from thicket.llm import kmeans_tree, mixing, ngram_join, ogg, ranked_search, secret_scan, simhash, token_counts, token_files, toxicity, unigram, url_cascade, word_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digest(word_runs.find(table(spark, sf_dir, "documents"), alter=word_runs.planted))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.join(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_secret_scan": op2_secret_scan,
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_ogg": op8_ogg,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_word_runs": op11_word_runs,
+    "op12_simhash": op12_simhash,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 HOST = r"translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
