@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from thicket.functions.text import ngrams
 
 
+def grams(text: Column, low: int = 1, high: int = 1, pattern: str = r"(?U)\b\w\w+\b", stop: list[str] | None = None) -> Column:
+    """N-grams of the lower-cased words of a text, with repeats; stop words go before n-grams are made."""
+    return ngrams(F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(stop) if stop else F.lit(True)), low, high)
+
+
 def terms(docs: DataFrame, id_col: str, text: Column, low: int = 1, high: int = 1, pattern: str = r"(?U)\b\w\w+\b", stop: list[str] | None = None) -> DataFrame:
     """doc, term, tf: n-grams of the lower-cased words of a text; stop words go before n-grams are made."""
-    own = F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(stop) if stop else F.lit(True))
-    spread = docs.select(F.col(id_col).alias("doc"), F.explode(ngrams(own, low, high)).alias("term"))
+    own = grams(text, low, high, pattern, stop)
+    spread = docs.select(F.col(id_col).alias("doc"), F.explode(own).alias("term"))
     return spread.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
