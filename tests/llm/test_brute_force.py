@@ -70,7 +70,10 @@ def test_secret_spans_equal_a_plain_scan(spark, documents, shortest):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), text
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, x, _ in base) for k in ("assign", "access", "hex"))
         runs = [(m.start(), m.end()) for m in re.finditer(f"[{re.escape(secret_scan.ALPHABET)}]{{{shortest},}}", text)]
-        random = [(a, "markov", b) for a, b in runs if models.score(text[a:b]) > models.threshold and not any(x < b and a < y for x, _, y in base)]
+        random = []
+        for a, b in runs:
+            parts = [(a, b)] if models.score(text[a:b]) > models.threshold else [(a + m.start(), a + m.end()) for m in re.finditer(f"[^-_/=]{{{shortest},}}", text[a:b])]
+            random += [(x, "markov", y) for x, y in parts if models.score(text[x:y]) > models.threshold and not any(u < y and x < v for u, _, v in base)]
         added += len(random)
         want = sorted(base + random, key=lambda x: (x[0], secret_scan.KINDS.index(x[1])))
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, k, b in want)

@@ -1,6 +1,7 @@
 """Parts of the operators that need no Spark, against brute force."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -183,6 +184,22 @@ def test_short_random_strings_are_scored():
         assert sum(f == [(8, 8 + length, "markov")] for f in found) > 160, length  # few words to train on; README has the figures of whole tables
 
 
+def test_keys_behind_identifiers_and_in_long_texts():
+    words = "request handler account settings maximum retry application config window buffer stream reader parser document element".split() * 30
+    tokens = [*secret_scan.identifiers([*secret_scan.ORDINARY, *words]), *secret_scan.random_strings(4000)]
+    scanner = secret_scan.Scanner(secret_scan.Models.fit(tokens, [0] * (len(tokens) - 4000) + [1] * 4000))
+    rng = np.random.default_rng(6)
+    keys = ["".join(secret_scan.ALPHABET[k] for k in rng.integers(0, 62, 24)) for _ in range(300)]
+    for before, after in (("application_configuration_value_", ""), ("/window/reader/", "/stream"), ("é settings-", "=")):
+        found = scanner.scan([f"{before}{k}{after}" for k in keys])
+        # The part alone, or the whole run where that passes too.
+        hit = [any(kind == "markov" and s <= len(before) and e >= len(before) + 24 for s, e, kind in f) for f in found]
+        assert np.mean(hit) > 0.95
+    text = "é " + " ".join("internationalization_of_documentation" for _ in range(250_000)) + " " + keys[0] + " end"
+    began = time.process_time()
+    assert scanner.scan([text]) == [[(len(text) - 28, len(text) - 4, "markov")]] and time.process_time() - began < 20
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(3)
     grades = rng.integers(0, 3, 600)

@@ -6,7 +6,9 @@ strings. The method adds what no pattern names: a candidate is a run of at least
 Markov models of order 2 over characters, one of random strings and one of
 ordinary identifiers, score it; its log-likelihood ratio per character must pass
 a threshold that is set on labelled samples held out from training, so that at
-most ``most_false`` of the ordinary ones pass.
+most ``most_false`` of the ordinary ones pass. Where a run as a whole does not pass, its parts
+between ``_``, ``-``, ``/`` and ``=`` are candidates of their own, so that a key behind an
+identifier or in a path is not averaged away.
 
 Labelled samples are (token, label): 1 random, 0 ordinary. By default they come
 from ``samples``: random strings are drawn from a seeded generator in the
@@ -14,9 +16,9 @@ alphabets that keys use; ordinary ones are words of up to ``most_docs`` document
 (those with the smallest hash of their text), alone and joined as identifiers
 are. That bound is the only sample; the scan covers every whole text.
 
-Texts are scanned in their own rows: runs of key characters are found in the
-bytes of a batch at once, and the patterns run only on texts with one of their
-fixed words. Nothing is shuffled but the training sample.
+Texts are scanned in their own rows: runs of key characters are found and scored in the
+bytes of a batch at once, in time linear in them, and a pattern runs only on texts with one of its
+fixed words or a run that is long enough. Nothing is shuffled but the training sample.
 
 Defined cases: a null text is the empty one, without spans; repeated rows stay;
 an empty table gives no rows (its models are trained on random strings and the
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.kernels import forget, groups, map_rows, spans, texts_of
+from thicket.llm.kernels import forget, gathered, groups, map_rows, spans, texts_of
 
 # Fixed patterns, in the order in which kinds are listed; least length of the group that counts.
 BASE = (
@@ -45,6 +47,7 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]+", re.A), 0, 24),
 )
 KINDS = ("assign", "access", "hex", "markov")
+HEX = re.compile(r"[0-9a-f]{24}", re.A)
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
 ORDINARY = ("request_handler", "getElementById", "user_account_settings", "max_retry_count", "application_configuration", "NotImplementedError", "content-type", "left_outer_join", "is_authenticated", "parse_arguments", "internationalization", "documentation")
 
@@ -56,14 +59,17 @@ CODE[[ord(c) for c in ALPHABET]] = np.arange(SIZE - 1)
 IN_RUN = CODE < SIZE - 1
 #: Least length of candidates, of random strings in training, and of the samples that set the threshold.
 LEAST = 12
-#: No match of the access and hex patterns lies in a shorter run.
-SHORTEST_BASE = 20
+#: Candidates within a run lie between these.
+IN_PART = IN_RUN.copy()
+IN_PART[[ord(c) for c in "_-/="]] = False
 
 
-def base_spans(text: str) -> list[tuple[int, int, str]]:
+def base_spans(text: str, kinds: tuple[str, ...] = ("assign", "access", "hex")) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns, by kind."""
     found = []
     for kind, pattern, group, least in BASE:
+        if kind not in kinds:
+            continue
         found += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     return found
 
@@ -155,16 +161,46 @@ def fitted(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None =
     return Models.fit([r.token for r in rows], [int(r.label) for r in rows])
 
 
+def scores(models: Models, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Models.score() of all byte strings joined[start:end]."""
+    if not len(starts):
+        return np.zeros(0)
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    code = CODE[gathered(joined, starts, lengths)]
+    before = np.concatenate([[SIZE], code[:-1]])
+    before[firsts] = SIZE
+    second = np.concatenate([[SIZE], before[:-1]])
+    second[firsts] = SIZE
+    return np.add.reduceat(models.ratio[second, before, code], firsts) / lengths
+
+
 class Scanner:
     def __init__(self, models: Models, shortest: int = LEAST) -> None:
-        self.models, self.shortest, self.seen = models, shortest, {}
+        self.models, self.shortest = models, shortest
+
+    def is_random(self, joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(starts), bool)
+        for a, b in groups((ends - starts).tolist()):
+            out[a:b] = scores(self.models, joined, starts[a:b], ends[a:b]) > self.models.threshold
+        return out
 
-    def is_random(self, token: str) -> bool:
-        if token not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            self.seen[token] = self.models.score(token) > self.models.threshold
-        return self.seen[token]
+    def candidates(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte spans of the runs that pass, and of the parts that pass in runs that do not, by start."""
+        starts, ends = spans(IN_RUN[joined])
+        long = ends - starts >= self.shortest
+        starts, ends = starts[long], ends[long]
+        whole = self.is_random(joined, starts, ends)
+        firsts, lasts = spans(IN_PART[joined])
+        long = lasts - firsts >= self.shortest
+        firsts, lasts = firsts[long], lasts[long]
+        run = np.searchsorted(starts, firsts, side="right") - 1
+        inner = ~whole[run] & (lasts - firsts < ends[run] - starts[run])
+        firsts, lasts = firsts[inner], lasts[inner]
+        part = self.is_random(joined, firsts, lasts)
+        starts, ends = np.concatenate([starts[whole], firsts[part]]), np.concatenate([ends[whole], lasts[part]])
+        order = np.argsort(starts)
+        return starts[order], ends[order]
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Spans of each text in code points, by start, then kind as listed."""
@@ -172,27 +208,36 @@ class Scanner:
         coded = [t.encode() for t in texts]
         for a, b in groups(map(len, coded)):
             joined = np.frombuffer(b"\n".join(coded[a:b]), np.uint8)
-            starts, ends = spans(IN_RUN[joined])
-            long = ends - starts >= min(self.shortest, SHORTEST_BASE)
+            starts, ends = self.candidates(joined)
+            # Code points before each byte; one more place for a run that ends the batch.
+            points = np.concatenate([[0], np.cumsum((joined & 0xC0) != 0x80)])
             firsts = np.cumsum([0] + [len(c) + 1 for c in coded[a:b]])
-            owner = np.searchsorted(firsts, starts[long], side="right") - 1
-            runs: dict[int, list[tuple[int, int]]] = {}
-            for i, s, e in zip(owner.tolist(), starts[long].tolist(), ends[long].tolist()):
-                runs.setdefault(i, []).append((s - int(firsts[i]), e - int(firsts[i])))
+            cuts = np.searchsorted(starts, firsts).tolist()
             for i in range(b - a):
-                text, own = texts[a + i], runs.get(i, [])
-                folded = text.lower()
-                found = base_spans(text) if own or any(h in folded for h in HINTS) else []
-                fixed = list(found)
-                for s, e in own:
-                    token = coded[a + i][s:e].decode()
-                    at = len(coded[a + i][:s].decode())
-                    if e - s >= self.shortest and self.is_random(token) and not any(x < at + len(token) and at < y for x, y, _ in fixed):
-                        found.append((at, at + len(token), "markov"))
+                text, folded = texts[a + i], texts[a + i].lower()
+                kinds = [kind for kind, hinted in (("assign", any(h in folded for h in HINTS)), ("access", "AKIA" in text), ("hex", HEX.search(text))) if hinted]
+                found = base_spans(text, tuple(kinds)) if kinds else []
+                own = slice(cuts[i], cuts[i + 1])
+                if own.start < own.stop:
+                    base = points[firsts[i]]
+                    left, right = points[starts[own]] - base, points[ends[own]] - base
+                    found += [(x, y, "markov") for x, y in clear(left, right, found)]
                 out.append(sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))))
         return out
 
 
+def clear(left: np.ndarray, right: np.ndarray, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The spans [left, right) that touch none of found."""
+    fixed = sorted(found)
+    if fixed:
+        begins = np.array([s for s, _, _ in fixed])
+        # The furthest end of all that begin before: spans of several kinds may overlap.
+        reach = np.concatenate([[0], np.maximum.accumulate([e for _, e, _ in fixed])])
+        free = reach[np.searchsorted(begins, right)] <= left
+        left, right = left[free], right[free]
+    return list(zip(left.tolist(), right.tolist()))
+
+
 def written_spans(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
@@ -241,7 +286,6 @@ def redactor(docs: DataFrame, text_col: str = "text", models: Models | None = No
                 given = ["" if t is None else t for t in texts.iloc[a:b]]
                 out += [None if t is None else without(t, found, mark) for t, found in zip(texts.iloc[a:b], scanner.scan(given))]
             yield pd.Series(out, dtype=object)
-        scanner.seen.clear()
         forget()
 
     return redacted
