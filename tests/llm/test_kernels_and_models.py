@@ -186,7 +186,8 @@ def test_short_random_strings_are_scored():
 
 def test_keys_behind_identifiers_and_in_long_texts():
     words = "request handler account settings maximum retry application config window buffer stream reader parser document element".split() * 30
-    tokens = [*secret_scan.identifiers([*secret_scan.ORDINARY, *words]), *secret_scan.random_strings(4000)]
+    ordinary = secret_scan.identifiers([*secret_scan.ORDINARY, *words])
+    tokens = [*ordinary, *[w.upper() for w in ordinary[::3]], *secret_scan.random_strings(4000)]
     scanner = secret_scan.Scanner(secret_scan.Models.fit(tokens, [0] * (len(tokens) - 4000) + [1] * 4000))
     rng = np.random.default_rng(6)
     keys = ["".join(secret_scan.ALPHABET[k] for k in rng.integers(0, 62, 24)) for _ in range(300)]
