@@ -265,7 +265,7 @@ def phrase_roles(rows: DataFrame, phrases: DataFrame, vectors: DataFrame, least_
     and least_phrases phrases. Clusters of two phrases or more are roles, named ``cluster_n``;
     two of them are needed, and a share ``coverage`` of rows with one. A row's phrase in a role is its longest (ties: the smaller).
     """
-    tables = Scratch()
+    tables, phrases = Scratch(), phrases.select("grp", "row", "phrase")
     each = phrases.groupBy("grp", "row").agg(F.count("*").alias("p"))
     regular = rows.join(each, ["grp", "row"], "left").groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.coalesce("p", F.lit(0)) >= 2).cast("int")).alias("share"))
     kinds = phrases.select("grp", "phrase").distinct()

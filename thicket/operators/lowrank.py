@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,7 +125,7 @@ def gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
     return summed(rows.mapInArrow(run, "i long, z array<double>"), *block.shape)
 
 
-def truncated_svd(rows: DataFrame, terms: int, k: int, tolerance: float = 1e-9, most_turns: int = 60, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+def truncated_svd(rows: DataFrame, terms: int, k: int, tolerance: float = 1e-7, most_turns: int = 60, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """The k largest singular values of packed rows, descending, and their right vectors (terms x k).
 
     Block power iteration that keeps its blocks: each turn is one pass, and the best
@@ -448,7 +447,6 @@ def dense_texts(texts: list[list[str]], terms: list[str], idf: np.ndarray) -> np
 
 
 ASPECTS = "grp string, k int, aspect int, label string, terms array<string>, h array<double>"
-WEIGHTS = "grp string, row long, w array<double>"
 
 
 def aspects(rows: DataFrame, grp: str, row: str, text: Column, most: int = 10, max_features: int = 3000, stop: list[str] | None = None, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -464,27 +462,26 @@ def aspects(rows: DataFrame, grp: str, row: str, text: Column, most: int = 10, m
     sizes = own.groupBy("grp").count()
     large = [r.grp for r in sizes.where(F.col("count") > local_rows).orderBy("grp").collect()]
     few = own.join(F.broadcast(sizes.where(F.col("count") > local_rows).select(F.col("grp").alias("\u0000g"))), F.col("grp").eqNullSafe(F.col("\u0000g")), "left_anti") if large else own
-    schema = "grp string, row long, w array<double>, k int, aspect int, label string, terms array<string>, h array<double>"
+    lists = pa.list_(pa.float64())
+    kinds = pa.schema([("grp", pa.string()), ("row", pa.int64()), ("w", lists), ("k", pa.int32()), ("aspect", pa.int32()), ("label", pa.string()), ("terms", pa.list_(pa.string())), ("h", lists)])
 
-    def one(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("row")
-        texts = [list(t) for t in found["t"]]
+    def one(given: pa.Table) -> pa.Table:
+        given = given.sort_by("row")
+        texts, name = given.column("t").to_pylist(), given.column("grp")[0].as_py()
         terms, idf = local_vocabulary(texts, max_features)
-        out = {c: [] for c in ("grp", "row", "w", "k", "aspect", "label", "terms", "h")}
-        if terms:
-            name = found["grp"].iloc[0]
-            ks = tried(len(texts), most)
-            made = factorized(dense_texts(texts, terms, idf), ks)
-            k = elbow_of([made[c][2] for c in ks], ks[0])
-            k = k if k in made else ks[0]
-            w, h, _ = made[k]
-            for i, r in enumerate(found["row"]):
-                _row(out, grp=name, row=r, w=w[i].tolist())
-            for a in range(k):
-                _row(out, grp=name, k=k, aspect=a, label=aspect_label(h[a], terms), terms=terms, h=h[a].tolist())
-        return pd.DataFrame(out).astype(object).where(lambda d: d.notna(), None) if out["grp"] else pd.DataFrame(out)
-
-    told = tables.written(few.select("grp", "row", tfidf.grams(F.col("text"), 1, 2, stop=stop).alias("t")).groupBy("grp").applyInPandas(one, schema), "aspects")
+        if not terms:
+            return kinds.empty_table()
+        ks = tried(len(texts), most)
+        made = factorized(dense_texts(texts, terms, idf), ks)
+        k = elbow_of([made[c][2] for c in ks], ks[0])
+        k = k if k in made else ks[0]
+        w, h, _ = made[k]
+        out = [{"grp": name, "row": r, "w": w[i]} for i, r in enumerate(given.column("row").to_pylist())]
+        out += [{"grp": name, "k": k, "aspect": a, "label": aspect_label(h[a], terms), "terms": terms, "h": h[a]} for a in range(k)]
+        return pa.Table.from_pylist(out, kinds)
+
+    schema = "grp string, row long, w array<double>, k int, aspect int, label string, terms array<string>, h array<double>"
+    told = tables.written(few.select("grp", "row", tfidf.grams(F.col("text"), 1, 2, stop=stop).alias("t")).groupBy("grp").applyInArrow(one, schema), "aspects")
     found = told.where("aspect IS NOT NULL").select("grp", "k", "aspect", "label", "terms", "h")
     weights = told.where("aspect IS NULL").select("grp", "row", "w")
     spark = rows.sparkSession
@@ -504,11 +501,6 @@ def aspects(rows: DataFrame, grp: str, row: str, text: Column, most: int = 10, m
     return found, weights
 
 
-def _row(out: dict[str, list], **values: object) -> None:
-    for c, own in out.items():
-        own.append(values.get(c))
-
-
 def aspect_vectors(rows: DataFrame, grp: str, row: str, text: Column, found: DataFrame, stop: list[str] | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """M9: grp, row, aspect, terms, weights: each text's TF-IDF weights times an aspect's, of length 1 (a text without its terms has none); found comes from aspects() on the same rows.
 
