@@ -144,8 +144,10 @@ def test_clustering():
     want = np.repeat([0, 1, 2], 10)
     assert (cluster.best_ward(x, 2, 6) == want).all() and (cluster.cut_at(cluster.agglomerate(cluster.distances(x), "average"), 30, 3) == want).all()
     assert len(np.unique(cluster.diagonal_mixture(x, 5))) >= 3 and cluster.good_split(want) and not cluster.good_split(np.r_[np.zeros(29, int), 1])
-    w, h, error = cluster.nmf(np.abs(x), 3)
-    assert error < 0.2 * np.linalg.norm(x) and (w >= 0).all() and (h >= 0).all()
+    labels, centres = cluster.kmeans(x, 3)
+    assert all(len(set(labels[want == c])) == 1 for c in range(3)) and len(set(labels)) == 3 and sorted(np.round(centres[:, 0])) == [0, 5, 10]
+    found = cluster.aspect_clusters(np.tile(x, (2, 1)), 6)[0]
+    assert len(set(found)) == 3 and all(len(set(found[np.tile(want, 2) == c])) == 1 for c in range(3))
     paths = cluster.ward_paths(x, max_depth=2, min_size=6)
     assert len({p[0] for p in paths}) >= 3
     with pytest.raises(ValueError):

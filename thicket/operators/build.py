@@ -90,7 +90,7 @@ def cluster_tree(rows: DataFrame, vector: str, root: str = "All", **limits: int)
     return Tree(nodes, ordered(edges))
 
 
-def nested(rows: DataFrame, values: DataFrame, max_depth: int = 4, least_nodes: int = 2) -> DataFrame:
+def nested(rows: DataFrame, values: DataFrame, max_depth: int = 4, least_nodes: int = 2, loose: bool = False) -> DataFrame:
     """grp, row, path: values of rows nested one position after another.
 
     rows has (grp, row), values (grp, row, pos, value), pos from 0 and one value
@@ -98,9 +98,10 @@ def nested(rows: DataFrame, values: DataFrame, max_depth: int = 4, least_nodes:
     is passed over. Else each value of two rows or more is a node below; rows
     with a value of their own, or without one, stay where they are for good. A
     group with fewer than least_nodes nodes is not nested: its paths are empty,
-    as are those of rows of the null group.
+    as are those of rows of the null group. With ``loose``, a column of that name
+    tells rows that may be split further: all but those with a value of their own.
     """
-    state = rows.select("grp", "row", F.array().cast("array<string>").alias("path"), F.lit(True).alias("open"))
+    state = rows.select("grp", "row", F.array().cast("array<string>").alias("path"), F.lit(True).alias("open"), F.lit(False).alias("alone"))
     last = values.agg(F.max("pos")).first()[0]
     for pos in range(0 if last is None else last + 1):
         at = state.join(values.where(F.col("pos") == pos).select("grp", "row", "value"), ["grp", "row"], "left")
@@ -109,23 +110,25 @@ def nested(rows: DataFrame, values: DataFrame, max_depth: int = 4, least_nodes:
         at = at.join(shared, ["grp", "path", "value"], "left").join(kinds, ["grp", "path"], "left")
         splits = F.col("open") & F.coalesce("splits", F.lit(False))
         goes = splits & (F.coalesce("n", F.lit(0)) > 1)
-        at = at.select("grp", "row", F.when(goes, F.concat("path", F.array("value"))).otherwise(F.col("path")).alias("path"), (F.col("open") & (goes | ~splits)).alias("open"))
+        alone = F.col("alone") | (splits & F.col("value").isNotNull() & ~goes)
+        at = at.select("grp", "row", F.when(goes, F.concat("path", F.array("value"))).otherwise(F.col("path")).alias("path"), (F.col("open") & (goes | ~splits)).alias("open"), alone.alias("alone"))
         state = written(at.withColumn("open", F.col("open") & (F.size("path") < max_depth)), "nested")
     made = state.where(F.size("path") > 0).select("grp", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("node"))
     enough = made.distinct().groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least_nodes).select("grp", F.lit(True).alias("fine"))
-    return state.join(enough, "grp", "left").select("grp", "row", F.when(F.col("fine"), F.col("path")).otherwise(F.array().cast("array<string>")).alias("path"))
+    out = state.join(enough, "grp", "left").select("grp", "row", F.when(F.col("fine"), F.col("path")).otherwise(F.array().cast("array<string>")).alias("path"), (~F.col("alone")).alias("loose"))
+    return out if loose else out.drop("loose")
 
 
-def slot_hierarchy(rows: DataFrame, assignment: DataFrame, max_depth: int = 4) -> DataFrame:
+def slot_hierarchy(rows: DataFrame, assignment: DataFrame, max_depth: int = 4, loose: bool = False) -> DataFrame:
     """Grp, row, path by the group's slots in R5's order (ties: the smaller slot); rows has (grp, row), assignment comes from ``slots.gated``."""
     scores = slot_order(assignment, rows.groupBy("grp").agg(F.count("*").alias("total")))
     placed = scores.withColumn("pos", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "slot")) - 1)
-    return nested(rows, assignment.join(placed.select("grp", "slot", "pos"), ["grp", "slot"]).select("grp", "row", "pos", F.col("phrase").alias("value")), max_depth)
+    return nested(rows, assignment.join(placed.select("grp", "slot", "pos"), ["grp", "slot"]).select("grp", "row", "pos", F.col("phrase").alias("value")), max_depth, loose=loose)
 
 
-def role_hierarchy(rows: DataFrame, roles: DataFrame, max_depth: int = 4) -> DataFrame:
+def role_hierarchy(rows: DataFrame, roles: DataFrame, max_depth: int = 4, loose: bool = False) -> DataFrame:
     """Grp, row, path by the group's roles, measure outermost and unknown ones innermost (ties: by name); roles has (grp, row, role, value), empty values count as none."""
     rank = F.coalesce(*[F.when(F.col("role") == name, n) for name, n in ROLE_PRIORITY.items()], F.lit(0))
     known = roles.where("value <> ''")
     placed = known.select("grp", "role").distinct().withColumn("pos", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc(rank), "role")) - 1)
-    return nested(rows, known.join(placed, ["grp", "role"]).select("grp", "row", "pos", "value"), max_depth)
+    return nested(rows, known.join(placed, ["grp", "role"]).select("grp", "row", "pos", "value"), max_depth, loose=loose)

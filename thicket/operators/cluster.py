@@ -1,4 +1,4 @@
-"""Clustering of the members of a node, as NumPy kernels in grouped maps.
+"""Clustering of the members of a node, as NumPy kernels in grouped maps.
 
 One call handles one node; a node over ``MOST_MEMBERS`` members is refused, as
 its distances grow with their square: split it by its group path first.
@@ -117,55 +117,6 @@ def ward_paths(x: np.ndarray, max_depth: int = 3, min_size: int = 6, branch: int
     return paths
 
 
-def family_average(x: np.ndarray, families: list[str], most: int, factor: float = 0.8) -> np.ndarray:
-    """M5: average linkage on cosine distance, nearer within a family."""
-    d = distances(x, "cosine")
-    names = np.array(families)
-    d = np.where((names[:, None] == names[None, :]) & (names[:, None] != ""), d * factor, d)
-    np.fill_diagonal(d, 0)
-    k = min(most, max(2, len(x) // 3), len(x))
-    return cut_at(agglomerate(d, "average"), len(x), k)
-
-
-def phrase_clusters(x: np.ndarray, k_max: int = 6) -> np.ndarray:
-    """Average linkage by cosine, 2 to k_max clusters by silhouette."""
-    d = distances(x, "cosine")
-    merges, best = agglomerate(d, "average"), (-2.0, np.zeros(len(x), int))
-    for k in range(2, min(k_max, len(x) - 1) + 1):
-        labels = cut_at(merges, len(x), k)
-        score = silhouette(d, labels)
-        if score > best[0] + 1e-12:
-            best = (score, labels)
-    return best[1]
-
-
-def elbow(errors: list[float]) -> int:
-    """How many components, counted from 2, by the second difference of errors."""
-    if len(errors) <= 2:
-        return 2
-    drops = np.diff(np.diff(errors))
-    if np.ptp(errors) < 1e-8:
-        return max(2, int(math.sqrt(len(errors))))
-    return int(drops.argmax()) + 1 + 2
-
-
-def nmf(x: np.ndarray, k: int, turns: int = 400) -> tuple[np.ndarray, np.ndarray, float]:
-    """M7: W, H and error of a non-negative factorization, from singular vectors with their gaps at the mean."""
-    u, s, v = np.linalg.svd(x, full_matrices=False)
-    w, h = np.zeros((len(x), k)), np.zeros((k, x.shape[1]))
-    for i in range(min(k, len(s))):
-        up, un, vp, vn = np.maximum(u[:, i], 0), np.maximum(-u[:, i], 0), np.maximum(v[i], 0), np.maximum(-v[i], 0)
-        a, b = (up, vp) if np.linalg.norm(up) * np.linalg.norm(vp) >= np.linalg.norm(un) * np.linalg.norm(vn) else (un, vn)
-        na, nb = np.linalg.norm(a), np.linalg.norm(b)
-        if na and nb:
-            w[:, i], h[i] = math.sqrt(s[i] * na * nb) * a / na, math.sqrt(s[i] * na * nb) * b / nb
-    w[w < 1e-12], h[h < 1e-12] = x.mean(), x.mean()
-    for _ in range(turns):
-        h *= (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
-        w *= (x @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
-    return w, h, float(np.linalg.norm(x - w @ h))
-
-
 def diagonal_mixture(x: np.ndarray, k_max: int, turns: int = 80, floor: float = 1e-3, seed: int = 42) -> np.ndarray:
     """Clusters of the diagonal Gaussian mixture of lowest BIC, of 2 to k_max parts."""
     best = (np.inf, np.zeros(len(x), int))
@@ -187,6 +138,61 @@ def diagonal_mixture(x: np.ndarray, k_max: int, turns: int = 80, floor: float =
     return best[1]
 
 
+def kmeans(x: np.ndarray, k: int, starts: int = 3, turns: int = 100, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of the best of some starts, whose first centres are drawn by their squared distance."""
+    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int), x[:1])
+    for _ in range(starts):
+        centres = x[[int(rng.integers(len(x)))]]
+        while len(centres) < k:
+            far = nearest_centre(x, centres)[1]
+            centres = np.vstack([centres, x[int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else int(rng.integers(len(x)))]])
+        for _ in range(turns):
+            labels, far = nearest_centre(x, centres)
+            counts = np.bincount(labels, minlength=k)
+            new = np.where(counts[:, None] > 0, np.eye(k)[labels].T @ x / np.maximum(counts, 1)[:, None], centres)
+            if np.abs(new - centres).max() < 1e-9:
+                break
+            centres = new
+        labels, far = nearest_centre(x, centres)
+        if far.sum() < best[0] - 1e-12:
+            best = (float(far.sum()), labels, centres)
+    return best[1], best[2]
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row (the first of equals), and its squared distance."""
+    far = np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1), 0)
+    labels = far.argmin(axis=1)
+    return labels, far[np.arange(len(x)), labels]
+
+
+def reduced(x: np.ndarray, most: int = 20) -> np.ndarray:
+    """Coordinates along the largest singular vectors, min(most, columns, rows - 1) of them."""
+    k = min(most, x.shape[1], len(x) - 1)
+    if x.shape[1] <= k:
+        return x
+    values, vectors = np.linalg.eigh(x @ x.T)
+    return vectors[:, ::-1][:, :k] * np.sqrt(np.maximum(values[::-1][:k], 0))
+
+
+def aspect_clusters(x: np.ndarray, most: int, few: int = 30) -> tuple[np.ndarray, float]:
+    """Labels and silhouette of the rows of one aspect: up to ``few`` rows by a diagonal mixture of lowest BIC, more by k-means of the best silhouette."""
+    if len(x) <= 2 or most < 2:
+        return np.zeros(len(x), int), 0.0
+    y = reduced(x)
+    d = distances(y)
+    if len(x) <= few:
+        labels = diagonal_mixture(y, most)
+        return labels, silhouette(d, labels) if labels.max() > 0 else 0.0
+    best = (-2.0, np.zeros(len(x), int))
+    for k in range(2, min(most, len(x) - 1) + 1):
+        labels = np.unique(kmeans(y, k)[0], return_inverse=True)[1]
+        score = silhouette(d, labels)
+        if labels.max() > 0 and score > best[0] + 1e-12:
+            best = (score, labels)
+    return best[1], max(best[0], 0.0) if best[1].max() == 0 else best[0]
+
+
 def good_split(labels: np.ndarray, largest: float = 0.85) -> bool:
     """no cluster over 85 %, not more than half of them singletons."""
     sizes = np.bincount(labels)

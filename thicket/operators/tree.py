@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import LABEL_STOP, PATH_SEP, singular
-from thicket.storage import cut, numbered
+from thicket.functions.text import LABEL_STOP, PATH_SEP, PHRASE_STOP, singular, spaced
+from thicket.storage import cut, numbered, written
 
 ROOT = 0
 
@@ -19,22 +19,23 @@ class Tree:
     edges: DataFrame
 
 
-def from_paths(rows: DataFrame, path: Column, leaf_name: Column, root: str = "All") -> Tree:
+def from_paths(rows: DataFrame, path: Column, leaf_name: Column, root: str = "All", payload: list[str] | None = None) -> Tree:
     """Root, a node for each distinct prefix of the path (an array of strings), and a leaf per row.
 
     Ids follow (depth, path, row), so that they do not depend on the order of
     work. rows needs a column ``row``, unique. Both kinds of ids are given range by
-    range of their order.
+    range of their order. Leaves keep the columns of rows named in ``payload``, null for other nodes.
     """
-    own = rows.select("row", path.alias("path"), leaf_name.alias("name"))
+    payload = payload or []
+    own = rows.select("row", path.alias("path"), leaf_name.alias("name"), *[F.col(c).alias(f"_{c}") for c in payload])
     prefixes = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda n: F.slice("path", F.lit(1), n))).alias("path")).distinct()
     inner = numbered(prefixes.select("path", F.size("path").alias("depth")), "id", "depth", "path").select("path", "depth", (F.col("id") + 1).alias("id"))
     inner = cut(inner)
     many = inner.count()
-    leaves = numbered(own, "id", "row").select("path", "name", (F.col("id") + 1 + many).alias("id"))
+    leaves = numbered(own, "id", "row").select("path", "name", (F.col("id") + 1 + many).alias("id"), *[F.col(f"_{c}").alias(c) for c in payload])
     spark = rows.sparkSession
     head = spark.range(1).select(F.lit(ROOT).cast("long").alias("id"), F.lit(root).alias("name"), F.lit("root").alias("type"))
-    nodes = head.union(inner.select("id", F.element_at("path", -1), F.lit("aggregation"))).union(leaves.select("id", "name", F.lit("attribute")))
+    nodes = head.union(inner.select("id", F.element_at("path", -1), F.lit("aggregation"))).unionByName(leaves.select("id", "name", F.lit("attribute").alias("type"), *payload), allowMissingColumns=True)
     up = inner.select(F.col("path").alias("up"), F.col("id").alias("parent"))
     kids = inner.where("depth > 1").select("id", F.slice("path", F.lit(1), F.size("path") - 1).alias("up")).union(leaves.select("id", F.col("path").alias("up")))
     links = kids.join(up, "up").select("parent", F.col("id").alias("child")).union(inner.where("depth = 1").select(F.lit(ROOT).cast("long"), "id"))
@@ -146,20 +147,32 @@ def merged_duplicates(tree: Tree) -> Tree:
 
 
 def factored_prefixes(tree: Tree, least_siblings: int = 3, least_tokens: int = 2) -> Tree:
-    """Siblings of which at least three share a prefix of two or more words get a node of that name between; the longest shared prefix of most siblings wins."""
-    inner = tree.nodes.where("type = 'aggregation'").select(F.col("id").alias("child"), "name")
-    kids = tree.edges.join(inner, "child").select("parent", "child", F.split("name", " ").alias("w"))
-    spread = kids.where(F.size("w") > least_tokens).select("parent", "child", F.explode(F.transform(F.sequence(F.lit(least_tokens), F.size("w") - 1), lambda n: F.struct(n.alias("n"), F.concat_ws(" ", F.slice("w", F.lit(1), n)).alias("prefix")))).alias("p")).select("parent", "child", "p.n", "p.prefix")
-    counts = spread.groupBy("parent", "prefix", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least_siblings)
-    best = spread.join(counts, ["parent", "prefix", "n"]).groupBy("parent", "child").agg(F.max_by("prefix", F.struct("n", "c", "prefix")).alias("prefix"))
-    sized = best.groupBy("parent", "prefix").agg(F.count("*").alias("c")).where(F.col("c") >= least_siblings).select("parent", "prefix")
-    top = tree.nodes.agg(F.max("id").alias("top"))
-    new = cut(sized.select("parent", "prefix", F.row_number().over(Window.orderBy("parent", "prefix")).alias("k")).join(F.broadcast(top), how="inner", on=F.lit(True)).select("parent", "prefix", (F.col("top") + F.col("k")).alias("id")))
-    moves = best.join(new, ["parent", "prefix"]).select("parent", "child", F.col("id").alias("to"), "prefix")
-    edges = tree.edges.select("parent", "child").join(moves.select("parent", "child", "to"), ["parent", "child"], "left").select(F.coalesce("to", "parent").alias("parent"), "child").union(new.select("parent", F.col("id").alias("child")))
-    short = moves.select(F.col("child").alias("id"), F.expr("substring(prefix, 1)").alias("prefix"))
-    nodes = tree.nodes.join(short, "id", "left").withColumn("name", F.when(F.col("prefix").isNotNull(), F.expr("substring(name, length(prefix) + 2)")).otherwise(F.col("name"))).drop("prefix")
-    return Tree(nodes.select("id", "name", "type").union(new.select("id", "prefix", F.lit("aggregation"))), ordered(edges))
+    """Siblings of which at least three share a prefix of two or more words, in any case, get a node of that name between, and lose the prefix.
+
+    A parent's longest shared prefixes go first; parents and new nodes are looked at
+    again, round by round, until no prefix is left. A prefix does not begin or end
+    with a stop word and is never a whole name; it is written as the first of its siblings has it.
+    """
+    while True:
+        inner = tree.nodes.where("type = 'aggregation'").select(F.col("id").alias("child"), spaced(F.trim("name")).alias("w"))
+        kids = tree.edges.join(inner, "child").where(F.size("w") > least_tokens).select("parent", "child", "w")
+        lengths = F.sequence(F.lit(least_tokens), F.size("w") - 1)
+        spread = kids.select("parent", "child", "w", F.explode(lengths).alias("n")).withColumn("prefix", F.transform(F.slice("w", F.lit(1), F.col("n")), F.lower))
+        fine = ~F.get("prefix", F.lit(0)).isin(PHRASE_STOP) & ~F.element_at("prefix", -1).isin(PHRASE_STOP)
+        groups = spread.where(fine).groupBy("parent", "n", "prefix").agg(F.count("*").alias("c"), F.min(F.struct("w", "child")).alias("first")).where(F.col("c") >= least_siblings)
+        longest = groups.groupBy("parent").agg(F.max("n").alias("n"))
+        name = F.array_join(F.slice("first.w", F.lit(1), F.col("n")), " ")
+        found = written(groups.join(longest, ["parent", "n"]).select("parent", "n", "prefix", name.alias("name")), "shared-prefixes")
+        if found.isEmpty():
+            return tree
+        top = tree.nodes.agg(F.max("id")).first()[0] + 1
+        new = written(numbered(found, "id", "parent", "prefix").withColumn("id", F.col("id") + top), "prefix-nodes")
+        moves = kids.join(new.select("parent", "n", "prefix", F.col("id").alias("to")), "parent").where((F.size("w") > F.col("n")) & (F.transform(F.slice("w", F.lit(1), F.col("n")), F.lower) == F.col("prefix")))
+        moves = written(moves.select("parent", "child", "to", F.array_join(F.slice("w", F.col("n") + 1, F.size("w")), " ").alias("rest")), "prefix-moves")
+        edges = tree.edges.select("parent", "child").join(moves.select("parent", "child", "to"), ["parent", "child"], "left").select(F.coalesce("to", "parent").alias("parent"), "child").union(new.select("parent", F.col("id").alias("child")))
+        nodes = tree.nodes.join(moves.select(F.col("child").alias("id"), "rest"), "id", "left").withColumn("name", F.coalesce("rest", "name")).select(*tree.nodes.columns)
+        nodes = nodes.unionByName(new.select("id", "name", F.lit("aggregation").alias("type")), allowMissingColumns=True)
+        tree = Tree(written(nodes, "prefix-tree"), written(ordered(edges), "prefix-edges"))
 
 
 def without_noise(tree: Tree, noise: Column) -> Tree:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thicket.operators import linkage, lowrank, slots
+from thicket.operators import linkage, lod, lowrank, slots, tree
 from thicket.plans.catalog import DOC_TERMS, part_rows, query, table
 from thicket.storage import written
 
@@ -111,3 +111,34 @@ def phrase_roles_part(spark, sf_dir):
     kinds = own.select("phrase").distinct()
     vectors = lowrank.encoder(kinds, "phrase", F.col("phrase"), dims=16, stop=[]).encode(kinds, "phrase", F.col("phrase")).withColumnRenamed("key", "phrase")
     return linkage.phrase_roles(rows.select("grp", "row"), own, vectors)[1]
+
+
+@query("""
+WITH c AS (SELECT p_type AS grp, p_brand, count(*) AS n FROM part GROUP BY 1, 2)
+SELECT grp, count(*) > 1 AND max(n) <= 0.85 * sum(n) AND 2 * count(*) FILTER (n = 1) <= count(*) AS fine FROM c GROUP BY 1
+""")
+def split_gate_part(spark, sf_dir):
+    """whether brands are a good split of each type."""
+    return lod.split_gate(table(spark, sf_dir, "part").select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("cluster")))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT p_type, p_name, p_brand FROM part), g AS (SELECT p_type, p_name FROM k GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT p_type || ' > ' || p_name || CASE WHEN g.p_name IS NULL THEN ' ' ELSE ' > ' END || p_brand || ' > ' || p_partkey AS path, 3 + (g.p_name IS NOT NULL)::INT AS depth FROM part LEFT JOIN g USING (p_type, p_name)
+""")
+def factored_prefixes_part(spark, sf_dir):
+    """Paths of parts below their types and nodes of names with brands, whose names are factored out."""
+    rows = table(spark, sf_dir, "part").withColumn("row", F.col("p_partkey") - 1)
+    found = tree.factored_prefixes(tree.from_paths(rows, F.array("p_type", F.concat_ws(" ", "p_name", "p_brand")), F.col("p_partkey").cast("string")))
+    leaves = found.nodes.where("type = 'attribute'").select("id")
+    return tree.path_rows(found).join(leaves, "id", "left_semi").select("path", "depth")
+
+
+@query()
+def lod_tree_part(spark, sf_dir):
+    """Every part's path in the tree built from types and brands, slots and aspects of names and sizes; with the routes of the nodes above it."""
+    rows = part_texts(spark, sf_dir).select("row", F.col("row").cast("string").alias("label"), F.concat_ws(" > ", "grp", "brand").alias("grp"), "text")
+    built = lod.build(rows, "parts")
+    leaves = built.nodes.where("type = 'attribute'").select("id", "row")
+    routes = built.edges.select("parent", F.col("child").alias("id")).join(built.nodes.select(F.col("id").alias("parent"), "route", "source"), "parent").select("id", "route", "source")
+    return tree.path_rows(built).join(leaves, "id").join(routes, "id").select("row", "path", "depth", "route", "source")
