@@ -5,15 +5,17 @@ orders the documents of a source once and for all, so budgets are nested: a
 larger budget takes a superset. The threshold of a source is found without a
 sort: words are summed by (source, top hash bits), the bucket in which the
 budget ends is found, and only that boundary bucket is summed again by the next
-bits, three times in all. The mix is then a filter on the hash.
+bits, three times in all. The mix is then a filter on the hash. Rows of the last bucket
+share all bits, so they repeat an id and a text (or collide): those are numbered, range by
+range, and as many of them go in as come nearest to the budget.
 
 All steps are DataFrame operations; what moves is a histogram of at most
 ``sources * 2**BITS`` rows a level, pre-aggregated before its shuffle.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-last in the order of sources; a document without id hashes by its text; documents
-with the same id share a hash and are taken together; an empty table gives no
-rows; other columns are not looked at.
+last in the order of sources; documents hash by id and text, so rows of one id with
+different texts are taken each for itself, and of rows that repeat both some may be taken
+once more than others; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.storage import small, written
+from thicket.storage import numbered, small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS = 10
@@ -37,8 +39,8 @@ def word_count(text: Column) -> Column:
 
 
 def doc_hash(doc_id: Column, text: Column) -> Column:
-    """The first 30 bits of the MD5 of the id in decimal, of the text where it has none, as a long."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary"))
+    """The first 30 bits of the MD5 of the id in decimal, a colon and the text, as a long."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
     return F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 32 - BITS * LEVELS)
 
 
@@ -74,7 +76,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 
 
 def thresholds(sized: DataFrame, weights: Sequence[float], budget: float, most_copies: int) -> DataFrame:
-    """source, source_size, target, whole, below of each source: a document is taken ``whole`` times, and once more if its hash is under ``below``.
+    """source, source_size, target, whole, edge, more of each source: a document is taken ``whole`` times, and once more if its hash is below ``edge``, or is one of the first ``more`` at it.
 
     sized (source, size, h) is read once for the sums and once for each level.
     """
@@ -88,38 +90,47 @@ def thresholds(sized: DataFrame, weights: Sequence[float], budget: float, most_c
             small(edge, MOST_SOURCES).alias("e"),
             F.col("s.source").eqNullSafe(F.col("e.source")) & (F.shiftright(bucket, BITS) == F.col("e.edge")),
         )
-        sums = inside.groupBy(F.col("s.source").alias("source"), F.col("e.rest").alias("rest"), bucket.alias("edge")).agg(F.sum("size").alias("words"))
+        sums = inside.groupBy(F.col("s.source").alias("source"), F.col("e.rest").alias("rest"), bucket.alias("edge")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("edge"))
         edge = (
             sums.withColumn("upto", upto)
             .where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
-            .select("source", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), "edge", "words")
+            .select("source", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), "edge", "words", "rows")
         )
         edge = written(edge, f"mix-edge{level}")
-    # The last bucket holds about one document: it goes in if that lies nearer to the budget.
     cuts = targets.alias("t").join(small(edge, MOST_SOURCES).alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
-    below = F.col("edge") + F.when(F.col("words") - F.col("rest") < F.col("rest"), 1).otherwise(0)
-    return small(cuts.select("t.*", F.coalesce(below, F.lit(0)).alias("below")), MOST_SOURCES)
+    # The last bucket's rows that come nearest to the budget, by their mean size.
+    more = F.ceil(F.col("rest") / (F.col("words") / F.col("rows")) - 0.5)
+    return small(written(cuts.select("t.*", F.coalesce("edge", F.lit(0)).alias("edge"), F.greatest(F.coalesce(more, F.lit(0)), F.lit(0)).alias("more")), "mix-cuts"), MOST_SOURCES)
 
 
-def _copies(h: Column, most_copies: int) -> Column:
-    return F.least(F.col("c.whole") + F.when(h < F.col("c.below"), 1).otherwise(0), F.lit(most_copies))
+def dealt(rows: DataFrame, cuts: DataFrame, most_copies: int, *kept: str) -> DataFrame:
+    """The kept columns and copies of rows (source, h, order, and others); those at a source's edge are written and numbered."""
+    met = rows.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source"))).select("s.*", "c.source_size", "c.target", "c.whole", "c.edge", "c.more")
+    capped = lambda once: F.least(F.col("whole") + once.cast("int"), F.lit(most_copies))
+    clear = met.where("h <> edge").withColumn("copies", capped(F.col("h") < F.col("edge")))
+    # Few rows but for repeats of one document; their numbers go on from source to source.
+    edge = written(met.where("h = edge").withColumn("unique", F.monotonically_increasing_id()), "mix-boundary")
+    nth = numbered(edge.withColumn("none", F.col("source").isNull()), "nth", "none", "source", "order", "unique")
+    first = small(written(nth.groupBy("source").agg(F.min("nth").alias("first")), "mix-first"), MOST_SOURCES)
+    tied = nth.alias("n").join(first.alias("f"), F.col("n.source").eqNullSafe(F.col("f.source"))).select("n.*", "f.first")
+    tied = tied.withColumn("copies", capped(F.col("nth") - F.col("first") < F.col("more")))
+    return clear.select(*kept, "copies").unionByName(tied.select(*kept, "copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, most_copies: int = 2) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of each document: copies is how often the mix takes it, 0 to most_copies."""
     sized = written(_sized(docs, id_col, text_col, source_col), "mix-sizes")
     cuts = thresholds(sized, weights, budget, most_copies)
-    out = sized.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")))
-    out = out.select("doc_id", "s.source", "size", "source_size", "target", _copies(F.col("h"), most_copies).alias("copies"))
+    out = dealt(sized.withColumn("order", F.col("doc_id")), cuts, most_copies, "doc_id", "source", "size", "source_size", "target")
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, most_copies: int = 2) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it. Columns stay; rows are not moved, as the mix is a filter on their hash."""
+    """docs with each row repeated as often as the mix takes it. Columns stay; rows are not moved, as the mix is a filter on their hash, but for those at an edge."""
     sized = written(_sized(docs, id_col, text_col, source_col), "mix-sizes")
     cuts = thresholds(sized, weights, budget, most_copies)
-    rows = docs.alias("d").join(cuts.alias("c"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.source")))
-    copies = _copies(doc_hash(F.col(f"d.`{id_col}`"), F.col(f"d.`{text_col}`")), most_copies).cast("int")
-    names = [F.col(f"d.`{c}`") for c in docs.columns]
-    return rows.where(copies > 0).select(*names, F.explode(F.array_repeat(F.lit(0), copies)).alias("\u0000copy")).drop("\u0000copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("order"), doc_hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"))
+    out = dealt(rows, cuts, most_copies, "row").where("copies > 0")
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -116,7 +116,7 @@ OP7_WORDS_SQL = OP7_SQL.replace(f"hosts, (SELECT unnest([{LISTED}]) AS k) WHERE
 OP10_SQL = r"""
 WITH d AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 8))::BIGINT >> 2) AS h
+        (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::BIGINT >> 2) AS h
     FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source
@@ -128,10 +128,10 @@ WITH d AS (
 ), t AS (SELECT source, source_size, CASE WHEN lv IS NULL OR w * lv >= cap THEN cap ELSE w * lv END AS target FROM a
 ), k AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM t
 ), c AS (
-    SELECT d.doc_id, d.size, d.h, k.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS words, target - whole * source_size AS rest
+    SELECT d.doc_id, d.size, d.h, k.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS words, count(*) OVER (PARTITION BY d.source, d.h) AS tied, row_number() OVER (PARTITION BY d.source, d.h ORDER BY d.doc_id) - 1 AS nth, target - whole * source_size AS rest
     FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
 )
-SELECT doc_id, size, source_size, target, (size * least(whole + CASE WHEN upto <= rest OR (upto - words <= rest AND words - (rest - (upto - words)) < rest - (upto - words)) THEN 1 ELSE 0 END, 2))::BIGINT AS taken FROM c
+SELECT doc_id, size, source_size, target, (size * least(whole + CASE WHEN upto <= rest OR (upto - words <= rest AND words > 0 AND nth < ceil((rest - (upto - words)) / (words / tied) - 0.5)) THEN 1 ELSE 0 END, 2))::BIGINT AS taken FROM c
 """
 
 ORACLES: dict[str, str] = {"op7_url_cascade": OP7_SQL, "op7_url_cascade_words": OP7_WORDS_SQL, "op10_mixing": OP10_SQL}
