@@ -227,6 +227,27 @@ def test_mixing(spark, docs, empty):
     repeated = mixing.mixed(table)
     assert repeated.columns == table.columns and repeated.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty).count() == 0
+    # Rows that repeat an id come near their target, too, whether their texts differ or not.
+    for text in ("concat('same ', 'four words here')", "concat('w', id, ' four words here')"):
+        one = spark.range(100).selectExpr("1L AS doc_id", f"{text} AS text", "'s' AS source").repartition(5)
+        assert mixing.mix(one).agg(F.sum("taken"), F.max("target")).first()[:] == (600, 600.0) and mixing.mixed(one).count() == 150
+
+
+def test_labelled_rows_are_bounded(spark):
+    """Two labels of ids with thousands of rows: one row of each is taken; of many labels at most most_rows."""
+    many = spark.range(3000).selectExpr("id % 2 AS doc_id", "concat('word', id % 2, ' other', id) AS text")
+    marks = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (5, 1)], "doc_id long, toxic int")
+    seen = []
+    fit_ordinal = toxicity.fit_ordinal
+    toxicity.fit_ordinal = lambda rows, columns, grades, n, *more: seen.append(grades) or fit_ordinal(rows, columns, grades, n, *more)
+    try:
+        toxicity.fit(many, marks, most_rows=10, least_rows=1, least_z=0.0)
+        wide = spark.range(500).selectExpr("id AS doc_id", "concat('word', id % 2) AS text")
+        model = toxicity.fit(wide, wide.selectExpr("doc_id", "doc_id % 2 AS toxic"), most_rows=100)
+    finally:
+        toxicity.fit_ordinal = fit_ordinal
+    assert sorted(seen[0]) == [0, 1] and 60 < len(seen[-1]) <= 100
+    assert toxicity.grade(wide, model).where("rejected <> (doc_id % 2 = 1)").count() == 0
 
 
 @pytest.mark.parametrize("kind", ["odd", "empty"])

@@ -12,7 +12,7 @@ binary labels of toxic documents grades are made by ``graded``: a first fit of
 toxic against clean finds the features that tell, and toxic documents with more
 of them are graded higher.
 
-Training takes at most ``most_rows`` labelled documents, those with the smallest
+Training takes at most ``most_rows`` labelled documents, one row of each id (its highest grade), those with the smallest
 hash of their id (documented bound; labels do not grow with the corpus in
 practice). Their sparse features, not their texts, come to the driver, cut to
 the ``most_features`` columns that occur in most rows after those in fewer than
@@ -33,11 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thicket.llm.kernels import forget, groups, map_rows, span_hashes, spans, Table, texts_of
-from thicket.storage import written
+from thicket.storage import small, written
 
 PREFIXES = (4, 5, 6)
 # Bytes that are parts of words: ASCII letters, digits and all bytes of longer characters.
@@ -118,8 +118,11 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_col
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", most_rows: int = 20_000, most_features: int = 4096, least_rows: int = 3, least_z: float = 4.0, graded: bool = True) -> Model:
     """Model of labels (id, grade); with graded, a binary label's toxic documents get grades 1 and 2 by how many telling features they have."""
-    chosen = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "grade").limit(most_rows)
+    chosen = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(grade_col).cast("int")).alias("grade"))
+    chosen = written(chosen, "toxic-labels")
+    many = chosen.count()
+    if many > most_rows:  # a cut of the hashes leaves about nineteen in twenty of most_rows, whatever the number of labels
+        chosen = chosen.where(F.xxhash64("id") < int((0.95 * most_rows / many - 0.5) * 2**64)).orderBy(F.xxhash64("id"), "id").limit(most_rows)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = texts_of(batch, "text")
@@ -131,9 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             offsets = np.searchsorted(rows, np.arange(a, b + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes))], ["id", "grade", "features"])
 
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "grade", "text")
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(chosen, most_rows), "id").select("id", "grade", "text")
     id_type = joined.schema["id"].dataType.simpleString()
-    sample = written(map_rows(joined, work, f"id {id_type}, grade int, features array<long>"), "toxic-sample")
+    # One row of each labelled id, whichever number of rows it has.
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("features")))
+    sample = map_rows(joined, work, f"id {id_type}, grade int, features array<long>").withColumn("first", first).where("first = 1").drop("first")
+    sample = written(sample, "toxic-sample")
     totals = sample.agg(F.count_if(F.col("grade") > 0).alias("toxic"), F.count("*").alias("n")).first()
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([np.inf]))
     if not totals.toxic or totals.toxic == totals.n:
@@ -143,12 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     apart = (F.col("toxic") / totals.toxic - (F.col("n") - F.col("toxic")) / (totals.n - totals.toxic)) / F.sqrt(share * (1 - share) * (1 / totals.toxic + 1 / (totals.n - totals.toxic)))
     best = [r.f for r in counts.where((share < 1) & (apart >= least_z)).orderBy(F.desc(apart), "f").limit(most_features).select("f").collect()]
     hashes = np.sort(np.array(best, np.int64))
-    held = F.lit(hashes) if len(hashes) else F.array().cast("array<long>")
-    rows = sample.select("grade", F.array_intersect("features", held).alias("f")).collect()  # at most most_rows rows of most_features numbers
+    held = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(held.value, f, assume_unique=True)).astype(np.int16).tobytes() for f in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["grade", "columns"])
+
+    rows = sample.select("grade", "features").mapInArrow(packed, "grade int, columns binary").collect()  # at most most_rows rows of two bytes a feature
     grades = np.array([r.grade for r in rows], np.int64)
-    lengths = [len(r.f) for r in rows]
-    row = np.repeat(np.arange(len(rows)), lengths)
-    column = np.searchsorted(hashes, np.fromiter((x for r in rows for x in r.f), np.int64, sum(lengths)))
+    row = np.repeat(np.arange(len(rows)), [len(r["columns"]) // 2 for r in rows])
+    column = np.frombuffer(b"".join(bytes(r["columns"]) for r in rows), np.int16).astype(np.int64)
     if graded and grades.max() == 1:
         weights, _ = fit_ordinal(row, column, grades, len(hashes))
         telling = np.bincount(row, weights=(weights[column] > 0.5), minlength=len(rows))
