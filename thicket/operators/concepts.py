@@ -224,8 +224,13 @@ def phrase_contrast(rows: DataFrame, row: str, title: Column, parent: str, clust
 
     What siblings have is a parent's total less the cluster's own, so no title meets another.
     """
+    return contrast_of(rows, title_phrases(title, blocked), parent, cluster)
+
+
+def contrast_of(rows: DataFrame, phrases: Column, parent: str, cluster: str) -> DataFrame:
+    """As phrase_contrast(), of a column of phrases."""
     keys = [F.col(parent).alias("parent"), F.col(cluster).alias("cluster")]
-    own = rows.select(*keys, F.explode(F.array_distinct(title_phrases(title, blocked))).alias("phrase")).groupBy("parent", "cluster", "phrase").agg(F.count("*").alias("inside"))
+    own = rows.select(*keys, F.explode(F.array_distinct(phrases)).alias("phrase")).groupBy("parent", "cluster", "phrase").agg(F.count("*").alias("inside"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("members"))
     totals = sizes.groupBy("parent").agg(F.sum("members").alias("total"))
     every = own.groupBy("parent", "phrase").agg(F.sum("inside").alias("every"))
@@ -233,11 +238,16 @@ def phrase_contrast(rows: DataFrame, row: str, title: Column, parent: str, clust
     return both.select("parent", "cluster", "phrase", "inside", "members", (F.col("every") - F.col("inside")).alias("outside"), (F.col("total") - F.col("members")).alias("siblings"))
 
 
-def title_labels(counts: DataFrame) -> DataFrame:
-    """L2: parent, cluster, label, score of the phrase that stands in two titles or more of a cluster and most sets it apart; longer phrases weigh more, ties go to the smaller one."""
+def scored_titles(counts: DataFrame) -> DataFrame:
+    """parent, cluster, phrase, score of the phrases that stand in two titles or more of a cluster: how far they set it apart; longer phrases weigh more."""
     n_words = F.size(F.split("phrase", " "))
     score = F.round((F.col("inside") / F.col("members") - F.col("outside") / F.greatest("siblings", F.lit(1))) * (1 + 0.25 * (n_words - 1)), 9)
-    best = counts.where("inside >= 2").select("parent", "cluster", "phrase", score.alias("score")).where("score > -1").groupBy("parent", "cluster").agg(F.min(F.struct((-F.col("score")).alias("less"), "phrase")).alias("b"))
+    return counts.where("inside >= 2").select("parent", "cluster", "phrase", score.alias("score")).where("score > -1")
+
+
+def title_labels(counts: DataFrame) -> DataFrame:
+    """L2: parent, cluster, label, score of the phrase that stands in two titles or more of a cluster and most sets it apart; ties go to the smaller one."""
+    best = scored_titles(counts).groupBy("parent", "cluster").agg(F.min(F.struct((-F.col("score")).alias("less"), "phrase")).alias("b"))
     return best.select("parent", "cluster", F.initcap("b.phrase").alias("label"), (-F.col("b.less")).alias("score"))
 
 
