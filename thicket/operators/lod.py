@@ -1,7 +1,7 @@
 """Level-of-detail trees of a dictionary: groups, then roles, slots or aspects within them.
 
-``build`` takes each terminal group of rows by the first route that holds: roles of
-phrases (where phrases have vectors), slots of phrases, else aspects. What roles and
+``build`` takes each terminal group of rows by the first route that holds: roles of rows
+(where a caller's function tells them), roles of phrases (where phrases have vectors), slots of phrases, else aspects. What roles and
 slots leave together, if it is large enough, is split by aspects, too. All groups of a
 route are worked on at once. The splits by aspects go down level by level: sets of up to ``LOCAL``
 rows are finished by one task each, larger ones by passes over all tasks.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions.text import PATH_SEP, PHRASE_STOP
 from thicket.operators import build as levels
-from thicket.operators import cluster, linkage, lowrank, slots, tfidf
+from thicket.operators import callbacks, cluster, linkage, lowrank, slots, tfidf
 from thicket.operators.concepts import common_prefixes, preferred_terms
 from thicket.operators.tree import Tree, factored_prefixes, from_paths, single_parent, stripped_prefixes, without_noise
 from thicket.storage import Scratch, written
@@ -358,10 +358,11 @@ def is_noise(name: Column) -> Column:
     return F.forall(own, lambda w: w.isin([*PHRASE_STOP, *NOISE_TITLES]) | ((F.length(w) < 2) & ~w.rlike(r"^\d$")))
 
 
-def build(rows: DataFrame, root: str = "project", phrase_text: Column | None = None, phrase_vectors: Callable[[DataFrame], DataFrame] | None = None, limits: Limits | None = None, most_aspects: int = 10, stop: list[str] | None = None, local: int = LOCAL) -> Tree:
+def build(rows: DataFrame, root: str = "project", phrase_text: Column | None = None, phrase_vectors: Callable[[DataFrame], DataFrame] | None = None, extract: callbacks.Extractor | None = None, limits: Limits | None = None, most_aspects: int = 10, stop: list[str] | None = None, local: int = LOCAL) -> Tree:
     """The tree of rows (row, label, grp, text): grp is a group path joined by `` > ``, null or empty for ``Ungrouped``.
 
-    phrase_vectors gives (phrase, vector) for a table of phrases; without it the route of roles is closed.
+    extract is a caller's function that tells roles of single rows (see ``callbacks.row_roles``), the first route where
+    it is given. phrase_vectors gives (phrase, vector) for a table of phrases; without it the route of phrase roles is closed.
     Nodes have, besides id, name and type: row of leaves; route, aspect, silhouette, source of inner nodes.
     """
     limits, stop = limits or Limits(), lowrank.STOP if stop is None else stop
@@ -376,22 +377,33 @@ def build(rows: DataFrame, root: str = "project", phrase_text: Column | None = N
     totals = own.groupBy("grp").agg(F.count("*").alias("total"), F.max(F.size("segments")).alias("deep"))
     remaining = F.greatest(F.lit(2), F.lit(limits.max_depth) - F.col("deep"))
 
-    # Roles, then slots, of groups of six rows or more; values by position below the group.
+    # Roles of rows, of phrases, then slots, the last two of groups of six rows or more; values by position below the group.
     open_groups = totals.where(F.col("total") >= 6).select("grp") if grouped else totals.where("false").select("grp")
     mine = own.join(open_groups, "grp", "left_semi")
-    placed, phrases = None, written(slots.phrases(mine, "grp", "row", F.col("phrase_text")), "lod-phrases")
-    ids, most_deep = mine.select("grp", "row"), max(2, limits.max_depth - (totals.agg(F.min("deep")).first()[0] or 0))
+    most_deep = max(2, limits.max_depth - (totals.agg(F.min("deep")).first()[0] or 0))
+    ids, placed = mine.select("grp", "row"), None
+
+    def took(found: DataFrame, route: str) -> None:
+        """Keeps the paths of groups that a route has nested; they are closed to later ones."""
+        nonlocal placed, ids
+        found = written(found.withColumn("route", F.lit(route)), f"lod-{route}")
+        done = found.where(F.size("path") > 0).select("grp").distinct()
+        found = found.join(done, "grp", "left_semi")
+        placed = found if placed is None else placed.unionByName(found)
+        ids = ids.join(done, "grp", "left_anti")
+
+    if extract is not None and grouped:
+        told_roles, _ = callbacks.row_roles(own.select("grp", "row", "text"), extract)
+        told_roles = written(told_roles, "lod-row-roles")
+        every = own.select("grp", "row").join(told_roles.select("grp").distinct(), "grp", "left_semi")
+        took(levels.role_hierarchy(every, told_roles, most_deep, loose=True), "per_row_extraction")
+    phrases = written(slots.phrases(mine.join(ids.select("grp").distinct(), "grp", "left_semi"), "grp", "row", F.col("phrase_text")), "lod-phrases")
     if phrase_vectors is not None:
         _, assigned = linkage.phrase_roles(ids, phrases, phrase_vectors(phrases.select("phrase").distinct()), least_rows=6)
-        found = levels.role_hierarchy(ids.join(assigned.select("grp").distinct(), "grp", "left_semi"), assigned.withColumnRenamed("phrase", "value"), most_deep, loose=True)
-        placed = written(found.withColumn("route", F.lit("phrase_roles")), "lod-roles")
-        placed = placed.join(placed.where(F.size("path") > 0).select("grp").distinct(), "grp", "left_semi")
-        ids, phrases = (t.join(placed.select("grp").distinct(), "grp", "left_anti") for t in (ids, phrases))
+        took(levels.role_hierarchy(ids.join(assigned.select("grp").distinct(), "grp", "left_semi"), assigned.withColumnRenamed("phrase", "value"), most_deep, loose=True), "phrase_roles")
+        phrases = phrases.join(ids.select("grp").distinct(), "grp", "left_semi")
     assigned = written(slots.gated(phrases, slots.assigned(phrases, slots.slots(phrases)), ids.groupBy("grp").agg(F.count("*").alias("total"))), "lod-slots")
-    found = levels.slot_hierarchy(ids.join(assigned.select("grp").distinct(), "grp", "left_semi"), assigned, most_deep, loose=True).withColumn("route", F.lit("slot_mining"))
-    found = written(found, "lod-slot-paths")
-    found = found.join(found.where(F.size("path") > 0).select("grp").distinct(), "grp", "left_semi")
-    placed = found if placed is None else placed.unionByName(found)
+    took(levels.slot_hierarchy(ids.join(assigned.select("grp").distinct(), "grp", "left_semi"), assigned, most_deep, loose=True), "slot_mining")
     # A group deeper than the shallowest one has fewer levels left: paths are cut there.
     placed = placed.join(totals, "grp").withColumn("left", remaining).withColumn("path", F.slice("path", F.lit(1), F.col("left").cast("int")))
     at = own.join(placed.select("grp", "row", "path", "loose", "route", "left"), ["grp", "row"], "left")
