@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.operators import linkage, lod, lowrank, slots, tree
+from thicket.operators import callbacks, concept_tree, expand, linkage, lod, lowrank, nesting, slots, tree
 from thicket.plans.catalog import DOC_TERMS, part_rows, query, table
 from thicket.storage import written
 
@@ -142,3 +142,70 @@ def lod_tree_part(spark, sf_dir):
     leaves = built.nodes.where("type = 'attribute'").select("id", "row")
     routes = built.edges.select("parent", F.col("child").alias("id")).join(built.nodes.select(F.col("id").alias("parent"), "route", "source"), "parent").select("id", "route", "source")
     return tree.path_rows(built).join(leaves, "id").join(routes, "id").select("row", "path", "depth", "route", "source")
+
+
+def leaf_rows(found: tree.Tree) -> DataFrame:
+    """path, depth of all leaves."""
+    return tree.path_rows(found).join(found.nodes.where("type = 'attribute'").select("id"), "id", "left_semi").select("path", "depth")
+
+
+@query()
+def concept_tree_part(spark, sf_dir):
+    """H2, H3: every part's path in the tree of concepts within types, named from names and sizes."""
+    rows = part_texts(spark, sf_dir).select("row", F.col("row").cast("string").alias("label"), F.col("grp").alias("group_path"), F.concat_ws(": ", F.element_at(F.split("text", " size"), 1), "text").alias("desc"))
+    return leaf_rows(concept_tree.build(rows, "parts")[0])
+
+
+@query()
+def nested_by_measure_part(spark, sf_dir):
+    """H6: paths of parts below their types and nodes of names with the word set, whose shared phrases are nested."""
+    rows = table(spark, sf_dir, "part").withColumn("row", F.col("p_partkey") - 1)
+    return leaf_rows(nesting.nested_by_measure(tree.from_paths(rows, F.array("p_type", F.concat_ws(" ", "p_name", F.lit("set"))), F.col("p_partkey").cast("string"))))
+
+
+@query()
+def split_by_title_part(spark, sf_dir):
+    """H9: paths of parts below their types and brands, split by the words of their names."""
+    rows = table(spark, sf_dir, "part").withColumn("row", F.col("p_partkey") - 1)
+    given = tree.from_paths(rows, F.array("p_type", "p_brand"), F.col("p_partkey").cast("string"))
+    titles = given.nodes.where("type = 'attribute'").select("id", "name").join(rows.select(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("title")), "name").select("id", "title")
+    return leaf_rows(nesting.split_by_title(given, titles))
+
+
+def embedding_tree(spark: SparkSession, sf_dir: str) -> tuple[tree.Tree, DataFrame]:
+    """The vectors as leaves below their labels, and (id, vector)."""
+    rows = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").withColumn("row", F.col("vec_id"))
+    given = tree.from_paths(rows, F.array(F.col("label").cast("string")), F.col("vec_id").cast("string"), payload=["row"])
+    ids = given.nodes.where("row IS NOT NULL").select("id", F.col("row").alias("vec_id"))
+    return given, ids.join(rows.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("id", "vector")
+
+
+@query()
+def width_expansion_embeddings(spark, sf_dir):
+    """The label each vector ends with, after it has moved to the nearest group pass after pass."""
+    found = expand.expanded(*embedding_tree(spark, sf_dir)).tree
+    leaves = found.nodes.where("row IS NOT NULL").select(F.col("id").alias("child"), F.col("row").alias("vec_id"))
+    groups = found.nodes.where("type = 'aggregation'").select(F.col("id").alias("parent"), F.col("name").alias("label"))
+    return found.edges.join(leaves, "child").join(groups, "parent").select("vec_id", "label")
+
+
+@query()
+def expansion_report_embeddings(spark, sf_dir):
+    """Coherence of each group before and after."""
+    given, vectors = embedding_tree(spark, sf_dir)
+    return expand.expanded(given, vectors).coherence.join(given.nodes.select(F.col("id").alias("node"), "name"), "node").drop("node")
+
+
+@query("""
+WITH a AS (SELECT p_type AS grp, p_partkey AS row, unnest(['measure', 'subtype']) AS role, unnest([split_part(p_name, ' ', 2), split_part(p_name, ' ', 1)]) AS value FROM part),
+k AS (SELECT grp, role FROM a GROUP BY 1, 2 HAVING count(DISTINCT value) >= 2), g AS (SELECT grp FROM a JOIN k USING (grp, role) GROUP BY grp HAVING count(DISTINCT role) >= 2 AND count(DISTINCT row) >= 4)
+SELECT grp, row, role, value FROM a JOIN k USING (grp, role) JOIN g USING (grp) WHERE value <> ''
+""")
+def row_roles_part(spark, sf_dir):
+    """R2, with a plain function in a model's place: a name's last word is its measure, its first one a subtype, and its type's name is made up."""
+
+    def say(names, fulls, samples):
+        return [{"measure": (n.split() + ["", ""])[1], "subtype": (n.split() + [""])[0], "condition": "nowhere to be found"} for n in names]
+
+    rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("grp"), F.col("p_partkey").alias("row"), F.col("p_name").alias("text"))
+    return callbacks.row_roles(rows, say)[0]
