@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Words that expand no code.
 EXPANSION_STOP = "the and for with from that this are was number total mean each per all not its has".split()
 
 

@@ -18,7 +18,7 @@ LABEL_STOP = "the a an is are was were be been being have has had do does did wi
 # Documentation words that never name a node.
 LABEL_BOILERPLATE = "http https href www org com net wiki url link neurolex connectomedb humanconnectome definition category sa sd strongly agree disagree neither somewhat".split()
 # Stop words of the evaluation tokens.
-EVAL_STOP = "the a and or of to in for on with by at from as is are be this that these those it its was were has have had not no than then so such can will may group description name label value type using used per each".split()
+EVAL_STOP = "the a an and or of to in for on with by at from as is are be this that these those it its was were has have had not no than then so such can will may group description name label value type using used per each".split()
 # Markers in front of descriptions.
 MARKERS = "key note notes definition description desc question q item value meaning label".split()
 # Openings of definition prose.

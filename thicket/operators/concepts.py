@@ -22,6 +22,7 @@ NO_GROUP = ("", "ungrouped", "nan", "none")
 SOURCE_CONFIDENCE = {"group_path": 0.95, "description_title": 0.91, "bioportal": 0.92, "cognitive_atlas": 0.94, "wikidata": 0.88, "wordnet": 0.83, "pubmed": 0.82, "wikipedia": 0.78, "metadata_tfidf": 0.65, "noun_phrase": 0.55}
 # Words of links and documentation, which lower a concept's score.
 LINK_WORDS = r"(?i)\b(http|href|wiki|neurolex|org|www|definition|category|link|url)\b"
+# Fixed value: the pattern of multi-word phrases.
 PHRASE = r"\b([a-z][a-z0-9]{1,}(?:\s+[a-z][a-z0-9]{1,}){1,3})\b"
 #: Group names of up to so many words are taken off the front of titles.
 MOST_TOP_WORDS = 6

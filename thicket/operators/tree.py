@@ -105,9 +105,8 @@ def pruned(tree: Tree) -> Tree:
 
 
 def single_parent(tree: Tree) -> Tree:
-    """Each child keeps its deepest parent, the first of equals."""
-    deep = depths(tree).union(tree.nodes.where(f"id = {ROOT}").select("id", F.lit(0)))
-    best = tree.edges.join(deep, F.col("parent") == F.col("id")).groupBy("child").agg(F.max_by("parent", F.struct("depth", (-F.col("parent")).alias("first"))).alias("parent"))
+    """Each child keeps its deepest parent, the first of equals; parents that the root does not reach have depth 0."""
+    best = tree.edges.join(depths(tree), F.col("parent") == F.col("id"), "left").groupBy("child").agg(F.max_by("parent", F.struct(F.coalesce("depth", F.lit(0)).alias("depth"), (-F.col("parent")).alias("first"))).alias("parent"))
     return Tree(tree.nodes, ordered(best.select("parent", "child")))
 
 
