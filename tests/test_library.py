@@ -141,6 +141,13 @@ def test_metrics(spark):
     assert finer.refinement_rate > 0 and finer.missed == 0 and finer.wrong_merge == 0 and finer.n_matched_leaves == 12
     table = evaluate.contingency(spark.createDataFrame([(i % 3, i % 3) for i in range(30)], "a int, b int"), "a", "b")
     assert evaluate.purity(table).first()[0] == evaluate.ari(table).first()[0] == evaluate.nmi(table).first()[0] == evaluate.ami(table).first()[0] == 1.0
+    many = evaluate.contingency(spark.createDataFrame([(i % 4, i % 3 if i % 5 else 7) for i in range(60)], "a int, b int"), "a", "b").cache()
+    whole, stride = evaluate.ami(many).first()[0], evaluate.STRIDE
+    evaluate.STRIDE = 4
+    try:
+        assert evaluate.ami(many).first()[0] == whole and whole < 0.5
+    finally:
+        evaluate.STRIDE = stride
     rng = np.random.default_rng(0)
     x = rng.normal(size=(20, 5))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -242,7 +249,8 @@ def test_bundle_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("l1", "g"), ("l2", "g"), ("l3", "h"), ("gone", "h")], "leaf string, group string")
     gold = spark.createDataFrame([("l1", ["p", "q"]), ("l2", ["p", "q"]), ("l3", ["z"])], "leaf string, path array<string>")
     got = evaluate.bundle(t, rows, gold=gold).first()
-    assert got.purity == got.ari == got.edge_f1 == got.ancestor_f1 == 1.0 and got.n_matched_leaves == 3 and got.leaves == 3
+    assert got.purity == got.ari == got.edge_f1 == got.ancestor_f1 == got.overlap_f1 == 1.0 and got.n_matched_leaves == 3 and got.leaves == 3
+    assert got.wrong_merge == got.missed == 0 and got.concept_label_pct is not None and got.redundancy_pct == 0.0
     assert {r.leaf: r.cluster for r in evaluate.top_clusters(t).collect()} == {3: 1, 4: 1, 5: 5}
     names = spark.createDataFrame([(1, "a", 1.0), (2, "a", 0.6), (2, "x", 0.8), (6, "a", 0.6), (6, "y", 0.8)], "doc long, term string, tfidf double")
     div = evaluate.label_diversity(t, names).first()

@@ -9,6 +9,9 @@ from thicket.functions.text import PATH_SEP, eval_tokens
 from thicket.operators.tree import ROOT, Tree, closure, first_parents, structural_stats
 from thicket.storage import written
 
+#: Numbers that are told at once where a range of them is.
+STRIDE = 10_000
+
 
 def contingency(rows: DataFrame, cluster: str, label: str) -> DataFrame:
     """a, b, n: how many rows have each pair of cluster and label."""
@@ -65,7 +68,9 @@ def ami(table: DataFrame) -> DataFrame:
     b = table.groupBy("b").agg(F.sum("n").alias("y")).groupBy("y").agg(F.count("*").alias("cb"))
     total = table.agg(F.sum("n").alias("t"))
     pairs = a.join(b, F.lit(True)).join(total, F.lit(True))
-    cells = pairs.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - F.col("t")), F.least("x", "y"))))
+    # Overlaps of a pair of sizes are told in two steps, so that no array is longer than STRIDE or their number by it.
+    low, high = F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - F.col("t")), F.least("x", "y")
+    cells = pairs.withColumn("from", F.explode(F.sequence(low, high, F.lit(STRIDE).cast("long")))).withColumn("k", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + STRIDE - 1, high))))
 
     def lf(v: Column) -> Column:
         """ln v! by Stirling's series from 20 on, exact below."""
@@ -234,13 +239,15 @@ def leaf_paths(tree: Tree) -> DataFrame:
 
 
 def bundle(tree: Tree, rows: DataFrame | None = None, name: str = "leaf", group: str = "group", gold: DataFrame | None = None) -> DataFrame:
-    """V9: one row of structural statistics, and of group preservation and gold scores where rows (name, group) and gold (leaf, path) are given."""
-    one = structural_stats(tree)
+    """V9: one row of structural statistics and label quality, of group preservation where rows (name, group) are given, and of all gold scores where gold (leaf, path) is."""
+    one = structural_stats(tree).join(label_quality(tree), F.lit(True))
     if rows is not None:
         one = one.join(group_preservation(tree, rows, name, group), F.lit(True))
     if gold is not None:
         own = written(leaf_paths(tree), "leaf-paths")
-        one = one.join(edge_f1(own, gold), F.lit(True)).join(ancestor_f1(own, gold).drop("n_matched_leaves"), F.lit(True))
+        more = [edge_f1(own, gold), ancestor_f1(own, gold), set_overlap(own, gold), refinement(own, gold)]
+        for scores in more:
+            one = one.join(scores.drop(*[c for c in scores.columns if c in one.columns]), F.lit(True))
     return one
 
 
@@ -254,7 +261,7 @@ def set_overlap(system: DataFrame, gold: DataFrame) -> DataFrame:
     a, b = _prefixes(system).distinct().join(leaves, "leaf"), _prefixes(gold).distinct().join(leaves, "leaf")
 
     def sized(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("n", F.count("*").over(Window.partitionBy("k"))).where("n >= 2")
+        return rows.join(rows.groupBy("k").agg(F.count("*").alias("n")).where("n >= 2"), "k")
 
     a, b = sized(a).select("leaf", F.col("k").alias("i"), F.col("n").alias("ni")), sized(b).select("leaf", F.col("k").alias("j"), F.col("n").alias("nj"))
     both = a.join(b, "leaf").groupBy("i", "j", "ni", "nj").agg(F.count("*").alias("c")).withColumn("jac", F.col("c") / (F.col("ni") + F.col("nj") - F.col("c")))

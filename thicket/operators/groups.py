@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from thicket.functions.text import PATH_SEP, eval_tokens
 from thicket.operators.evaluate import centroids, coherence
 from thicket.operators.profile import top_group
+from thicket.storage import numbered
+
+
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with place, from 1, in an order whose columns are unique together; given range by range."""
+    return numbered(rows, "place", *order).withColumn("place", F.col("place") + 1)
 
 
 def top_groups(rows: DataFrame, path: str, row: str) -> DataFrame:
     """A-1: top, n, first, place: top groups in the order in which they first appear."""
     sums = rows.groupBy(top_group(F.col(path)).alias("top")).agg(F.count("*").alias("n"), F.min(row).alias("first"))
-    return sums.withColumn("place", F.row_number().over(Window.orderBy("first", "top")))
+    return placed(sums, "first", "top")
 
 
 def terminal_groups(rows: DataFrame, path: str) -> DataFrame:
@@ -30,7 +36,7 @@ def value_counts(rows: DataFrame, *columns: str) -> DataFrame:
 def ordered_distinct(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The keys, each once, with the place of its first appearance in ``order``; hot keys are pre-aggregated."""
     firsts = rows.groupBy(*keys).agg(F.min(order).alias("first"))
-    return firsts.withColumn("place", F.row_number().over(Window.orderBy("first", *keys))).drop("first")
+    return placed(firsts, "first", *keys).drop("first")
 
 
 def unary_groups(rows: DataFrame, path: str) -> DataFrame:
@@ -62,7 +68,7 @@ def corpus_centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def incoherent(vectors: DataFrame, group: str, vector: str, least: float = 0.25) -> DataFrame:
     """Place, grp, n, coherence, incoherent: the least coherent groups first."""
     found = coherence(vectors, group, vector)
-    return found.select(F.row_number().over(Window.orderBy("coherence", "grp")).alias("place"), "grp", "n", "coherence", (F.col("coherence") < least).alias("incoherent"))
+    return placed(found.withColumn("incoherent", F.col("coherence") < least), "coherence", "grp").select("place", "grp", "n", "coherence", "incoherent")
 
 
 def confidence(rows: DataFrame, score: str) -> DataFrame:
