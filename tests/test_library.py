@@ -257,6 +257,8 @@ def test_bundle_and_sinks(spark, tmp_path):
     assert (div.parent_child, div.sibling_diversity, div.n_aggregations, div.n_singletons) == (0.6, round(1 - 2 * 0.36 / 4, 4), 3, 0)
     listed = json.loads(sinks.tree_list(t).first().json)
     assert [n["id"] for n in listed] == list(range(7)) and listed[1]["related"] == [2, 6] and listed[3]["related"] == []
+    full = json.loads(sinks.tree_list(tree.described(tree.Tree(t.nodes.withColumn("leaf_id", F.concat(F.lit("g."), "name")).withColumn("text", F.lit("said")), t.edges))).first().json)
+    assert full[3] == {"id": 3, "name": "l1", "type": "attribute", "dtype": "determine", "is_shown": True, "desc": "said", "metadata": {"leaf_id": "g.l1"}, "related": []} and full[1]["desc"] == "Group: A" and "metadata" not in full[1] and full[0]["desc"] == "Root node"
     both = json.loads(sinks.facet_list({"Task": t, 'odd "name"': t}).first().json)
     assert both["Task"] == both['odd "name"'] == listed
     (tmp_path / "o" / "d").mkdir(parents=True)

@@ -218,15 +218,15 @@ def top_clusters(tree: Tree) -> DataFrame:
     return leaves.join(below, "id", "left").select(F.col("id").alias("leaf"), "name", F.coalesce("anc", "id").alias("cluster"))
 
 
-def node_ids(rows: DataFrame, tree: Tree, name: str) -> DataFrame:
-    """Rows with node, the id of the leaf of that name, the smallest of several, -1 if there is none."""
-    leaves = tree.nodes.where("type = 'attribute'").groupBy(F.col("name").alias("\u0000name")).agg(F.min("id").alias("node"))
+def node_ids(rows: DataFrame, tree: Tree, name: str, by: str = "name") -> DataFrame:
+    """Rows with node, the id of the leaf whose column ``by`` (its name, or ``leaf_id`` where nodes carry it) is that of rows, the smallest of several, -1 if there is none."""
+    leaves = tree.nodes.where("type = 'attribute'").groupBy(F.col(by).alias("\u0000name")).agg(F.min("id").alias("node"))
     return rows.join(leaves, F.col(name) == F.col("\u0000name"), "left").drop("\u0000name").withColumn("node", F.coalesce("node", F.lit(-1).cast("long")))
 
 
-def group_preservation(tree: Tree, rows: DataFrame, name: str, group: str) -> DataFrame:
-    """V4: purity, ari, nmi, ami of the clusters right below the root against the rows' groups; rows without a leaf take no part."""
-    found = node_ids(rows.select(F.col(name).alias("name"), F.col(group).alias("group")), tree, "name").where("node >= 0")
+def group_preservation(tree: Tree, rows: DataFrame, name: str, group: str, by: str = "name") -> DataFrame:
+    """V4: purity, ari, nmi, ami of the clusters right below the root against the rows' groups; rows without a leaf take no part. ``by`` as in node_ids(): names may repeat, leaf ids do not."""
+    found = node_ids(rows.select(F.col(name).alias("name"), F.col(group).alias("group")), tree, "name", by).where("node >= 0")
     table = written(contingency(found.join(top_clusters(tree).select(F.col("leaf").alias("node"), "cluster"), "node"), "cluster", "group"), "preservation")
     return purity(table).join(ari(table), F.lit(True)).join(nmi(table), F.lit(True)).join(ami(table), F.lit(True))
 
@@ -238,11 +238,11 @@ def leaf_paths(tree: Tree) -> DataFrame:
     return leaves.join(up, "desc", "left").select("leaf", F.coalesce("path", F.array().cast("array<string>")).alias("path"))
 
 
-def bundle(tree: Tree, rows: DataFrame | None = None, name: str = "leaf", group: str = "group", gold: DataFrame | None = None) -> DataFrame:
+def bundle(tree: Tree, rows: DataFrame | None = None, name: str = "leaf", group: str = "group", gold: DataFrame | None = None, by: str = "name") -> DataFrame:
     """V9: one row of structural statistics and label quality, of group preservation where rows (name, group) are given, and of all gold scores where gold (leaf, path) is."""
     one = structural_stats(tree).join(label_quality(tree), F.lit(True))
     if rows is not None:
-        one = one.join(group_preservation(tree, rows, name, group), F.lit(True))
+        one = one.join(group_preservation(tree, rows, name, group, by), F.lit(True))
     if gold is not None:
         own = written(leaf_paths(tree), "leaf-paths")
         more = [edge_f1(own, gold), ancestor_f1(own, gold), set_overlap(own, gold), refinement(own, gold)]

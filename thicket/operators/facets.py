@@ -61,5 +61,5 @@ def usable(rows: DataFrame, columns: dict[str, Column]) -> dict[str, Column]:
 
 
 def facet_tree(rows: DataFrame, facet: Column, name: str) -> Tree:
-    """Root, a node for each value, a leaf for each row."""
-    return from_paths(rows, F.array(facet), F.col("label"), name)
+    """Root, a node for each value, a leaf for each row, which keeps its leaf_id, group_path and text where rows have them."""
+    return from_paths(rows, F.array(facet), F.col("label"), name, [c for c in ("leaf_id", "group_path", "text") if c in rows.columns])

@@ -47,6 +47,20 @@ def ordered(links: DataFrame) -> DataFrame:
     return links.select("parent", "child", (F.row_number().over(Window.partitionBy("parent").orderBy("child")) - 1).alias("ord"))
 
 
+def described(tree: Tree) -> Tree:
+    """Nodes as viewers read them: dtype, is_shown, desc and metadata (leaf_id, group_path, row_index) besides id, name and type.
+
+    Leaves take them from what they carry (text, leaf_id, group_path, row, as far as it is there); an inner node's
+    desc is its own, or tells its name. Dissolved nodes are not shown.
+    """
+    has = lambda c, kind: F.col(c).cast(kind) if c in tree.nodes.columns else F.lit(None).cast(kind)
+    leaf = F.col("type") == "attribute"
+    inner = F.when(F.col("type") == "root", F.lit("Root node")).otherwise(F.concat(F.lit("Group: "), "name"))
+    meta = F.when(leaf, F.struct(has("leaf_id", "string").alias("leaf_id"), has("group_path", "string").alias("group_path"), has("row", "long").alias("row_index")))
+    nodes = tree.nodes.select("id", "name", "type", F.when(leaf, "determine").otherwise(F.col("type")).alias("dtype"), (F.col("type") != "dissolved").alias("is_shown"), F.coalesce(has("desc", "string"), F.when(leaf, has("text", "string")).otherwise(inner), F.lit("")).alias("desc"), meta.alias("metadata"))
+    return Tree(nodes, tree.edges)
+
+
 def closure(edges: DataFrame, most_depth: int = 100) -> DataFrame:
     """Ancestor, descendant, distance of all pairs, by levels; a cycle raises once paths pass most_depth."""
     step = edges.select(F.col("parent").alias("anc"), F.col("child").alias("desc"), F.lit(1).alias("dist"))

@@ -580,15 +580,35 @@ def conflicts_part(spark, sf_dir):
 PRESERVED_SQL = CELLS_SQL.replace("SELECT lang AS a, quality || '/' || toxic AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2", "SELECT n_regionkey AS a, c_mktsegment AS b, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 
 
-@query(MI_SQL.replace(CELLS_SQL, PRESERVED_SQL) + """, k AS (SELECT a.n::BIGINT AS x, b.n::BIGINT AS y, s.n::BIGINT AS t, unnest(range(greatest(1, (a.n + b.n - s.n)::BIGINT), least(a.n, b.n)::BIGINT + 1)) AS k FROM a, b, s),
+PRESERVATION_SQL = MI_SQL.replace(CELLS_SQL, PRESERVED_SQL) + """, k AS (SELECT a.n::BIGINT AS x, b.n::BIGINT AS y, s.n::BIGINT AS t, unnest(range(greatest(1, (a.n + b.n - s.n)::BIGINT), least(a.n, b.n)::BIGINT + 1)) AS k FROM a, b, s),
 em AS (SELECT sum(k / t * ln(t * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(t - x + 1) + lgamma(t - y + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(t - x - y + k + 1))) AS emi FROM k),
 z AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS ij, (SELECT sum(n * (n - 1) / 2) FROM a) AS i, (SELECT sum(n * (n - 1) / 2) FROM b) AS j, (SELECT n * (n - 1) / 2 FROM s) AS p)
-SELECT (SELECT round(sum(m) / sum(n), 4) FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY a)) AS purity, round((ij - i * j / p) / ((i + j) / 2 - i * j / p), 4) AS ari, round(mi / ((ha + hb) / 2), 4) AS nmi, round((mi - emi) / ((ha + hb) / 2 - emi), 4) AS ami FROM h, em, z""")
+SELECT (SELECT round(sum(m) / sum(n), 4) FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY a)) AS purity, round((ij - i * j / p) / ((i + j) / 2 - i * j / p), 4) AS ari, round(mi / ((ha + hb) / 2), 4) AS nmi, round((mi - emi) / ((ha + hb) / 2 - emi), 4) AS ami FROM h, em, z"""
+
+
+@query(PRESERVATION_SQL)
 def group_preservation_geo(spark, sf_dir):
     """customers' segments against the regions right below the root."""
     return evaluate.group_preservation(geo_tree(spark, sf_dir), table(spark, sf_dir, "customer"), "c_name", "c_mktsegment")
 
 
+@query(PRESERVATION_SQL.replace(PRESERVED_SQL, CELLS_SQL.replace("SELECT lang AS a, quality || '/' || toxic AS b, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2", "SELECT p_brand AS a, p_type AS b, count(*) AS n FROM part GROUP BY 1, 2")))
+def group_preservation_part(spark, sf_dir):
+    """V4, J1 by leaf ids: parts' types against the brands right below the root; many leaves share a name."""
+    part = table(spark, sf_dir, "part").withColumn("row", F.col("p_partkey") - 1).withColumn("leaf_id", F.concat_ws(".", "p_type", F.col("p_partkey").cast("string")))
+    return evaluate.group_preservation(tree.from_paths(part, F.array("p_brand"), F.col("p_name"), payload=["leaf_id"]), part, "leaf_id", "p_type", by="leaf_id")
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS name, 'attribute' AS type, 'determine' AS dtype, true AS is_shown, 'p_type: ' || p_type || ' | p_brand: ' || p_brand || ' | p_partkey: ' || p_partkey || ' | p_name: ' || p_name || ' | p_size: ' || p_size AS "desc", p_type || ' > ' || p_brand || '.' || p_partkey AS leaf_id, p_type || ' > ' || p_brand AS group_path FROM part
+UNION ALL SELECT DISTINCT p_type, 'aggregation', 'aggregation', true, 'Group: ' || p_type, NULL, NULL FROM part UNION ALL SELECT 'type', 'root', 'root', true, 'Root node', NULL, NULL
+""")
+def described_nodes_part(spark, sf_dir):
+    """Nodes of the facet tree of part, as viewers read them."""
+    return tree.described(part_tree(spark, sf_dir)).nodes.select("name", "type", "dtype", "is_shown", "desc", "metadata.leaf_id", "metadata.group_path")
+
+
+
 @query(GEO + ", r AS (SELECT parent, list(child ORDER BY child) AS related FROM e GROUP BY 1), x AS (SELECT id, name, type, coalesce(related, []::BIGINT[]) AS related FROM n LEFT JOIN r ON id = parent) SELECT to_json(list({'id': id, 'name': name, 'type': type, 'related': related} ORDER BY id))::VARCHAR AS json FROM x")
 def tree_list_geo(spark, sf_dir):
     """K1."""

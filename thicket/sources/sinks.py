@@ -12,9 +12,10 @@ from thicket.operators.tree import Tree
 
 
 def tree_rows(tree: Tree) -> DataFrame:
-    """id, name, type, related: a row per node with its children in order."""
+    """id, name, type, related, and what else of ``tree.described()`` the nodes have: a row per node with its children in order."""
+    more = [c for c in ("dtype", "is_shown", "desc", "metadata") if c in tree.nodes.columns]
     kids = tree.edges.groupBy("parent").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "child"))), lambda x: x["child"]).alias("related"))
-    return tree.nodes.join(kids, F.col("id") == F.col("parent"), "left").select("id", "name", "type", F.coalesce("related", F.array().cast("array<long>")).alias("related"))
+    return tree.nodes.join(kids, F.col("id") == F.col("parent"), "left").select("id", "name", "type", *more, F.coalesce("related", F.array().cast("array<long>")).alias("related"))
 
 
 def write_tree(tree: Tree, path: str) -> None:
@@ -33,8 +34,9 @@ def write_facets(trees: dict[str, Tree], path: str) -> None:
 
 def tree_list(tree: Tree) -> DataFrame:
     """K1: one row, json: the tree as one list of nodes in order of ids, as viewers read it. For trees that are looked at; larger ones go by write_tree()."""
-    nodes = F.sort_array(F.collect_list(F.struct("id", "name", "type", "related")))
-    return tree_rows(tree).agg(F.to_json(nodes).alias("json"))
+    rows = tree_rows(tree)
+    nodes = F.sort_array(F.collect_list(F.struct(*rows.columns)))
+    return rows.agg(F.to_json(nodes).alias("json"))
 
 
 def facet_list(trees: dict[str, Tree]) -> DataFrame:
