@@ -100,6 +100,20 @@ def test_nearest_neighbours(spark):
     assert kmeans_tree.search(table.limit(0)).count() == 0
 
 
+def test_few_leaves_are_visited_where_vectors_cluster(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 16)) * 3
+    rows = [(i, (centres[i % 30] + rng.normal(scale=0.5, size=16)).tolist()) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = kmeans_tree.search(table, every=50, k=5, leaf_rows=60).collect()
+    want = brute_force([(i, np.array(v)) for i, v in rows], 50, 5)
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys() and np.mean([len(got[q] & set(want[q])) / 5 for q in want]) >= 0.9
+    assert found[0].leaves >= 30 and found[0].visits < found[0].leaves / 3 and found[0].recall >= 0.95
+
+
 def test_toxicity(spark, docs, empty, labels):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(WORDS, 30)) + (" nastyword grimling" if i % 4 == 0 else ""), i % 4 == 0) for i in range(400)]

@@ -190,20 +190,20 @@ def truth(entries: DataFrame, probes: np.ndarray, k: int) -> list[list[tuple[flo
 
 
 def calibrated(tree: Tree, probes: np.ndarray, found: list[list[tuple[float, int, int]]], recall: float) -> tuple[int, float]:
-    """The number of visits from a widening series that reaches the recall on the probes, and that recall. A probe's own vector doesn't count."""
+    """The least number of visits that reaches the recall on the probes, widened leaf by leaf, and that recall. A probe's own vector doesn't count."""
     ranks = []
     for near, own in zip(unit(probes) @ tree.centres.T if len(probes) else [], found):
         place = {leaf: i for i, leaf in enumerate(tree.walk(near))}
         ranks += [place[leaf] for _, _, leaf in sorted(own, key=lambda x: (-x[0], x[1]))[1:]]
-    ranks, visits, step = np.array(ranks), 1, 1
-    while len(ranks) and visits < tree.leaves and (ranks < visits).mean() < recall:
-        visits, step = visits + step, visits
-    visits = min(visits, max(tree.leaves, 1))
-    return visits, float((ranks < visits).mean()) if len(ranks) else 1.0
+    if not ranks:
+        return 1, 1.0
+    upto = np.cumsum(np.bincount(ranks, minlength=tree.leaves)) / len(ranks)  # the recall of 1, 2, ... visits
+    visits = int(np.argmax(upto >= min(recall, upto[-1]))) + 1
+    return visits, float(upto[visits - 1])
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.95, leaf_rows: int = 256, most_leaves: int = 2048, most_sample: int = 20_000, most_probes: int = 128, leaf_part: int = 16_384) -> DataFrame:
-    """query_id, rank, vec_id, score, visits: the k nearest of each vector whose id is divisible by ``every``, among all others."""
+    """query_id, rank, vec_id, score of the k nearest of each vector whose id is divisible by ``every``, among all others; and visits, leaves, recall: how many leaves of how many each query saw, and which recall that had on the probes."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).distinct()
     # Of equal vectors, k + 1 ids are enough for any answer; WindowGroupLimit cuts before the shuffle.
@@ -212,8 +212,9 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     entries = written(ids.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("low", F.col("ids")[0]), "entries")
     total = entries.count()
     # A cut of the hashes takes nine tenths of most_sample rows, give or take a few; the driver gets these alone.
-    share = min(1.0, 0.9 * most_sample / max(total, 1))
-    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 40)) < int(share * (1 << 40))).select("v", "low").orderBy("low").toArrow().column("v").combine_chunks()
+    share = 0.9 * min(1.0, most_sample / max(total, 1))
+    hashed = F.pmod(F.xxhash64("v"), F.lit(1 << 40))
+    sample = entries.where(hashed < int(share * (1 << 40))).select("v", "low").orderBy("low").toArrow().column("v").combine_chunks()
     x = unit(matrix(sample)) if len(sample) else np.zeros((0, 1))
     leaves = min(most_leaves, -(-total // leaf_rows))
     tree = Tree.fit(x, max(8, len(x) // max(leaves, 1)))
@@ -226,8 +227,11 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     sizes = np.zeros(max(tree.leaves, 1), np.int64)
     for r in indexed.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():  # a row a leaf
         sizes[r.leaf] = r.n
-    probes = matrix(sample)[:: max(1, len(sample) // most_probes)][:most_probes] if len(sample) else np.zeros((0, 1))
-    visits, _ = calibrated(tree, probes, truth(indexed, probes, k + 1) if len(probes) else [], recall)
+    # Probes are vectors that the tree was not fitted on, the next ones by hash.
+    after = min(1.0, share + 2 * most_probes / max(total, 1))
+    others = entries.where((hashed >= int(share * (1 << 40))) & (hashed < int(after * (1 << 40)))).orderBy(hashed, "low").limit(most_probes).select("v").toArrow().column("v").combine_chunks()
+    probes = matrix(others) if len(others) else matrix(sample)[:most_probes] if len(sample) else np.zeros((0, 1))
+    visits, reached = calibrated(tree, probes, truth(indexed, probes, k + 1) if len(probes) else [], recall)
     plan = spark.sparkContext.broadcast((tree, visits, sizes))
 
     # Neighbouring leaves share a shard of about leaf_part entries; a leaf above that is a shard dealt into parts.
@@ -277,4 +281,4 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("far"), i.alias("vec_id")))))
     others = F.slice(F.array_sort(F.filter(flat, lambda c: c["vec_id"] != F.col("id"))), 1, k)
     out = named.select(F.col("id").alias("query_id"), F.posexplode(others).alias("at", "c"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.far")).alias("score"), F.lit(visits).alias("visits"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.far")).alias("score"), F.lit(visits).alias("visits"), F.lit(tree.leaves).alias("leaves"), F.lit(reached).alias("recall"))
