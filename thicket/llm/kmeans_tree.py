@@ -7,9 +7,10 @@ vector of the table is then indexed: it descends to a leaf on its executor. A
 query walks the tree best bin first: a priority queue holds nodes by the cosine
 of their centre, the best is opened, and leaves come out in order of promise.
 
-How many leaves to visit is calibrated: for at most ``most_probes`` probe vectors
+How many leaves to visit is calibrated: for at most ``most_probes`` probe vectors,
+which the tree was not fitted on,
 the true neighbours are found by brute force over all vectors, and visits widen
-(1, 2, 3, 5, 8, ...) until the share of true neighbours in visited leaves reaches
+one by one until the share of true neighbours in visited leaves reaches
 ``recall``. Each query's visits also go on until enough vectors are in them.
 
 Only tree, leaf sizes and probes are on the driver and in broadcasts; all are
@@ -202,7 +203,7 @@ def calibrated(tree: Tree, probes: np.ndarray, found: list[list[tuple[float, int
     return visits, float(upto[visits - 1])
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.95, leaf_rows: int = 256, most_leaves: int = 2048, most_sample: int = 20_000, most_probes: int = 128, leaf_part: int = 16_384) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, recall: float = 0.98, leaf_rows: int = 256, most_leaves: int = 2048, most_sample: int = 20_000, most_probes: int = 128, leaf_part: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each vector whose id is divisible by ``every``, among all others; and visits, leaves, recall: how many leaves of how many each query saw, and which recall that had on the probes."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col).distinct()
