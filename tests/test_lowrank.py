@@ -111,3 +111,34 @@ def test_aspect_vectors(table):
             want = {t: c / norm for t, c in zip(words.terms, v) if c > 0} if norm else {}
             mine = got.get((row, a), {})
             assert mine.keys() == want.keys() and all(abs(mine[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_a_row_that_comes_often_is_one_row_with_its_number():
+    rng = np.random.default_rng(5)
+    x, times = np.maximum(rng.random((12, 9)) - 0.5, 0), rng.integers(1, 6, 12)
+    made, want = lowrank.factorized(x, [2, 3], times=times.astype(float)), lowrank.factorized(np.repeat(x, times, axis=0), [2, 3])
+    for k in (2, 3):
+        assert np.allclose(made[k][1], want[k][1], atol=1e-8) and abs(made[k][2] - want[k][2]) < 1e-8
+        assert np.allclose(np.repeat(made[k][0], times, axis=0), want[k][0], atol=1e-8)
+
+
+def test_copies_of_texts_are_one_tasks_work_and_equal_the_passes(table):
+    copies = table.where("grp = 'g'").select("grp", F.explode(F.array(*[F.col("row") + 1000 * i for i in range(4)])).alias("row"), "text")
+    kinds = lowrank.kinds_of_texts(copies.withColumn("text", F.coalesce("text", F.lit(""))), "grp", "row", "text", lowrank.STOP)
+    assert kinds.count() == 9 and lowrank.large_groups(kinds, "grp", "t", 3000, 9) == [] and lowrank.large_groups(kinds, "grp", "t", 3000, 3) == ["g"]
+    one, weights = lowrank.aspects(copies, "grp", "row", F.col("text"), most=4)
+    other, spread = lowrank.aspects(copies, "grp", "row", F.col("text"), most=4, local_rows=3)
+    one, other = sorted(one.collect(), key=lambda r: r.aspect), sorted(other.collect(), key=lambda r: r.aspect)
+    assert [r.label for r in one] == [r.label for r in other] and all(np.allclose(a.h, b.h, atol=1e-8) for a, b in zip(one, other))
+    a, b = ({r.row: r.w for r in t.collect()} for t in (weights, spread))
+    assert len(a) == 120 and a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-8) for k in a)
+
+
+def test_products_take_one_pass(table, monkeypatch):
+    words = lowrank.vocabulary(table, F.coalesce(F.col("text"), F.lit("")), 1000)
+    rows = lowrank.packed(table, "row", F.coalesce(F.col("text"), F.lit("")), words)
+    x = dense(rows, len(words.terms))
+    monkeypatch.setattr(lowrank, "gram_times", None)  # the turns of power iteration
+    assert np.abs(lowrank.products(rows, len(words.terms)) - x.T @ x).max() < 1e-12
+    values, right = lowrank.truncated_svd(rows, len(words.terms), 3)
+    assert np.abs(values - np.linalg.svd(x, compute_uv=False)[:3]).max() < 1e-9
