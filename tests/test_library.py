@@ -267,3 +267,25 @@ def test_bundle_and_sinks(spark, tmp_path):
     files = zipfile.ZipFile(io.BytesIO(sinks.zipped(spark, f"{tmp_path}/o")))
     assert {n: files.read(n) for n in files.namelist()} == {"a.txt": b"one", "d/b.txt": b"two"}
     assert one(spark, sinks.safe_name, "a b/c-é.csv") == "a_b_c-é.csv"
+
+
+def test_terms_are_dealt_by_document_once(spark):
+    from thicket.operators import tfidf
+
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 3} only{i}") for i in range(9)] + [(0, "alpha again")], "doc_id long, text string")
+    table = tfidf.tfidf(tfidf.terms(docs, "doc_id", F.col("text")), 10)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan
+    rows = {(r.doc, r.term): r.tfidf for r in table.collect()}
+    assert len(rows) == 37 and abs(sum(x * x for (d, _), x in rows.items() if d == 0) - 1) < 1e-12
+
+
+def test_rows_of_the_same_words_meet_groups_as_one(spark, monkeypatch):
+    from thicket.operators import groups
+
+    seen, real = [], groups.written
+    monkeypatch.setattr(groups, "written", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    rows = spark.createDataFrame([(i, f"red ring{'abc'[i % 3]}", f"g{i % 4}", "f" if i % 2 else None) for i in range(40)], "row long, name string, grp string, family string")
+    found = groups.conflicts(rows, "row", F.col("name"), "grp", "family")
+    assert found.count() == 40 and found.where("decision IS NULL").count() == 0
+    assert seen[0].count() == 6
