@@ -107,3 +107,23 @@ def test_phrase_roles(spark):
     got = {(r.row, r.role): r.phrase for r in assigned.collect()}
     errors = next(r for r, p in found.items() if "mean errors" in p)
     assert got[(0, errors)] == "total errors" and len(got) == 12 and {r.grp for r in assigned.collect()} == {"g"}
+
+
+def test_rows_of_one_vector_begin_as_one_cluster(spark):
+    from thicket.operators import linkage as own
+
+    texts = {"a": [1.0, 0.0], "b": [0.9, 0.2], "c": [0.0, 1.0], "d": [0.1, 1.0], "z": [0.0, 0.0]}
+    groups = {"g": "abcdabcdab", "h": "aaaaaac", "i": "z", "j": "zzzaab", "k": "aaaaaaaaa"}
+    rows = [(g, 100 * n + i, s) for n, (g, own_rows) in enumerate(groups.items()) for i, s in enumerate(own_rows)]
+    table = spark.createDataFrame(rows, "grp string, id long, same string")
+    vectors = spark.createDataFrame(list(texts.items()), "same string, vector array<double>")
+    for local in (1000, 2):
+        found = {(r.grp, r.id): r.cluster for r in own.equal_clusters(table, vectors, most=3, local=local).collect()}
+        plain = {(r.grp, r.id): r.cluster for r in own.family_clusters(table.join(vectors, "same"), "grp", "id", "vector", most=3, local=local).collect()}
+        assert len(found) == len(rows)
+        assert {k: c for k, c in found.items() if k[0] in "gi"} == {k: c for k, c in plain.items() if k[0] in "gi"}
+        assert [found["h", 100 + i] for i in range(7)] == [0, 0, 0, 0, 0, 0, 1]
+        # Fewer vectors than clusters: the last rows stand alone.
+        assert [found["k", 400 + i] for i in range(9)] == [0] * 7 + [1, 2]
+    spread = own.equal_clusters(table, vectors, most=3).where("grp = 'j'")
+    assert spread.count() == 6 and spread.select("cluster").distinct().count() == 2
