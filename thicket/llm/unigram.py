@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from thicket.llm.kernels import UnitCache, gathered, kept, map_rows, per_row, texts_of
+from thicket.llm.kernels import UnitCache, forget, gathered, kept, map_rows, per_row, texts_of
 from thicket.llm.token_counts import pretokens
 
 PENALTY = 10.0
@@ -285,8 +285,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | str, id_col: str = "doc_id"
     id_type = docs.schema[id_col].dataType.simpleString()
     key = ("unigram", uuid.uuid4().hex)
 
+    def fresh() -> Encoder:
+        forget()  # what earlier stages have kept in this worker
+        return Encoder(held.value)
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoder = kept(key, lambda: Encoder(held.value))
+        encoder = kept(key, fresh)
         own, texts = encoder.vocabulary, texts_of(batch, text_col)
         ids, n = encoder.encode(texts)
         back = own.decode(ids, n)
