@@ -179,3 +179,46 @@ def test_gate_of_splits(spark):
     sizes = {"good": [5, 5], "large": [19, 1, 1], "single": [3, 1, 1], "one": [4]}
     table = spark.createDataFrame([(g, 10 * c + i, c) for g, own in sizes.items() for c, n in enumerate(own) for i in range(n)], "grp string, id long, cluster int")
     assert {r.grp: r.fine for r in lod.split_gate(table).collect()} == {g: cluster.good_split(np.repeat(np.arange(len(own)), own)) for g, own in sizes.items()}
+
+
+def test_equal_texts_go_through_splits_once(spark, monkeypatch):
+    rng = random.Random(5)
+    themes = (["memory", "recall", "digits"], ["reaction", "speed", "button"], ["pattern", "paired", "shapes"])
+    kinds = [[*rng.sample(themes[i % 3], 2), rng.choice("uvw")] for i in range(30)]
+    texts = {i: kinds[rng.randrange(30)] for i in range(120)}
+    sets = spark.createDataFrame([("s", i, 0, t) for i, t in texts.items()], "set string, row long, depth int, tokens array<string>")
+    monkeypatch.setattr(lod, "large_set", None)  # 120 rows of 30 texts are no large set
+    limits = lod.Limits(max_depth=3)
+    found = lod.aspect_paths(sets, limits, local=30).collect()
+    ids = sorted(texts)
+    terms, idf = lowrank.local_vocabulary([texts[i] for i in ids], 3000)
+    x, ks = lowrank.dense_texts([texts[i] for i in ids], terms, idf), lowrank.tried(len(ids), 10)
+    made = lowrank.factorized(x, ks)
+    paths, _ = lod.split(x, made[lowrank.elbow_of([made[c][2] for c in ks], 2)][1], 0, limits)
+    assert {r.row: tuple(r.path) for r in found if r.row is not None} == dict(zip(ids, paths)) and len(set(paths)) > 3
+
+
+def test_slots_of_many_phrases_equal_a_plain_search():
+    rng = random.Random(6)
+    names = [f"p{i}" for i in range(60)]
+    counts = {p: rng.randint(2, 9) for p in names}
+    met = {(p, q): rng.choice([0.2, 0.65, 0.7, 0.9]) for p in names for q in names if p < q and rng.random() < 0.3}
+    order, seen, want = sorted(counts, key=lambda p: (-counts[p], p)), set(), []
+    apart = lambda p, q: met.get((min(p, q), max(p, q)), 1.0)
+    for seed in order:
+        slot, work = [seed], [seed]
+        while work and seed not in seen:
+            at = work.pop()
+            for p in order:
+                if p not in slot and apart(at, p) >= 0.75 and all(apart(p, q) >= 0.6 for q in slot):
+                    slot.append(p)
+                    work.append(p)
+        if len(slot) > 1:
+            seen.update(slot)
+            want.append(slot)
+    assert slots.slots_of(counts, met) == want and len(want) > 1
+
+
+def test_more_phrases_than_two_thousand_are_slots_of_one_group(spark):
+    table = spark.createDataFrame([("g", 2 * i + j, f"phrase number {i}", 2) for i in range(2100) for j in range(2)], "grp string, row long, phrase string, n long")
+    assert slots.slots(table).groupBy("grp", "slot").count().collect()[0]["count"] == 2100
