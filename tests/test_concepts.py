@@ -93,3 +93,15 @@ def test_columns(spark):
     assert of(concepts.described(F.lit("name: x | Full text: Reaction Time: in ms | description: y"))) == "Reaction Time"
     assert of(concepts.is_value_state(F.lit("not done"))) and not of(concepts.is_value_state(F.lit("Reaction"))) and not of(concepts.is_value_state(F.lit("the of")))
     assert of(concepts.confidence_of(F.lit("wordnet"))) == 0.83 and of(concepts.confidence_of(F.lit("x"))) == 0.55
+
+
+def test_rows_of_one_text_are_taken_apart_once(spark, monkeypatch):
+    said = ["memory span of digits", "reaction time of hands", "memory span task"]
+    rows = spark.createDataFrame([(i, said[i % 3]) for i in range(31)], "row long, t string")
+    seen, terms = [], concepts.tfidf.terms
+    monkeypatch.setattr(concepts.tfidf, "terms", lambda docs, *a, **b: seen.append(docs.count()) or terms(docs, *a, **b))
+    got = {(r.label, r.n, round(r.tfidf, 9)) for r in concepts.candidates(rows, "row", F.col("t"), F.lit("a"), 20).where("source = 'metadata_tfidf'").select("label", F.col("frequency").alias("n"), "tfidf").collect()}
+    assert seen == [3]
+    table = terms(rows, "row", F.col("t"), 1, 3, stop=concepts.LABEL_STOP)
+    plain = {r.term: (r.df, r.mean_tfidf) for r in concepts.tfidf.top_terms(concepts.tfidf.tfidf(table, 31, 80), 31, 20).collect()}
+    assert got and all((n, round(w, 9)) == (plain[t][0], round(plain[t][1] * (1 if " " in t else 0.5), 9)) for t, n, w in got)
