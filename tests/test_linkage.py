@@ -127,3 +127,13 @@ def test_rows_of_one_vector_begin_as_one_cluster(spark):
         assert [found["k", 400 + i] for i in range(9)] == [0] * 7 + [1, 2]
     spread = own.equal_clusters(table, vectors, most=3).where("grp = 'j'")
     assert spread.count() == 6 and spread.select("cluster").distinct().count() == 2
+
+
+def test_clusters_are_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(linkage.Scratch, "written", lambda self, df, name, write=linkage.Scratch.written: seen.setdefault(name, write(self, df, name)) if name == "linkage-large" else write(self, df, name))
+    seen, sent = {}, []
+    monkeypatch.setattr(linkage, "nearest", lambda state, blocks, factor: sent.extend(r.blocks for r in blocks.collect()) or 1 / 0)
+    state = linkage.clusters_of(spark.range(6000).select(F.lit("g").alias("grp"), F.col("id").alias("row"), F.array(F.lit(1.0), F.rand(1)).alias("v")), "grp", "row", "v")
+    with pytest.raises(ZeroDivisionError):
+        linkage.merges(state)
+    assert sent == [4]
