@@ -113,3 +113,16 @@ def test_terms_and_numbers(spark):
     found = numbered(some, "n", "a", "id").orderBy("n").collect()
     assert [r.n for r in found] == list(range(5000)) and [(r.a, r.id) for r in found] == sorted((r.a, r.id) for r in found)
     assert numbered(some.limit(0), "n", "id").count() == 0
+
+
+def test_rows_of_one_vector_are_moved_once(spark, monkeypatch):
+    from thicket.operators import ward
+
+    rng = np.random.default_rng(3)
+    kinds = rng.normal(size=(9, 3))
+    rows = spark.createDataFrame([(i, "g", kinds[i % 9].tolist()) for i in range(180)], "id long, grp string, v array<double>")
+    sizes, write = {}, ward.written
+    monkeypatch.setattr(ward, "written", lambda df, name: sizes.setdefault(name, df.count()) and write(df, name) if name == "ward-kinds" else write(df, name))
+    found = {r.id: tuple(r.path) for r in ward.paths(rows, "id", "grp", "v", bound=40).collect()}
+    assert sizes["ward-kinds"] <= 9 and len(found) == 180 and len({p[:2] for p in found.values()}) > 1
+    assert all(found[i][:2] == found[i % 9][:2] for i in range(180))
