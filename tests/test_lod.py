@@ -222,3 +222,49 @@ def test_slots_of_many_phrases_equal_a_plain_search():
 def test_more_phrases_than_two_thousand_are_slots_of_one_group(spark):
     table = spark.createDataFrame([("g", 2 * i + j, f"phrase number {i}", 2) for i in range(2100) for j in range(2)], "grp string, row long, phrase string, n long")
     assert slots.slots(table).groupBy("grp", "slot").count().collect()[0]["count"] == 2100
+
+
+def test_rows_of_one_point_are_never_told_apart():
+    rng = np.random.default_rng(4)
+    kinds = np.eye(6, 9)[[0, 1, 2, 2, 3, 0, 4, 5]]
+    x = kinds + 1e-13 * rng.normal(size=kinds.shape)  # as rounding errors leave them
+    one = rng.random((1, 7))
+    same_rows = np.repeat(one / np.linalg.norm(one), 3, axis=0) + 1e-13 * rng.normal(size=(3, 7))
+    for times in (3, 30):  # a mixture, and k-means
+        order = np.repeat(np.arange(len(x)), times)
+        labels, score = cluster.aspect_clusters(x, 8, order=order)
+        assert labels[2] == labels[3] and labels[0] == labels[5] and len(set(labels)) > 1 and score > 0
+        plain, same = cluster.aspect_clusters(x[order], 8)
+        assert plain.tolist() == labels[order].tolist() and same == pytest.approx(score)
+        assert cluster.aspect_clusters(same_rows, 8, order=np.repeat([0, 1, 2], 60))[1] == 0.0
+
+
+def test_phrases_and_slots_of_texts_that_stand_for_several_rows_are_those_of_all_rows(spark):
+    rng = random.Random(8)
+    texts = [f"{a} {b} {c}" for a in ("mean", "median", "total") for b in ("latency", "errors") for c in ("four boxes", "six boxes", "")]
+    rows = spark.createDataFrame([(g, i, texts[rng.randrange(len(texts))]) for g in "gh" for i in range(40)], "grp string, row long, t string")
+    kinds = rows.groupBy("grp", "t").agg(F.min("row").alias("row"), F.count("*").alias("times"))
+    first = {(r.grp, r.row): r.first for r in rows.join(kinds.select("grp", "t", F.col("row").alias("first")), ["grp", "t"]).collect()}
+    total = rows.groupBy("grp").agg(F.count("*").alias("total"))
+    every, once = (slots.phrases(table, "grp", "row", F.col("t")) for table in (rows, kinds))
+    assert {(r.grp, first[r.grp, r.row], r.phrase, r.n) for r in every.collect()} == {(r.grp, r.row, r.phrase, r.n) for r in once.collect()}
+    a, b = (slots.gated(table, slots.assigned(table, slots.slots(table)), total).collect() for table in (every, once))
+    assert a and {(r.grp, first[r.grp, r.row], r.slot, r.phrase) for r in a} == {(r.grp, r.row, r.slot, r.phrase) for r in b}
+
+
+def test_passes_over_inner_nodes_give_the_tree_of_passes_over_all(spark, monkeypatch):
+    names = ["Total Errors X", "Total Errors Y", "Total Errors Z", "and", "Total Errors X more", "Leaf and", "v1", "v2", "v3", "v4"]
+    up = {1: 0, 2: 0, 3: 0, 4: 3, 5: 4, 6: 1, 7: 1, 8: 4, 9: 5, 10: 6}
+    kind = lambda i: "attribute" if i > 6 else "aggregation"
+    nodes = spark.createDataFrame([(0, "T", "root", None, None)] + [(i, n, kind(i), i, "aspect_clustering" if i < 7 else None) for i, n in enumerate(names, 1)], "id long, name string, type string, row long, route string")
+    edges = ordered(spark.createDataFrame([(p, c) for c, p in up.items()], "parent long, child long"))
+    plain = tree.factored_prefixes(Tree(nodes, edges))
+    plain = Tree(plain.nodes.withColumn("route", F.when((F.col("type") == "aggregation") & F.col("route").isNull(), "sibling_factoring").otherwise(F.col("route"))), plain.edges)
+    plain = tree.without_noise(plain, (F.col("type") == "aggregation") & (F.col("route") == "aspect_clustering") & lod.is_noise(F.col("name")))
+    want = tree.single_parent(tree.stripped_prefixes(plain))
+    seen, before = [], lod.stripped_prefixes
+    monkeypatch.setattr(lod, "stripped_prefixes", lambda t: seen.append(t.nodes.where("type = 'attribute'").count()) or before(t))
+    got = lod.passes(Tree(nodes, edges))
+    rows = lambda table, *columns: sorted(map(str, table.select(*columns).collect()))
+    assert seen == [0] and rows(got.nodes, "id", "name", "type", "row", "route") == rows(want.nodes, "id", "name", "type", "row", "route")
+    assert rows(got.edges, "parent", "child", "ord") == rows(want.edges, "parent", "child", "ord")
