@@ -1,12 +1,13 @@
 """Truncated SVD, encoders and aspects against NumPy on dense tables."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thicket.operators import lowrank
+from thicket.operators import lowrank, tfidf
 
 TEXTS = ["total errors of boxes", "mean errors of boxes", "median latency of responses", "mean latency of responses", "total latency", "boxes visited twice", None, "", "!!", "the of and"]
 
@@ -142,3 +143,22 @@ def test_products_take_one_pass(table, monkeypatch):
     assert np.abs(lowrank.products(rows, len(words.terms)) - x.T @ x).max() < 1e-12
     values, right = lowrank.truncated_svd(rows, len(words.terms), 3)
     assert np.abs(values - np.linalg.svd(x, compute_uv=False)[:3]).max() < 1e-9
+
+
+def test_texts_are_cut_once_and_common_terms_are_those_of_all_terms(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(40)] + ["the", "ä_1", "x²y", "Über"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)), p=np.arange(44, 0, -1) / 990)) + rng.choice(["", ". A b", " the the"]) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "  ", "unseen"])], "id long, t string")
+    made = rows.select(tfidf.grams(F.col("t"), 1, 2, stop=["the"]).alias("g")).collect()
+    tf, df = Counter(t for r in made for t in r.g or []), Counter(t for r in made for t in set(r.g or []))
+    seen, before = [], lowrank.gram_counts
+    monkeypatch.setattr(lowrank, "gram_counts", lambda *a: seen.append(a[4]) or before(*a))
+    for most in (5, 25, 1000):
+        found = lowrank.vocabulary(rows, F.col("t"), most, stop=["the"])
+        want = sorted(sorted(tf, key=lambda t: (-tf[t], t))[:most])
+        assert found.terms == want and found.documents == 63 and np.allclose(found.idf, [np.log(64 / (1 + df[t])) + 1 for t in want])
+    assert 5 <= len(seen[0]) < 25 and seen[2] is None  # n-grams of rare words are not counted where they can't be among the commonest
+    first = lowrank.encoder(rows, "id", F.col("t"), 25, 8).encode(rows, "id", F.col("t")).collect()
+    second = {r.key: r.vector for r in lowrank.encoded(rows, "id", F.col("t"), 25, 8).collect()}
+    assert len(first) == len(second) == 63 and all(np.allclose(r.vector, second[r.key], atol=1e-9) for r in first) and not any(second[60])
